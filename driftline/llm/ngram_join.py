@@ -31,11 +31,12 @@ Columns other than id and text are not read, so their names cannot clash.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import common
@@ -46,6 +47,8 @@ HISTOGRAM_BINS = 32
 #: Cross-component pairs are listed in full once there are at most this many per posting row.
 FULL_LIST_FACTOR = 4
 MAX_HUB_ROUNDS = 8
+#: A round of hubs that leaves more than this share of the pairs ends the rounds: the holders differ, and the filters drop most of their pairs.
+LEAST_PROGRESS = 0.8
 
 
 def document_sets(words, n: int, lower: bool) -> Iterator[tuple[int, np.ndarray]]:
@@ -182,21 +185,21 @@ def _verified(pairs: DataFrame, docs: DataFrame, n: int, percent: int, lower: bo
     return common.stored(both.mapInArrow(run, "a long, b long").distinct(), "links")
 
 
-def _screened(pairs: DataFrame, percent: int) -> DataFrame:
-    """Length and positional filters; pairs has a, b, na, nb, pa, pb for each common prefix n-gram.
+def _fits(na: Column, nb: Column, pa: Column, pb: Column, percent: int) -> Column:
+    """Length and positional filters of one common prefix n-gram.
 
-    pa and pb are the positions in the global order, so the least of each
-    belongs to the first common n-gram, and all other common ones come later.
+    The first common n-gram of a pair that links passes: all that the pair has
+    in common beside it comes later in both. Overlap o must satisfy
+    100 * o >= percent * (na + nb - o).
     """
-    t = F.lit(percent)
-    return (
-        pairs.where((100 * F.least("na", "nb") >= t * F.greatest("na", "nb")))
-        .groupBy("a", "b")
-        .agg(F.min("na").alias("na"), F.min("nb").alias("nb"), F.min("pa").alias("pa"), F.min("pb").alias("pb"))
-        # overlap o must satisfy 100 * o >= percent * (na + nb - o)
-        .where((100 + t) * (1 + F.least(F.col("na") - F.col("pa") - 1, F.col("nb") - F.col("pb") - 1)) >= t * (F.col("na") + F.col("nb")))
-        .select("a", "b")
-    )
+    long_enough = 100 * F.least(na, nb) >= percent * F.greatest(na, nb)
+    return long_enough & ((100 + percent) * (1 + F.least(na - pa - 1, nb - pb - 1)) >= percent * (na + nb))
+
+
+def _banded(postings: DataFrame, percent: int) -> DataFrame:
+    """Postings with a band of sizes; sizes that can link lie in one band or in two that touch."""
+    width = math.log(100 / percent) if percent < 100 else 0.01
+    return postings.withColumn("band", F.floor(F.log(F.col("n").cast("double")) / F.lit(width * (1 + 1e-9))))
 
 
 def _crossing(postings: DataFrame, links: DataFrame | None) -> DataFrame:
@@ -208,26 +211,34 @@ def _crossing(postings: DataFrame, links: DataFrame | None) -> DataFrame:
     return common.stored(postings.join(mixed, "token"), "postings")
 
 
-def _cross_pairs(postings: DataFrame) -> int:
-    """How many pairs of different components share an n-gram, counted once for each n-gram."""
-    by = postings.groupBy("token", "comp").agg(F.count(F.lit(1)).alias("c"))
-    one = by.groupBy("token").agg(F.sum("c").alias("c"), F.sum(F.col("c") * F.col("c")).alias("cc"))
+def _cross_pairs(postings: DataFrame, percent: int) -> int:
+    """At most how many pairs of different components and like sizes share an n-gram, counted once for each n-gram."""
+    own = _banded(postings, percent).groupBy("token", "band", "comp").agg(F.count(F.lit(1)).alias("c"))
+    both = own.unionByName(own.withColumn("band", F.col("band") - 1)).groupBy("token", "band", "comp").agg(F.sum("c").alias("c"))
+    one = both.groupBy("token", "band").agg(F.sum("c").alias("c"), F.sum(F.col("c") * F.col("c")).alias("cc"))
     return int(one.agg(F.sum((F.col("c") * F.col("c") - F.col("cc")) / 2)).first()[0] or 0)
 
 
-def _hub_pairs(postings: DataFrame, seed: int) -> DataFrame:
+def _all_pairs(postings: DataFrame, percent: int) -> DataFrame:
+    """Every pair of different components that one prefix n-gram allows."""
+    own = _banded(postings, percent)
+    x = own.select(*(F.col(c).alias(f"x_{c}") for c in own.columns))
+    y = own.withColumn("at", F.explode(F.array("band", F.col("band") - 1)))
+    y = y.select(*(F.col(c).alias(f"y_{c}") for c in y.columns))
+    once = (F.col("x_band") < F.col("y_band")) | (F.col("x_rep") < F.col("y_rep"))
+    met = x.join(y, (F.col("x_token") == F.col("y_token")) & (F.col("x_band") == F.col("y_at")) & once & (F.col("x_comp") != F.col("y_comp"))
+                 & _fits(F.col("x_n"), F.col("y_n"), F.col("x_pos"), F.col("y_pos"), percent))
+    return met.select(F.least("x_rep", "y_rep").alias("a"), F.greatest("x_rep", "y_rep").alias("b")).distinct()
+
+
+def _hub_pairs(postings: DataFrame, seed: int, percent: int) -> DataFrame:
     """Pairs of one holder of each n-gram, chosen by seed, with the holders in other components."""
     rank = F.col("rep") if seed == 0 else F.xxhash64("rep", F.lit(seed))
     ranked = postings.withColumn("rank", rank)
     hub = ranked.groupBy("token").agg(F.min("rank").alias("rank"))
-    chosen = ranked.join(hub, ["token", "rank"]).select("token", F.col("rep").alias("hub"), F.col("n").alias("hn"), F.col("pos").alias("hp"), F.col("comp").alias("hcomp"))
-    met = postings.join(chosen, "token").where("comp <> hcomp and rep <> hub")
-    swap = F.col("rep") > F.col("hub")
-    return met.select(
-        F.least("rep", "hub").alias("a"), F.greatest("rep", "hub").alias("b"),
-        F.when(swap, F.col("hn")).otherwise(F.col("n")).alias("na"), F.when(swap, F.col("n")).otherwise(F.col("hn")).alias("nb"),
-        F.when(swap, F.col("hp")).otherwise(F.col("pos")).alias("pa"), F.when(swap, F.col("pos")).otherwise(F.col("hp")).alias("pb"),
-    )
+    chosen = ranked.join(hub, ["token", "rank"]).select(F.col("token").alias("at"), F.col("rep").alias("hub"), F.col("n").alias("hn"), F.col("pos").alias("hp"), F.col("comp").alias("hcomp"))
+    met = postings.join(chosen, (F.col("token") == F.col("at")) & (F.col("comp") != F.col("hcomp")) & _fits(F.col("n"), F.col("hn"), F.col("pos"), F.col("hp"), percent))
+    return met.where("rep <> hub").select(F.least("rep", "hub").alias("a"), F.greatest("rep", "hub").alias("b")).distinct()
 
 
 def similarity_classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, percent: int = 80, lower: bool = True) -> DataFrame:
@@ -250,18 +261,15 @@ def similarity_classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     postings = _crossing(postings, None)
     links: DataFrame | None = None
     tried: DataFrame | None = None
+    before = math.inf
     for seed in range(MAX_HUB_ROUNDS + 1):
         size = postings.count()
         if size == 0:
             break
-        last = seed == MAX_HUB_ROUNDS or (seed > 0 and _cross_pairs(postings) <= FULL_LIST_FACTOR * size)
-        if last:
-            x, y = postings.alias("x"), postings.alias("y")
-            pairs = x.join(y, F.col("x.token") == F.col("y.token")).where("x.rep < y.rep and x.comp <> y.comp").select(
-                F.col("x.rep").alias("a"), F.col("y.rep").alias("b"), F.col("x.n").alias("na"), F.col("y.n").alias("nb"), F.col("x.pos").alias("pa"), F.col("y.pos").alias("pb"))
-        else:
-            pairs = _hub_pairs(postings, seed)
-        pairs = _screened(pairs, percent)
+        open_pairs = _cross_pairs(postings, percent) if seed else math.inf
+        last = seed == MAX_HUB_ROUNDS or open_pairs <= FULL_LIST_FACTOR * size or (before < math.inf and open_pairs > LEAST_PROGRESS * before)
+        before = open_pairs
+        pairs = _all_pairs(postings, percent) if last else _hub_pairs(postings, seed, percent)
         if tried is not None:
             pairs = pairs.join(tried, ["a", "b"], "left_anti")
         pairs = common.stored(_suffix_filter(pairs, reps, percent), "pairs")
