@@ -10,15 +10,24 @@ from pyspark.sql import functions as F
 
 from . import bpe
 from .ngram_join import similarity_classes
+from .substring_dedup import remove_repeats
+
+
+def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+
+
+def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = remove_repeats(_documents(spark, sf_dir), window=50, batches=2)
+    return out.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
 
 
 def op6_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return similarity_classes(docs, n=3, percent=90)
+    return similarity_classes(_documents(spark, sf_dir), n=3, percent=90)
 
 
 def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    docs = _documents(spark, sf_dir).select("doc_id", "text")
     path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
     coded = bpe.encode(docs, path, public_tokenizers.PATTERN, decoded_col="decoded")
     return coded.select(
@@ -30,6 +39,7 @@ def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op4_substring_dedup": op4_substring_dedup,
     "op6_ngram_jaccard": op6_ngram_jaccard,
     "op7_byte_bpe": op7_byte_bpe,
 }

@@ -126,14 +126,25 @@ def ngram_hashes(h: np.ndarray, n: int) -> np.ndarray:
     return out
 
 
-def sequence_hash(h: np.ndarray) -> tuple[int, int]:
-    """Two independent signed 64-bit hashes of a sequence of word hashes."""
-    a, _ = _power_tables(_WORD_BASE, len(h) + 1)
-    b, _ = _power_tables(_WORD_BASE_2, len(h) + 1)
-    n = np.uint64(len(h))
-    both = np.array([(h * a[: len(h)]).sum(dtype=np.uint64) + n, (h * b[: len(h)]).sum(dtype=np.uint64) + n], dtype=np.uint64)
-    x, y = mix(both).view(np.int64)
-    return int(x), int(y)
+def sequence_hashes(words: Words, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two independent signed 64-bit hashes of each document's word sequence."""
+    lo, hi = words.bounds[:-1], words.bounds[1:]
+    out = []
+    for base in (_WORD_BASE, _WORD_BASE_2):
+        up, down = _power_tables(base, len(h) + 1)
+        running = np.zeros(len(h) + 1, dtype=np.uint64)
+        np.cumsum(h * up[: len(h)], out=running[1:])
+        out.append(mix((running[hi] - running[lo]) * down[lo] + (hi - lo).astype(np.uint64)).view(np.int64))
+    return out[0], out[1]
+
+
+def sliding_min(x: np.ndarray, n: int) -> np.ndarray:
+    """The least of each n consecutive values, in about log2(n) passes."""
+    width, out = 1, x
+    while 2 * width <= n:
+        out = np.minimum(out[: len(out) - width], out[width:])
+        width *= 2
+    return out if width == n else np.minimum(out[: len(x) - n + 1], out[n - width : n - width + len(x) - n + 1])
 
 
 def window_hashes(h: np.ndarray, n: int, second: bool = False) -> np.ndarray:
