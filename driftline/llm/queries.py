@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, langid
+from . import ann, bpe, langid, mixing, secrets, weak_rules
 from .common import remainder
 from .ngram_join import similarity_classes
 from .substring_dedup import remove_repeats
@@ -34,6 +34,26 @@ def op6_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similarity_classes(_documents(spark, sf_dir), n=3, percent=90)
 
 
+def op5_poisson_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.replicate(_documents(spark, sf_dir).select("doc_id", "source", "text"))
+
+
+def op8_weak_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return weak_rules.judge(_documents(spark, sf_dir))
+
+
+def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.scan(_documents(spark, sf_dir).select("doc_id", "text"))
+    of = lambda kind: F.size(F.filter("secrets", lambda x: x["kind"] == kind)).cast("long")
+    written = lambda spans: F.concat_ws(",", F.transform(spans, lambda x: F.concat_ws(":", x["kind"], x["start"].cast("string"), x["end"].cast("string"))))
+    return found.select(
+        "doc_id",
+        *(of(kind).alias(f"n_{kind}") for kind in secrets.KINDS[:3]),
+        F.sha2(written(F.filter("secrets", lambda x: x["rank"] < 3)).cast("binary"), 256).alias("base_sha256"),
+        written(F.col("secrets")).alias("spans"),
+    )
+
+
 def op10_multiprobe_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.nearest(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), k=5, query_modulus=50)
 
@@ -53,9 +73,14 @@ def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_language_id": op2_language_id,
     "op4_substring_dedup": op4_substring_dedup,
+    "op5_poisson_mixing": op5_poisson_mixing,
     "op6_ngram_jaccard": op6_ngram_jaccard,
     "op7_byte_bpe": op7_byte_bpe,
+    "op8_weak_rules": op8_weak_rules,
+    "op9_secret_scan": op9_secret_scan,
     "op10_multiprobe_ann": op10_multiprobe_ann,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op5_poisson_mixing": mixing.replicate_sql(),
+}
