@@ -17,10 +17,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common
-from .sqltext import count_of, let, word_lines, words, words_in_repeats
+from .sqltext import BLANKS, count_of, let, lit, word_lines, words, words_in_repeats
 
 #: Characters that count as symbols.
 SYMBOLS = "#*$%&|<>"
+NOT_LETTERS = r"^\p{L}"
 MIN_WORDS = 50
 REPEAT_WORDS = 3
 
@@ -37,6 +38,8 @@ class Rule:
 RULES = (
     Rule("word_length", "word_chars between 3 * n_words and 9 * n_words", "word_chars < 2 * n_words or word_chars > 12 * n_words"),
     Rule("symbols", "n_symbols * 50 <= n_words", "n_symbols * 10 > n_words"),
+    Rule("letters", "n_other * 12 <= word_chars", "n_other * 10 > word_chars"),
+    Rule("symbol_words", "n_symbol_ends * 50 <= n_words", "n_symbol_ends * 10 > n_words"),
     Rule("duplicate_lines", "n_dup_lines * 10 <= n_lines", "n_dup_lines * 10 > 3 * n_lines"),
     Rule("repeated_words", "n_repeat_words * 10 <= n_words", "n_repeat_words * 10 > 3 * n_words"),
     Rule("capitals", "n_upper * 10 <= word_chars", "n_upper * 10 > 3 * word_chars"),
@@ -66,6 +69,8 @@ def statistics(df: DataFrame, text_col: str = "text") -> DataFrame:
                 f"'n_repeat_words', {words_in_repeats('ws', REPEAT_WORDS)}, "
                 "'n_lines', cast(size(ls) as bigint), "
                 f"'n_upper', cast({count_of('t', 'A-Z')} as bigint), "
+                f"'n_other', cast({count_of('t', NOT_LETTERS)} - {count_of('t', BLANKS)} as bigint), "
+                f"'n_symbol_ends', cast(size(regexp_extract_all(t, {lit(f'[{SYMBOLS}](?=[{BLANKS}]|$)')}, 0)) as bigint), "
                 f"'n_exclaims', cast({count_of('t', '!')} as bigint), "
                 f"'n_stops', cast({count_of('t', '.?')} as bigint), "
                 "'n_distinct', cast(size(array_distinct(ws)) as bigint))",
@@ -91,25 +96,29 @@ class LabelModel:
         return np.log(self.chance[1]) - np.log(self.chance[0])
 
 
-def fit(patterns: np.ndarray, counts: np.ndarray, rounds: int = 200, smoothing: float = 1.0) -> LabelModel:
-    """EM over vote patterns (rows of votes 0, 1, 2) and how often each occurs."""
-    rules = patterns.shape[1]
+#: What is assumed of a rule before any data: how often it votes bad on good and on bad documents, and the weight of that against all rows.
+BAD_ON_GOOD, BAD_ON_BAD, PRIOR_WEIGHT = 0.02, 0.4, 1.0
+
+
+def fit(patterns: np.ndarray, counts: np.ndarray, rounds: int = 200) -> LabelModel:
+    """EM over vote patterns (rows of votes 0, 1, 2) and how often each occurs.
+
+    The assumptions above are the start, and a prior of PRIOR_WEIGHT rows for
+    each row of the class; else a bad document, which fails a few rules and
+    passes most, would count as good.
+    """
     one_hot = np.stack([patterns == v for v in range(3)], axis=2).astype(float)
-    abstain = (one_hot[:, :, 2] * counts[:, None]).sum(axis=0) / max(counts.sum(), 1.0)
-    chance = np.zeros((2, rules, 3))
-    for c in (0, 1):
-        right = (1.0 - abstain) * 0.8
-        chance[c] = np.stack([right if c == 0 else right / 4, right if c == 1 else right / 4, abstain], axis=1)
-    chance = np.clip(chance, 1e-4, None)
-    chance /= chance.sum(axis=2, keepdims=True)
-    prior = 0.8
+    total = max(counts.sum(), 1.0)
+    abstain = np.clip((one_hot[:, :, 2] * counts[:, None]).sum(axis=0) / total, 0.001, 0.98)
+    start = np.stack([np.stack([(1 - abstain) * q, (1 - abstain) * (1 - q), abstain], axis=1) for q in (BAD_ON_BAD, BAD_ON_GOOD)])
+    chance, prior = start, 0.8
     for _ in range(rounds):
         logs = np.einsum("prv,crv->pc", one_hot, np.log(chance)) + np.log([1 - prior, prior])
         post = 1.0 / (1.0 + np.exp(np.clip(logs[:, 0] - logs[:, 1], -700, 700)))
         weight = np.stack([(1 - post) * counts, post * counts])
-        new = np.einsum("cp,prv->crv", weight, one_hot) + smoothing
+        new = np.einsum("cp,prv->crv", weight, one_hot) + start * (1.0 + PRIOR_WEIGHT * weight.sum(axis=1))[:, None, None]
         new /= new.sum(axis=2, keepdims=True)
-        new_prior = float(np.clip(weight[1].sum() / max(counts.sum(), 1.0), 0.02, 0.98))
+        new_prior = float(np.clip(weight[1].sum() / total, 0.02, 0.98))
         done = abs(new_prior - prior) < 1e-9 and np.abs(new - chance).max() < 1e-9
         chance, prior = new, new_prior
         if done:
