@@ -3,6 +3,7 @@ bitmaps and counters gathered from all rows, connected components."""
 
 from __future__ import annotations
 
+import contextlib
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -28,10 +29,23 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     steps neither compute it again nor depend on the executors that made it."""
     spark = df.sparkSession
     path = new_path(spark, name)
-    df.write.parquet(path)
+    with small_batches(spark):
+        df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextlib.contextmanager
+def small_batches(spark: SparkSession, rows: int = 1000) -> Iterator[None]:
+    """Arrow batches of few rows while an action runs: rows here hold whole texts or sets."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def remove(spark: SparkSession, path: str) -> None:
     """Delete a table that stored() or an index wrote."""
     jvm = spark.sparkContext._jvm
@@ -92,7 +106,9 @@ def gathered(df: DataFrame, fill: Callable[[np.ndarray, pa.RecordBatch], None],
     parts = df.mapInArrow(local, shape)
     parts = parts.repartition(_PARTS, "k", "s").mapInArrow(combine, shape).repartition(_PARTS, "k").mapInArrow(combine, shape)
     out = np.zeros(size, dtype=kind)
-    for row in parts.collect():
+    with small_batches(df.sparkSession):
+        got = parts.collect()
+    for row in got:
         part = np.frombuffer(pa.decompress(bytes(row.v), step * np.dtype(kind).itemsize, codec="zstd"), dtype=kind)
         view = out[row.k * step : (row.k + 1) * step]
         if join == "or":
