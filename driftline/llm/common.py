@@ -58,6 +58,18 @@ def remainder(column: Column | str, n: int) -> Column:
     return F.crc32(F.col(column).cast("string") if isinstance(column, str) else column.cast("string")) % n
 
 
+def labelled_sample(docs: DataFrame, labels: DataFrame, sample: int, id_col: str = "doc_id", seed: int = 17) -> DataFrame:
+    """docs joined with about `sample` rows of labels, chosen by a hash of the id.
+
+    The chosen labels are a table of bounded size, so Spark can broadcast it
+    and no text is shuffled. Labels with a null id are left out.
+    """
+    labels = labels.where(F.col(id_col).isNotNull())
+    share = min(1.0, sample / max(1, labels.count()))
+    chosen = labels.where(F.pmod(F.xxhash64(id_col, F.lit(seed)), F.lit(1 << 20)) < F.lit(share * (1 << 20)))
+    return docs.join(stored(chosen.coalesce(1), "labels"), id_col)
+
+
 # --- arrays of a fixed size, gathered from all rows -------------------------
 
 _PARTS = 16
