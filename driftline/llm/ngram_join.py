@@ -36,6 +36,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -129,20 +130,15 @@ def _profiles(docs: DataFrame, n: int, percent: int, lower: bool) -> DataFrame:
     return docs.mapInArrow(profile, "doc_id long, n_shingles long, fp1 long, fp2 long, prefix array<long>, hist binary")
 
 
-def _sets(docs: DataFrame, wanted: common.Bloom, n: int, lower: bool) -> DataFrame:
-    """(id, set) of the documents whose id passes the filter."""
+def _texts(docs: DataFrame, wanted: common.Bloom) -> DataFrame:
+    """(id, text) of the documents whose id passes the filter."""
     spread = docs.sparkSession.sparkContext.broadcast(wanted)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bloom = spread.value
         for batch in batches:
-            ids = batch.column(0).to_numpy(zero_copy_only=False)
-            batch = batch.filter(pa.array(bloom.has(ids)))
-            for words in slices(batch.column(1)):
-                got = [s.tobytes() for _, s in document_sets(words, n, lower)]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(words.first, len(got)), pa.array(got, pa.binary())], names=["id", "set"])
+            yield batch.filter(pa.array(spread.value.has(batch.column(0).to_numpy(zero_copy_only=False)))).rename_columns(["id", "text"])
 
-    return docs.where("doc_id is not null").mapInArrow(run, "id long, set binary")
+    return docs.where("doc_id is not null").mapInArrow(run, "id long, text string")
 
 
 def _suffix_filter(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
@@ -164,25 +160,36 @@ def _suffix_filter(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, n: int, percent: int, lower: bool) -> DataFrame:
-    """The links among pairs (a, b), each checked once on whole sets."""
+    """The links among pairs (a, b), each checked once on whole sets.
+
+    Texts travel and not sets: they are smaller, and both sets of a pair are made where it is checked.
+    """
     ids = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
-    sets = common.stored(_sets(docs, common.Bloom.of(ids, "id"), n, lower), "sets")
+    texts = _texts(docs, common.Bloom.of(ids, "id"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            good = np.zeros(batch.num_rows, dtype=bool)
-            for i, (x, y) in enumerate(zip(batch.column("set_a"), batch.column("set_b"))):
-                x, y = np.frombuffer(x.as_buffer(), dtype=np.uint64), np.frombuffer(y.as_buffer(), dtype=np.uint64)
-                if len(x) > len(y):
-                    x, y = y, x
-                at = np.searchsorted(y, x)
-                at[at == len(y)] = 0
-                common_ = int(np.count_nonzero(y[at] == x)) if len(y) else 0
-                good[i] = common_ > 0 and 100 * common_ >= percent * (len(x) + len(y) - common_)
-            yield batch.filter(pa.array(good)).select(["a", "b"])
-
-    both = pairs.join(sets.select(F.col("id").alias("a"), F.col("set").alias("set_a")), "a").join(sets.select(F.col("id").alias("b"), F.col("set").alias("set_b")), "b")
-    return common.stored(both.mapInArrow(run, "a long, b long").distinct(), "links")
+        for whole in batches:
+            for lo in range(0, whole.num_rows, 500):
+                batch = whole.slice(lo, 500)
+                coded = [pc.dictionary_encode(batch.column(c)) for c in ("text_a", "text_b")]
+                sets = [[s for words in slices(c.dictionary) for _, s in document_sets(words, n, lower)] for c in coded]
+                at = [c.indices.to_numpy(zero_copy_only=False) for c in coded]
+                good = np.zeros(batch.num_rows, dtype=bool)
+                for i in range(batch.num_rows):
+                    x, y = sets[0][at[0][i]], sets[1][at[1][i]]
+                    if len(x) > len(y):
+                        x, y = y, x
+                    if len(x) and 100 * len(x) >= percent * len(y):
+                        place = np.searchsorted(y, x)
+                        place[place == len(y)] = 0
+                        both = int(np.count_nonzero(y[place] == x))
+                        good[i] = 100 * both >= percent * (len(x) + len(y) - both)
+                yield batch.filter(pa.array(good)).select(["a", "b"])
+
+    def with_texts(df: DataFrame, key: str) -> DataFrame:
+        return df.join(texts.select(F.col("id").alias(key), F.coalesce("text", F.lit("")).alias(f"text_{key}")), key)
+
+    return common.stored(with_texts(with_texts(pairs, "a"), "b").mapInArrow(run, "a long, b long").distinct(), "links")
 
 
 def _fits(na: Column, nb: Column, pa: Column, pb: Column, percent: int) -> Column:
@@ -202,11 +209,34 @@ def _banded(postings: DataFrame, percent: int) -> DataFrame:
     return postings.withColumn("band", F.floor(F.log(F.col("n").cast("double")) / F.lit(width * (1 + 1e-9))))
 
 
-def _crossing(postings: DataFrame, links: DataFrame | None) -> DataFrame:
+def _shared_postings(reps: DataFrame) -> DataFrame:
+    """token, rep, n, pos, comp of prefix n-grams that two or more representatives hold.
+
+    A filter of the shared n-grams goes to the representatives, so that the
+    many n-grams of one holder are not shuffled with all their columns; the
+    few that pass by chance pair with nothing.
+    """
+    held = reps.select(F.explode("prefix").alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("token")
+    spread = reps.sparkSession.sparkContext.broadcast(common.Bloom.of(common.stored(held, "tokens"), "token"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column(2)
+            token = lists.flatten().to_numpy(zero_copy_only=False)
+            size = pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
+            row = np.repeat(np.arange(len(size)), size)
+            pos = np.arange(len(token)) - np.repeat(np.cumsum(size) - size, size)
+            hit = np.flatnonzero(spread.value.has(token))
+            rep = batch.column(0).to_numpy()[row[hit]]
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (token[hit], rep, batch.column(1).to_numpy()[row[hit]].astype(np.int32), pos[hit].astype(np.int32), rep)], names=["token", "rep", "n", "pos", "comp"])
+
+    return common.stored(reps.select("rep", "n", "prefix").mapInArrow(run, "token long, rep long, n int, pos int, comp long"), "postings")
+
+
+def _crossing(postings: DataFrame, links: DataFrame) -> DataFrame:
     """Postings of the n-grams whose holders lie in different components, with `comp`."""
-    if links is not None:
-        comp = common.components(links)
-        postings = postings.drop("comp").join(comp, postings.rep == comp.node, "left").select("token", "rep", "n", "pos", F.coalesce("component", "rep").alias("comp"))
+    comp = common.components(links)
+    postings = postings.drop("comp").join(comp, postings.rep == comp.node, "left").select("token", "rep", "n", "pos", F.coalesce("component", "rep").alias("comp"))
     mixed = postings.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("token")
     return common.stored(postings.join(mixed, "token"), "postings")
 
@@ -234,9 +264,8 @@ def _all_pairs(postings: DataFrame, percent: int) -> DataFrame:
 def _hub_pairs(postings: DataFrame, seed: int, percent: int) -> DataFrame:
     """Pairs of one holder of each n-gram, chosen by seed, with the holders in other components."""
     rank = F.col("rep") if seed == 0 else F.xxhash64("rep", F.lit(seed))
-    ranked = postings.withColumn("rank", rank)
-    hub = ranked.groupBy("token").agg(F.min("rank").alias("rank"))
-    chosen = ranked.join(hub, ["token", "rank"]).select(F.col("token").alias("at"), F.col("rep").alias("hub"), F.col("n").alias("hn"), F.col("pos").alias("hp"), F.col("comp").alias("hcomp"))
+    chosen = postings.groupBy("token").agg(F.min(F.struct(rank.alias("rank"), "rep", "n", "pos", "comp")).alias("h"))
+    chosen = chosen.select(F.col("token").alias("at"), F.col("h.rep").alias("hub"), F.col("h.n").alias("hn"), F.col("h.pos").alias("hp"), F.col("h.comp").alias("hcomp"))
     met = postings.join(chosen, (F.col("token") == F.col("at")) & (F.col("comp") != F.col("hcomp")) & _fits(F.col("n"), F.col("hn"), F.col("pos"), F.col("hp"), percent))
     return met.where("rep <> hub").select(F.least("rep", "hub").alias("a"), F.greatest("rep", "hub").alias("b")).distinct()
 
@@ -257,8 +286,7 @@ def similarity_classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     members = common.stored(rows.select("doc_id", "n_shingles", "fp1", "fp2").join(first, ["fp1", "fp2"], "left").select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("rep")).alias("rep")), "members")
     reps = common.stored(real.join(first, ["fp1", "fp2"]).where("doc_id = rep").select("rep", F.col("n_shingles").alias("n"), "prefix", "hist"), "reps")
 
-    postings = reps.select("rep", "n", F.posexplode("prefix").alias("pos", "token")).select("token", "rep", F.col("n").cast("int").alias("n"), "pos", F.col("rep").alias("comp"))
-    postings = _crossing(postings, None)
+    postings = _shared_postings(reps)
     links: DataFrame | None = None
     tried: DataFrame | None = None
     before = math.inf
