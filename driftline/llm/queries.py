@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, langid, mixing, rule_ensemble, secrets, weak_rules
+from . import ann, bpe, langid, mixing, rule_ensemble, secrets, toxicity, weak_rules
 from .common import labelled_sample, remainder
 from .ngram_join import similarity_classes
 from .substring_dedup import remove_repeats
@@ -18,6 +18,14 @@ def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _documents(spark, sf_dir).select("doc_id", "text")
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "toxic").where(remainder("doc_id", 4) != 2)
+    sample = labelled_sample(docs, labels.where("toxic = 1"), toxicity.TOXIC_SAMPLE).unionByName(labelled_sample(docs, labels.where("toxic = 0"), toxicity.CLEAN_SAMPLE))
+    out = toxicity.assess(docs, toxicity.fit(sample))
+    return out.select("doc_id", F.coalesce(remainder("doc_id", 4) == 2, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _documents(spark, sf_dir).select("doc_id", "text", "lang")
     model = langid.fit(docs.where(remainder("doc_id", 5) != 0), sample=1000)
@@ -79,6 +87,7 @@ def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_toxicity": op1_toxicity,
     "op2_language_id": op2_language_id,
     "op3_quality_rules": op3_quality_rules,
     "op4_substring_dedup": op4_substring_dedup,
@@ -90,6 +99,34 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_multiprobe_ann": op10_multiprobe_ann,
 }
 
+_OP4_SQL = r"""
+WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+g AS (SELECT doc_id, i, md5(array_to_string(ws[i : i + 49], ' ')) AS k FROM w, range(1, 1000000) r(i) WHERE i + 49 <= len(ws)),
+f AS (SELECT k, min(doc_id) AS lo FROM g GROUP BY k),
+c AS (SELECT DISTINCT g.doc_id, g.i + j AS p FROM g JOIN f USING (k), range(0, 50) r(j) WHERE g.doc_id > f.lo),
+u AS (SELECT doc_id, unnest(ws) AS word, generate_subscripts(ws, 1) AS p FROM w),
+s AS (SELECT u.doc_id, count(c.p) AS n_removed, string_agg(word, ' ' ORDER BY u.p) FILTER (WHERE c.p IS NULL) AS kept
+      FROM u LEFT JOIN c ON u.doc_id = c.doc_id AND u.p = c.p GROUP BY u.doc_id)
+SELECT w.doc_id, len(ws)::BIGINT AS n_words, coalesce(n_removed, 0)::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM w LEFT JOIN s USING (doc_id)
+"""
+
+_OP6_SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+s AS (
+  SELECT DISTINCT doc_id, array_to_string(ws[i : i + 2], ' ') AS k FROM w, range(1, 1000000) r(i) WHERE i + 2 <= len(ws)
+  UNION ALL SELECT doc_id, array_to_string(ws, ' ') FROM w WHERE len(ws) IN (1, 2)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+b AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS m FROM s x JOIN s y ON x.k = y.k AND x.doc_id < y.doc_id GROUP BY ALL),
+l AS (SELECT a, b FROM b JOIN n x ON b.a = x.doc_id JOIN n y ON b.b = y.doc_id WHERE 100 * m >= 90 * (x.n + y.n - m)),
+e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+r AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a)
+SELECT r.a AS doc_id, coalesce(max(n.n), 0)::BIGINT AS n_shingles, min(r.b) AS component_id FROM r LEFT JOIN n ON r.a = n.doc_id GROUP BY r.a
+"""
+
 ORACLE_SQL: dict[str, str] = {
+    "op4_substring_dedup": _OP4_SQL,
     "op5_poisson_mixing": mixing.replicate_sql(),
+    "op6_ngram_jaccard": _OP6_SQL,
 }
