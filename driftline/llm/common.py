@@ -174,6 +174,20 @@ class Bloom:
         return found
 
 
+def filtered(df: DataFrame, bloom: Bloom, id_col: str, inside: bool) -> DataFrame:
+    """The rows of df whose id passes the filter, or the others; a null id never passes."""
+    sent = df.sparkSession.sparkContext.broadcast(bloom)
+    place = df.columns.index(id_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids = batch.column(place)
+            hit = sent.value.has(ids.cast(pa.int64()).fill_null(0).to_numpy(zero_copy_only=False)) & ids.is_valid().to_numpy(zero_copy_only=False)
+            yield batch.filter(pa.array(hit if inside else ~hit))
+
+    return df.mapInArrow(run, df.schema)
+
+
 # --- connected components ---------------------------------------------------
 
 
