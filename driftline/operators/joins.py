@@ -12,15 +12,12 @@ def _bracketed(left: DataFrame, right: DataFrame, keys: list[str], value: str) -
     """left's rows with (us, value) of right's last row at or before and first row at or after them, as before_ and after_."""
     a = with_micros(left).withColumn("__left", F.lit(True)).withColumn("__row", F.struct(*[c for c in left.columns if c not in keys]))
     b = with_micros(right).where(F.col(value).isNotNull())
-    both = a.select(*keys, "us", "__left", "__row", F.lit(None).cast("double").alias("__v")).unionByName(
-        b.select(*keys, "us", F.lit(False).alias("__left"), F.lit(None).cast(a.schema["__row"].dataType).alias("__row"), F.col(value).cast("double").alias("__v"))
+    both = a.select(*keys, "us", "__left", "__row", F.lit(None).cast("double").alias("__w")).unionByName(
+        b.select(*keys, "us", F.lit(False).alias("__left"), F.lit(None).cast(a.schema["__row"].dataType).alias("__row"), F.col(value).cast("double").alias("__w"))
     )
-    rows = Ordered(both, keys, tie=["__left"])
-    rows = rows.last_valid(["us", "__v"], F.col("__v").isNotNull(), "before_")
-    rows.tie = []
-    late = Ordered(rows.df.withColumn("__right_first", F.col("__left")), keys, tie=["__right_first"])
-    # a right row at the very time of a left row counts on both sides
-    out = late.next_valid(["us", "__v"], F.col("__v").isNotNull(), "after_").done().where("__left")
+    rows = Ordered(both, keys, tie=["__left"])  # a right row at the very time of a left row comes first, and counts on both sides
+    rows = rows.last_valid(["us", "__w"], F.col("__w").isNotNull(), "before_").next_valid(["us", "__w"], F.col("__w").isNotNull(), "after_")
+    out = rows.done().where("__left")
     same = F.col("before_.us") == F.col("us")
     return out.withColumn("after_", F.when(same, F.col("before_")).otherwise(F.col("after_"))).select(*keys, "us", "__row.*", "before_", "after_")
 
@@ -29,7 +26,7 @@ def asof_nearest(left: DataFrame, right: DataFrame, keys: list[str], value: str,
     """left with right's value nearest in time, at most tolerance_us away, else null; of two as near the later."""
     met = _bracketed(left, right, keys, value)
     back, ahead = F.col("us") - F.col("before_.us"), F.col("after_.us") - F.col("us")
-    pick = F.when(ahead.isNotNull() & (back.isNull() | (ahead <= back)), F.when(ahead <= tolerance_us, F.col("after_.__v"))).when(back <= tolerance_us, F.col("before_.__v"))
+    pick = F.when(ahead.isNotNull() & (back.isNull() | (ahead <= back)), F.when(ahead <= tolerance_us, F.col("after_.__w"))).when(back <= tolerance_us, F.col("before_.__w"))
     return met.withColumn(name or value, pick).drop("us", "before_", "after_")
 
 
@@ -37,7 +34,7 @@ def asof_interpolate(left: DataFrame, right: DataFrame, keys: list[str], value:
     """left with right's value interpolated linearly in time; after right's end its last value, before its start null."""
     met = _bracketed(left, right, keys, value)
     x0, x1 = F.col("before_.us"), F.col("after_.us")
-    y0, y1 = F.col("before_.__v"), F.col("after_.__v")
+    y0, y1 = F.col("before_.__w"), F.col("after_.__w")
     line = F.when(x0 == x1, y0).otherwise(y0 + (y1 - y0) * (F.col("us") - x0) / (x1 - x0))
     return met.withColumn(name or value, F.when(x0.isNotNull(), F.coalesce(line, y0))).drop("us", "before_", "after_")
 
