@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 from .plans.series_queries import SERIES, Query
+from .plans.stat_queries import STATS
 
-ALL: dict[str, tuple[Query, str | None]] = {**SERIES}
+ALL: dict[str, tuple[Query, str | None]] = {**SERIES, **STATS}
 QUERIES: dict[str, Query] = {name: query for name, (query, _) in ALL.items()}
 ORACLE_SQL: dict[str, str] = {name: sql for name, (_, sql) in ALL.items() if sql}
