@@ -1,17 +1,24 @@
-"""Order-dependent primitives that do not put a whole series into one task.
-
-A plain window partitioned by series sorts each series in one task; with one
-hot series that task is the job. Here a series is cut into chunks of time.
-Work inside a chunk is a window over (series, chunk); what must pass from
-chunk to chunk (the last row, the last valid value, a sum, a count) is one
-summary row a chunk, and only those rows meet in a window over the series.
+"""Order-dependent primitives: previous and next rows, running sums, last and next valid values.
+
+Usually the number of series is the parallel axis and a window over a series is
+one task of bounded size (a sensor's record). Where one series is too long for
+a task, chunks cut it: with chunk_us, or the setting driftline.chunk_us of the
+session, work inside a chunk of time is a window over (series, chunk), and what
+must pass from chunk to chunk (the last row, the last valid value, a sum) is
+one summary row a chunk; only those rows meet in a window over the series. A
+chunked step reads its input twice, so the input is written to the shared
+folder first, which also keeps plans of several steps short.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import materialized
+
 DAY_US = 86_400_000_000
 
 
@@ -24,12 +31,14 @@ class Ordered:
     """Rows of (series, us) in order; each method returns a new Ordered with one more column.
 
     series: key columns; us: a bigint that orders a series (ties break by `tie`
-    columns); chunk_us: length of a chunk.
+    columns); chunk_us: length of a chunk, None for whole series.
     """
 
-    def __init__(self, df: DataFrame, series: list[str], us: str = "us", tie: list[str] | None = None, chunk_us: int = DAY_US):
-        self.series, self.us, self.tie, self.chunk_us = list(series), us, list(tie or []), chunk_us
-        self.df = df if "__chunk" in df.columns else df.withColumn("__chunk", F.floor(F.col(us) / F.lit(chunk_us)).cast("long"))
+    def __init__(self, df: DataFrame, series: list[str], us: str = "us", tie: list[str] | None = None, chunk_us: int | None = None):
+        setting = df.sparkSession.conf.get("driftline.chunk_us", None)
+        self.series, self.us, self.tie = list(series), us, list(tie or [])
+        self.chunk_us = chunk_us or (int(setting) if setting else None)
+        self.df = df.withColumn("__chunk", F.floor(F.col(us) / F.lit(self.chunk_us)).cast("long")) if self.chunk_us else df
 
     def _with(self, df: DataFrame) -> Ordered:
         out = Ordered.__new__(Ordered)
@@ -43,45 +52,49 @@ class Ordered:
 
     @property
     def _local(self):
-        return Window.partitionBy(*self._key).orderBy(self.us, *self.tie)
+        return Window.partitionBy(*(self._key if self.chunk_us else self.series)).orderBy(self.us, *self.tie)
 
     @property
     def _chunks(self):
         return Window.partitionBy(*self.series).orderBy("__chunk")
 
-    def _joined(self, summary: DataFrame) -> DataFrame:
-        return self.df.join(summary, self._key, "left")
+    def _added(self, local: dict[str, Column], summary: dict[str, Column], carried: Column, name: str, value: Callable[[Column | None], Column]) -> Ordered:
+        """name: value, from the columns local and, of chunks, __carry: `carried` over the chunks' summaries."""
+        df = self.df.withColumns(local)
+        if not self.chunk_us:
+            return self._with(df.withColumn(name, value(None)).drop(*local))
+        df = materialized(df)
+        carry = df.groupBy(*self._key).agg(*(c.alias(n) for n, c in summary.items())).withColumn("__carry", carried).drop(*summary)
+        out = df.join(carry, self._key, "left").withColumn(name, value(F.col("__carry")))
+        return self._with(out.drop("__carry", *local))
+
+    @property
+    def _rank(self) -> Column:
+        return F.struct(self.us, *self.tie)
 
     def done(self) -> DataFrame:
         return self.df.drop("__chunk")
 
     def previous(self, column: str, name: str) -> Ordered:
         """name: column's value in the row before, null in a series' first row."""
-        rank = F.struct(self.us, *self.tie)
-        last = self.df.groupBy(*self._key).agg(F.max_by(F.struct(column), rank).alias("__v"))
-        summary = last.withColumn("__v", F.lag("__v").over(self._chunks))
-        row = F.row_number().over(self._local)
-        df = self._joined(summary).withColumn(name, F.when(row == 1, F.col(f"__v.{column}")).otherwise(F.lag(column).over(self._local)))
-        return self._with(df.drop("__v"))
+        near = F.lag(F.struct(column)).over(self._local)
+        value = lambda carry: F.col(f"__n.{column}") if carry is None else F.when(F.col("__n").isNull(), carry[column]).otherwise(F.col(f"__n.{column}"))
+        return self._added({"__n": near}, {"__v": F.max_by(F.struct(column), self._rank)}, F.lag("__v").over(self._chunks), name, value)
 
     def following(self, column: str, name: str) -> Ordered:
         """name: column's value in the row after, null in a series' last row."""
-        rank = F.struct(self.us, *self.tie)
-        first = self.df.groupBy(*self._key).agg(F.min_by(F.struct(column), rank).alias("__v"))
-        summary = first.withColumn("__v", F.lead("__v").over(self._chunks))
-        after = F.lead(F.struct(column)).over(self._local)
-        df = self._joined(summary).withColumn("__n", after).withColumn(name, F.when(F.col("__n").isNull(), F.col(f"__v.{column}")).otherwise(F.col(f"__n.{column}")))
-        return self._with(df.drop("__v", "__n"))
+        near = F.lead(F.struct(column)).over(self._local)
+        value = lambda carry: F.col(f"__n.{column}") if carry is None else F.when(F.col("__n").isNull(), carry[column]).otherwise(F.col(f"__n.{column}"))
+        return self._added({"__n": near}, {"__v": F.min_by(F.struct(column), self._rank)}, F.lead("__v").over(self._chunks), name, value)
 
     def running_sum(self, column: Column | str, name: str) -> Ordered:
         """name: sum of an integer column up to and with the row."""
-        value = F.col(column) if isinstance(column, str) else column
-        df = self.df.withColumn("__x", value.cast("long"))
-        sums = df.groupBy(*self._key).agg(F.sum("__x").alias("__s"))
-        summary = sums.withColumn("__s", F.coalesce(F.sum("__s").over(self._chunks.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-        local = F.coalesce(F.sum("__x").over(self._local.rowsBetween(Window.unboundedPreceding, 0)), F.lit(0))
-        out = df.join(summary, self._key, "left").withColumn(name, F.col("__s") + local)
-        return self._with(out.drop("__x", "__s"))
+        x = F.coalesce((F.col(column) if isinstance(column, str) else column).cast("long"), F.lit(0))
+        df = self._with(self.df.withColumn("__x", x))
+        local = F.sum("__x").over(self._local.rowsBetween(Window.unboundedPreceding, 0))
+        value = lambda carry: F.col("__n") if carry is None else F.col("__n") + F.coalesce(carry, F.lit(0))
+        out = df._added({"__n": local}, {"__v": F.sum("__x")}, F.sum("__v").over(self._chunks.rowsBetween(Window.unboundedPreceding, -1)), name, value)
+        return out._with(out.df.drop("__x"))
 
     def index(self, name: str) -> Ordered:
         """name: 0, 1, ... along each series."""
@@ -90,23 +103,24 @@ class Ordered:
 
     def last_valid(self, columns: list[str], valid: Column, name: str) -> Ordered:
         """name: struct of columns of the last row up to and with this one where valid holds, or null."""
-        held = F.when(valid, F.struct(*columns))
-        df = self.df.withColumn("__h", held)
-        rank = F.struct(self.us, *self.tie)
-        ends = df.groupBy(*self._key).agg(F.max_by("__h", F.when(F.col("__h").isNotNull(), rank)).alias("__v"))
-        summary = ends.withColumn("__v", F.last("__v", ignorenulls=True).over(self._chunks.rowsBetween(Window.unboundedPreceding, -1)))
+        df = self._with(self.df.withColumn("__h", F.when(valid, F.struct(*columns))))
         local = F.last("__h", ignorenulls=True).over(self._local.rowsBetween(Window.unboundedPreceding, 0))
-        return self._with(df.join(summary, self._key, "left").withColumn(name, F.coalesce(local, "__v")).drop("__h", "__v"))
+        ends = F.max_by("__h", F.when(F.col("__h").isNotNull(), self._rank))
+        value = lambda carry: F.col("__n") if carry is None else F.coalesce("__n", carry)
+        out = df._added({"__n": local}, {"__v": ends}, F.last("__v", ignorenulls=True).over(self._chunks.rowsBetween(Window.unboundedPreceding, -1)), name, value)
+        return out._with(out.df.drop("__h"))
 
     def next_valid(self, columns: list[str], valid: Column, name: str) -> Ordered:
         """name: struct of columns of the first row from this one on where valid holds, or null."""
-        held = F.when(valid, F.struct(*columns))
-        df = self.df.withColumn("__h", held)
-        rank = F.struct(self.us, *self.tie)
-        begins = df.groupBy(*self._key).agg(F.min_by("__h", F.when(F.col("__h").isNotNull(), rank)).alias("__v"))
-        summary = begins.withColumn("__v", F.first("__v", ignorenulls=True).over(self._chunks.rowsBetween(1, Window.unboundedFollowing)))
-        local = F.first("__h", ignorenulls=True).over(self._local.rowsBetween(0, Window.unboundedFollowing))
-        return self._with(df.join(summary, self._key, "left").withColumn(name, F.coalesce(local, "__v")).drop("__h", "__v"))
+        df = self._with(self.df.withColumn("__h", F.when(valid, F.struct(*columns))))
+        # backwards: a frame that ends with the partition would be computed anew for each row
+        keys = self._key if self.chunk_us else self.series
+        back = Window.partitionBy(*keys).orderBy(*(F.desc(c) for c in (self.us, *self.tie))).rowsBetween(Window.unboundedPreceding, 0)
+        local = F.last("__h", ignorenulls=True).over(back)
+        begins = F.min_by("__h", F.when(F.col("__h").isNotNull(), self._rank))
+        value = lambda carry: F.col("__n") if carry is None else F.coalesce("__n", carry)
+        out = df._added({"__n": local}, {"__v": begins}, F.last("__v", ignorenulls=True).over(Window.partitionBy(*self.series).orderBy(F.desc("__chunk")).rowsBetween(Window.unboundedPreceding, -1)), name, value)
+        return out._with(out.df.drop("__h"))
 
 
 def first_in_order(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:

@@ -194,7 +194,7 @@ def monthly_profile(samples: DataFrame, statistic: Column, zone_free_ts: str = "
     by = samples.groupBy("series_id", F.trunc(zone_free_ts, "month").alias("month")).agg(statistic.alias("value"))
     ends = by.groupBy("series_id").agg(F.min("month").alias("lo"), F.max("month").alias("hi"))
     full = ends.select("series_id", F.explode(F.expr("sequence(lo, hi, interval 1 month)")).alias("month")).join(by, ["series_id", "month"], "left")
-    rows = Ordered(with_micros(full, "month"), ["series_id"], chunk_us=10**15).index("idx")
+    rows = Ordered(with_micros(full, "month"), ["series_id"]).index("idx")
     rows = rows.last_valid(["idx", "value"], F.col("value").isNotNull(), "l").next_valid(["idx", "value"], F.col("value").isNotNull(), "r").done()
     l, r = F.col("l"), F.col("r")
     line = l["value"] + (r["value"] - l["value"]) * (F.col("idx") - l["idx"]) / (r["idx"] - l["idx"])

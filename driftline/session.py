@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 import zipfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _shipped: set[str] = set()
 
@@ -21,6 +22,17 @@ def build_session(app: str = "driftline", master: str | None = None, **conf: str
     return builder.getOrCreate()
 
 
+#: Rows may hold whole texts, so batches of rows are kept small where they cross to Python or come from Parquet.
+BATCH_ROWS = {"spark.sql.execution.arrow.maxRecordsPerBatch": "500", "spark.sql.parquet.columnarReaderBatchSize": "512"}
+
+
+def prepare(spark: SparkSession) -> None:
+    """Make a session ready: small batches, and this package on the executors."""
+    for key, value in BATCH_ROWS.items():
+        spark.conf.set(key, value)
+    ship(spark)
+
+
 def ship(spark: SparkSession) -> None:
     """Send this package to the executors' Python workers, once for each application."""
     context = spark.sparkContext
@@ -36,3 +48,11 @@ def ship(spark: SparkSession) -> None:
                     z.write(full, os.path.relpath(full, os.path.dirname(here)))
     context.addPyFile(path)
     _shipped.add(context.applicationId)
+
+
+def materialized(df: DataFrame, name: str = "step") -> DataFrame:
+    """df written to the folder that all executors share (spark.checkpoint.dir, or one of our own where that is unset) and read again."""
+    spark = df.sparkSession
+    path = f"{(spark.conf.get('spark.checkpoint.dir', None) or '/tmp/driftline').rstrip('/')}/driftline/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
