@@ -166,28 +166,33 @@ def _full_windows(docs: DataFrame, ids: common.Bloom, anchors: common.Bloom, win
     return docs.where("doc_id is not null").mapInArrow(run, "h1 long, h2 long, doc_id long, fp1 long, fp2 long, pos int")
 
 
-def _parted(docs: DataFrame, touched: common.Bloom, inside: bool) -> DataFrame:
-    """doc_id, text, fp1, fp2 of the rows whose id passes the filter, or of the others."""
+def _touched(docs: DataFrame, touched: common.Bloom) -> DataFrame:
+    """doc_id, text, fp1, fp2 of the rows whose id passes the filter."""
     sent = docs.sparkSession.sparkContext.broadcast(touched)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = batch.column(0)
-            hit = sent.value.has(ids.fill_null(0).to_numpy(zero_copy_only=False)) & ids.is_valid().to_numpy(zero_copy_only=False)
-            batch = batch.filter(pa.array(hit if inside else ~hit))
+            batch = batch.filter(pa.array(sent.value.has(batch.column(0).to_numpy(zero_copy_only=False))))
             for words in slices(batch.column(1)):
                 n = words.last - words.first
-                fp1, fp2 = sequence_hashes(words, words.hashes()) if inside else (np.zeros(n, dtype=np.int64),) * 2
+                fp1, fp2 = sequence_hashes(words, words.hashes())
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(words.first, n), batch.column(1).slice(words.first, n), pa.array(fp1), pa.array(fp2)], names=["doc_id", "text", "fp1", "fp2"])
 
-    return docs.mapInArrow(run, "doc_id long, text string, fp1 long, fp2 long")
+    return docs.where("doc_id is not null").mapInArrow(run, "doc_id long, text string, fp1 long, fp2 long")
 
 
-def _without(docs: DataFrame, window: int) -> DataFrame:
-    """doc_id, n_words, n_removed, kept_text; docs has `gone`, the starts of windows to remove (-1: the whole text) or null."""
+def _without(docs: DataFrame, window: int, touched: common.Bloom | None = None) -> DataFrame:
+    """doc_id, n_words, n_removed, kept_text; docs has `gone`, the starts of windows to remove (-1: the whole text) or null.
+
+    touched: leave out the rows whose id passes this filter.
+    """
+    sent = docs.sparkSession.sparkContext.broadcast(touched) if touched else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            if sent:
+                ids = batch.column(0)
+                batch = batch.filter(pa.array(~(sent.value.has(ids.fill_null(0).to_numpy(zero_copy_only=False)) & ids.is_valid().to_numpy(zero_copy_only=False))))
             gone = batch.column(2)
             for words in slices(batch.column(1)):
                 n = words.last - words.first
@@ -277,15 +282,16 @@ class SubstringDeduplicator:
         if history is not None:
             found = found.unionByName(_full_windows(narrow(history), by_id, by_anchor, self.window, self.stretch).withColumn("new", F.lit(False)))
         found = common.stored(found, "windows")
-        least = found.groupBy("h1", "h2").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("h1", "h2", "lo")
+        # stored, so that a passage that a large part of all documents share can be split in the join
+        least = common.stored(found.groupBy("h1", "h2").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("h1", "h2", "lo"), "least")
         repeats = found.where("new").join(least, ["h1", "h2"]).where("doc_id > lo").select("doc_id", "fp1", "fp2", "pos")
         gone = repeats.unionByName(whole.select("doc_id", "fp1", "fp2", F.lit(-1).alias("pos")))
         gone = common.stored(gone.groupBy("doc_id", "fp1", "fp2").agg(F.collect_list("pos").alias("gone")), "gone")
 
         touched = common.Bloom.of(gone.select("doc_id"), "doc_id", MAX_FILTER_BITS)
-        same = _parted(docs, touched, inside=False).withColumn("gone", F.lit(None).cast("array<int>"))
-        changed = _parted(docs, touched, inside=True).join(gone, ["doc_id", "fp1", "fp2"], "left")
-        out = _without(same, self.window).unionByName(_without(changed, self.window))
+        same = docs.withColumn("gone", F.lit(None).cast("array<int>"))
+        changed = _touched(docs, touched).join(gone, ["doc_id", "fp1", "fp2"], "left")
+        out = _without(same, self.window, touched).unionByName(_without(changed, self.window))
 
         self.documents.append(first.withColumnRenamed("rep", "lo"))
         self.anchors.append(own)
