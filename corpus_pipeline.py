@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from driftline.llm import bpe, common, mixing, ngram_join, rule_ensemble, secrets
-from driftline.session import ship
+from driftline.session import prepare
 
 QUALITY_LEAST = 0.3
 NEAR_WORDS, NEAR_PERCENT = 5, 80
@@ -30,7 +30,7 @@ NEAR_WORDS, NEAR_PERCENT = 5, 80
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents with a quality score of QUALITY_LEAST and more."""
-    ship(spark)
+    prepare(spark)
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "quality")
     model = rule_ensemble.fit(common.labelled_sample(docs.select("doc_id", "text"), labels, rule_ensemble.SAMPLE))
     return rule_ensemble.score(docs, model, score_col="__score").where(F.col("__score") >= QUALITY_LEAST).select(docs.columns)
@@ -42,7 +42,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     Only documents that go, and ids with several rows, meet in a join; the
     others pass a filter of those ids without a shuffle of their texts.
     """
-    ship(spark)
+    prepare(spark)
     classes = common.stored(ngram_join.similarity_classes(docs, n=NEAR_WORDS, percent=NEAR_PERCENT).where("doc_id is not null"), "classes")
     goes = classes.where("doc_id <> component_id").select("doc_id").distinct()
     again = classes.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("doc_id")
@@ -54,18 +54,20 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def redacted(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents with secrets replaced by a mark; n_chars follows the text."""
+    prepare(spark)
     out = secrets.redact(docs)
     return out.withColumn("n_chars", F.length("text").cast("long")).select(docs.columns) if "n_chars" in docs.columns else out
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Copies of the documents in the target mix, in a random order."""
+    prepare(spark)
     return mixing.replicate(docs).select(docs.columns)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, lang, source, n_tokens and ids of each document."""
-    ship(spark)
+    prepare(spark)
     path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
     coded = bpe.encode(docs.select("doc_id", "lang", "source", "text"), path, public_tokenizers.PATTERN)
     return coded.select("doc_id", "lang", "source", F.size("ids").cast("long").alias("n_tokens"), "ids")

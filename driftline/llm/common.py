@@ -31,19 +31,30 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     path = new_path(spark, name)
     with small_batches(spark):
         df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.stored_at = path
+    return out
+
+
+def discard(*tables: DataFrame | None) -> None:
+    """Delete tables that stored() wrote, once nothing that is still to be computed reads them."""
+    for t in tables:
+        if t is not None:
+            remove(t.sparkSession, t.stored_at)
 
 
 @contextlib.contextmanager
-def small_batches(spark: SparkSession, rows: int = 1000) -> Iterator[None]:
-    """Arrow batches of few rows while an action runs: rows here hold whole texts or sets."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(key)
-    spark.conf.set(key, str(rows))
+def small_batches(spark: SparkSession, rows: int = 500) -> Iterator[None]:
+    """Arrow and Parquet batches of few rows while an action runs: rows here hold whole texts or sets."""
+    keys = {"spark.sql.execution.arrow.maxRecordsPerBatch": str(rows), "spark.sql.parquet.columnarReaderBatchSize": "512"}
+    before = {k: spark.conf.get(k) for k in keys}
+    for k, v in keys.items():
+        spark.conf.set(k, v)
     try:
         yield
     finally:
-        spark.conf.set(key, before)
+        for k, v in before.items():
+            spark.conf.set(k, v)
 
 
 def remove(spark: SparkSession, path: str) -> None:
@@ -84,7 +95,7 @@ def gathered(df: DataFrame, fill: Callable[[np.ndarray, pa.RecordBatch], None],
     elements whatever the number of rows. size must be a multiple of 16.
     """
     step = size // _PARTS
-    spread = 64
+    spread = 64  # ways that tasks share the first round of combining
 
     def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = np.zeros(size, dtype=kind)
@@ -198,18 +209,22 @@ def components(links: DataFrame, name: str = "links", max_rounds: int = 60) -> D
     Alternates the large-star and small-star steps of Kiveris et al. (2014)
     until no link changes. Each step is an aggregation by node with a join
     back, and each round's links are a table in the shared folder; nothing of
-    the graph comes to the driver but a count and a checksum.
+    the graph comes to the driver but a count and a checksum. The least
+    neighbours are stored before they join back: a join of two plain shuffles
+    can split a node that holds a large part of all links, one with an
+    aggregate below it can not.
     """
     spark = links.sparkSession
     edges = stored(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), name)
     state = None
     for _ in range(max_rounds):
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("n"), F.least("a", "m").alias("m"))
-        large = both.join(low, both.a == low.n).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
-        low2 = large.groupBy("a").agg(F.min("b").alias("m")).withColumnRenamed("a", "n")
+        low = stored(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("n"), F.least("a", "m").alias("m")), name)
+        large = stored(both.join(low, both.a == low.n).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct(), name)
+        low2 = stored(large.groupBy("a").agg(F.min("b").alias("m")).withColumnRenamed("a", "n"), name)
         small = large.join(low2, large.a == low2.n).select(F.when(F.col("b") == F.col("m"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
-        edges = stored(small, name)
+        before, edges = edges, stored(small, name)
+        discard(before, low, large, low2)
         got = edges.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("s")).first()
         now = (got["n"], got["s"])
         if now == state:

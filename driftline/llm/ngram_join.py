@@ -43,7 +43,8 @@ from pyspark.sql import functions as F
 from . import common
 from .textkernel import list_array, mix, ngram_hashes, slices
 
-SKETCH_BITS = 18
+#: Buckets of the counters, as a power of two. They must outnumber the frequent n-grams, or those look rare.
+SKETCH_BITS = 21
 HISTOGRAM_BINS = 32
 #: Cross-component pairs are listed in full once there are at most this many per posting row.
 FULL_LIST_FACTOR = 4
@@ -88,9 +89,9 @@ def _rarity(docs: DataFrame, n: int, lower: bool) -> np.ndarray:
                 for j in range(1, n):
                     at = words.bounds[1:-1] - j
                     inside[at[(at >= 0) & (at < len(inside))]] = False
-                own += np.bincount((ngram_hashes(h, n)[inside] >> shift).astype(np.int64), minlength=len(own))
+                np.add.at(own, (ngram_hashes(h, n)[inside] >> shift).astype(np.int64), 1)
 
-    counts = common.gathered(docs.select("text"), fill, 1 << SKETCH_BITS, "int64", "add")
+    counts = common.gathered(docs.select("text"), fill, 1 << SKETCH_BITS, "int32", "add")
     return np.minimum(255, 6 * np.log2(1.0 + counts)).astype(np.uint8)
 
 
@@ -217,7 +218,9 @@ def _shared_postings(reps: DataFrame) -> DataFrame:
     few that pass by chance pair with nothing.
     """
     held = reps.select(F.explode("prefix").alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("token")
-    spread = reps.sparkSession.sparkContext.broadcast(common.Bloom.of(common.stored(held, "tokens"), "token"))
+    held = common.stored(held, "tokens")
+    spread = reps.sparkSession.sparkContext.broadcast(common.Bloom.of(held, "token"))
+    common.discard(held)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -237,8 +240,10 @@ def _crossing(postings: DataFrame, links: DataFrame) -> DataFrame:
     """Postings of the n-grams whose holders lie in different components, with `comp`."""
     comp = common.components(links)
     postings = postings.drop("comp").join(comp, postings.rep == comp.node, "left").select("token", "rep", "n", "pos", F.coalesce("component", "rep").alias("comp"))
-    mixed = postings.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("token")
-    return common.stored(postings.join(mixed, "token"), "postings")
+    mixed = common.stored(postings.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("token"), "tokens")
+    out = common.stored(postings.join(mixed, "token"), "postings")
+    common.discard(mixed)
+    return out
 
 
 def _cross_pairs(postings: DataFrame, percent: int) -> int:
@@ -264,8 +269,10 @@ def _all_pairs(postings: DataFrame, percent: int) -> DataFrame:
 def _hub_pairs(postings: DataFrame, seed: int, percent: int) -> DataFrame:
     """Pairs of one holder of each n-gram, chosen by seed, with the holders in other components."""
     rank = F.col("rep") if seed == 0 else F.xxhash64("rep", F.lit(seed))
-    chosen = postings.groupBy("token").agg(F.min(F.struct(rank.alias("rank"), "rep", "n", "pos", "comp")).alias("h"))
-    chosen = chosen.select(F.col("token").alias("at"), F.col("h.rep").alias("hub"), F.col("h.n").alias("hn"), F.col("h.pos").alias("hp"), F.col("h.comp").alias("hcomp"))
+    # by columns of plain longs, so that the aggregation hashes and does not sort
+    ranked = postings.withColumn("rank", rank)
+    chosen = ranked.groupBy(F.col("token").alias("at")).agg(*(F.min_by(c, "rank").alias(name) for c, name in (("rep", "hub"), ("n", "hn"), ("pos", "hp"), ("comp", "hcomp"))))
+    chosen = common.stored(chosen, "hubs")
     met = postings.join(chosen, (F.col("token") == F.col("at")) & (F.col("comp") != F.col("hcomp")) & _fits(F.col("n"), F.col("hn"), F.col("pos"), F.col("hp"), percent))
     return met.where("rep <> hub").select(F.least("rep", "hub").alias("a"), F.greatest("rep", "hub").alias("b")).distinct()
 
@@ -282,10 +289,11 @@ def similarity_classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     docs = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     rows = common.stored(_profiles(docs, n, percent, lower), "profiles")
     real = rows.where("n_shingles > 0 and doc_id is not null")
-    first = real.groupBy("fp1", "fp2").agg(F.min("doc_id").alias("rep"))
+    first = common.stored(real.groupBy("fp1", "fp2").agg(F.min("doc_id").alias("rep")), "first")
     members = common.stored(rows.select("doc_id", "n_shingles", "fp1", "fp2").join(first, ["fp1", "fp2"], "left").select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("rep")).alias("rep")), "members")
     reps = common.stored(real.join(first, ["fp1", "fp2"]).where("doc_id = rep").select("rep", F.col("n_shingles").alias("n"), "prefix", "hist"), "reps")
 
+    common.discard(rows, first)
     postings = _shared_postings(reps)
     links: DataFrame | None = None
     tried: DataFrame | None = None
@@ -305,10 +313,13 @@ def similarity_classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
         tried = pairs if tried is None else tried.unionByName(pairs)
         links = found if links is None else links.unionByName(found)
         if last:
+            common.discard(postings)
             break
-        postings = _crossing(postings, links)
+        before_, postings = postings, _crossing(postings, links)
+        common.discard(before_)
 
     if links is None:
         return members.select("doc_id", "n_shingles", F.coalesce("rep", "doc_id").alias("component_id"))
     comp = common.components(links)
+    common.discard(reps)
     return members.join(comp, members.rep == comp.node, "left").select("doc_id", "n_shingles", F.coalesce("component", "rep", "doc_id").alias("component_id"))
