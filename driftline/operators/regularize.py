@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from .ordered import Ordered, first_in_order, with_micros
 
+# Shortest run of steps that counts as an era, longest gap that is filled, upper bound of sane heights.
 MIN_ERA_SAMPLES = 500
 SHORT_GAP_LIMIT = 3
 MAX_REASONABLE = 15.0

@@ -20,6 +20,27 @@ def rolling_time(samples: DataFrame, span_us: int, aggregates: dict[str, Column]
     return rows.where("__own").drop("__chunk", "__own", "us")
 
 
+def rolling_sums(samples: DataFrame, span_us: int, columns: list[str], keys: list[str] | None = None, ts: str = "ts") -> DataFrame:
+    """samples with rows_in and sum_<column> over the time frame (t - span, t], for columns of exact numbers (integers, decimals).
+
+    A sliding frame is added up anew for each row, so its cost grows with the
+    rows in a frame. Here a frame is the difference of two running sums: the
+    one at the row, and the one of the last row at or before t - span, found by
+    sorting the rows together with their own times shifted back.
+    """
+    keys = keys or ["series_id"]
+    rows = with_micros(samples, ts)
+    upto = Window.partitionBy(*keys).orderBy("us")  # rows of one time count for each other
+    rows = rows.withColumn("__sums", F.struct(F.count(F.lit(1)).over(upto).alias("rows_in"), *(F.sum(c).over(upto).alias(f"sum_{c}") for c in columns)))
+    row = F.struct(*[c for c in rows.columns if c not in (*keys, "us")])
+    ends = rows.select(*keys, "us", F.lit(False).alias("__ask"), F.col("__sums").alias("__end"), F.lit(None).cast(rows.select(row.alias("r")).schema["r"].dataType).alias("__row"))
+    asks = rows.select(*keys, (F.col("us") - span_us).alias("us"), F.lit(True).alias("__ask"), F.lit(None).cast(rows.schema["__sums"].dataType).alias("__end"), row.alias("__row"))
+    met = Ordered(ends.unionByName(asks), keys, tie=["__ask"]).last_valid(["__end"], F.col("__end").isNotNull(), "__out").done().where("__ask")
+    met = met.select(*keys, "__row.*", F.col("__out.__end").alias("__before"))
+    sums = {n: F.col(f"__sums.{n}") - F.coalesce(F.col(f"__before.{n}"), F.lit(0)) for n in ("rows_in", *(f"sum_{c}" for c in columns))}
+    return met.withColumns(sums).drop("__sums", "__before")
+
+
 def trailing_rows(indexed: DataFrame, rows: int, aggregates: dict[str, Column], keys: list[str] | None = None, idx: str = "idx", ahead: tuple[int, int] | None = None) -> DataFrame:
     """indexed with aggregates over its last `rows` rows, itself included; ahead=(a, b): over the rows a to b after it."""
     keys = keys or ["series_id"]

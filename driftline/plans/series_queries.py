@@ -152,9 +152,9 @@ def first_duplicate(spark, d):
 
 def rolling_three_days(spark, d):
     cents = events(spark, d).withColumn("c", F.round(F.col("value") * 100).cast("long")).withColumn("cc", F.col("c") * F.col("c"))
-    out = windows.rolling_time(cents, 3 * 86_400_000_000, {"s": F.sum("c"), "s2": F.sum("cc"), "n": F.count("c")})
-    n = F.col("n")
-    return out.select(F.col("pos").alias("event_id"), (F.col("s").cast("double") / (100 * n)).alias("mean"), F.when(n > 1, (n * F.col("s2") - F.col("s") * F.col("s")).cast("double") / (10000.0 * n * (n - 1))).alias("variance"))
+    out = windows.rolling_sums(cents, 3 * 86_400_000_000, ["c", "cc"])
+    n, s1, s2 = F.col("rows_in"), F.col("sum_c"), F.col("sum_cc")
+    return out.select(F.col("pos").alias("event_id"), (s1.cast("double") / (100 * n)).alias("mean"), F.when(n > 1, (n * s2 - s1 * s1).cast("double") / (10000.0 * n * (n - 1))).alias("variance"))
 
 
 def second_differences(spark, d):
