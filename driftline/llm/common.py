@@ -9,6 +9,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -105,7 +106,7 @@ def gathered(df: DataFrame, fill: Callable[[np.ndarray, pa.RecordBatch], None],
                 seen = True
                 fill(own, b)
         if seen:
-            salt = int(np.random.default_rng().integers(spread))
+            salt = TaskContext.get().partitionId() % spread  # the same when a lost task runs again
             for k in range(_PARTS):
                 part = own[k * step : (k + 1) * step]
                 if part.any():

@@ -1,0 +1,19 @@
+"""Places where an operator once did less than the whole job."""
+
+import numpy as np
+
+
+def test_a_repeated_task_deals_its_parts_alike(spark, monkeypatch):
+    from driftline.llm import common
+
+    frame = type(spark.range(0))
+    dealt, real = [], frame.repartition
+    monkeypatch.setattr(frame, "repartition", lambda df, *by: (dealt.append(df), real(df, *by))[1])
+
+    def fill(own, batch):
+        np.add.at(own, batch.column(0).to_numpy() % len(own), 1)
+
+    got = common.gathered(spark.range(0, 4000, 1, 16), fill, 64, "int64", "add")
+    assert got.sum() == 4000 and (got[:32] == 63).all()
+    runs = [sorted((r.k, r.s, bytes(r.v)) for r in dealt[0].collect()) for _ in range(3)]
+    assert runs[0] == runs[1] == runs[2] and len({s for _, s, _ in runs[0]}) == 16
