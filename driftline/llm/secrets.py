@@ -4,9 +4,9 @@ Three fixed kinds come from patterns. The fourth, `entropy`, comes from
 candidate strings: runs of 20 and more characters of one class. A window of 20
 characters slides over a candidate; the counts of its characters change by one
 that enters and one that leaves, and with them the sum of n * log2(n), so each
-step costs the same whatever the window. A candidate whose best window reaches
-its class's threshold is a secret, unless the allow list names its form or a
-fixed span covers a part of it.
+step costs the same whatever the window. Where fixed spans cover a part of a
+candidate, the parts they leave over are the candidates. One whose best window
+reaches its class's threshold is a secret, unless the allow list names its form.
 
 A match's place is the length of all pieces and matches before it; pieces come
 from split(), matches from regexp_extract_all(), which find the same matches.
@@ -28,14 +28,15 @@ KINDS = ("assign", "access", "hex", "entropy")
 
 WINDOW = 20
 CANDIDATE = r"[A-Za-z0-9+/_=-]{20,}"
-#: Class of a whole candidate, and bits that its best window must reach.
-CLASSES = (("^[0-9a-fA-F]+$", 3.0), ("^[A-Za-z0-9]+$", 3.7), ("^[A-Za-z0-9+/_=-]+$", 3.9))
-#: Forms that are no secrets: only letters, only digits, words joined by - or _, UUIDs, dates and times, paths of words, rules, placeholders.
+#: Class of a whole candidate, and bits that its best window must reach; 99 % of random base64 strings of one window reach 3.6.
+CLASSES = (("^[0-9a-fA-F]+$", 3.0), ("^[A-Za-z0-9]+$", 3.7), ("^[A-Za-z0-9+/_=-]+$", 3.6))
+#: Forms that are no secrets: only letters, only digits, words joined by - or _, ids of numbers and words, dates with times, UUIDs, paths of words, rules, placeholders.
 ALLOWED = (
     "^[A-Za-z]+$",
     "^[0-9]+$",
     "^[A-Za-z]+([-_][A-Za-z]+)+$",
-    "^[A-Za-z]*[0-9]{1,4}([-_/][A-Za-z0-9]{1,12})+$",
+    "^[A-Za-z]{0,8}[0-9]{1,4}([-_/]([0-9]{1,12}|[A-Z]?[a-z]{1,12}))+$",
+    "^[0-9]{4}[-_/][0-9]{2}[-_/][0-9]{2}T[0-9]{2}([-_]?[0-9]{2}){0,2}([-_+][0-9]{2,6})?Z?$",
     "^[0-9A-Fa-f]{8}(-[0-9A-Fa-f]{4}){3}-[0-9A-Fa-f]{12}$",
     "^/?([A-Za-z_-]+/)+[A-Za-z_-]*$",
     r"^(.)\1+$",
@@ -89,12 +90,22 @@ def _secret(value: str) -> str:
     return f"(not ({allowed}) and {_best_entropy(value)} >= {need})"
 
 
+def _left_over() -> str:
+    """The parts of candidate x, of a window and more, that no span of base covers: x itself where none does."""
+    part = "named_struct('start', {a}, 'rank', x.rank, 'end', {b}, 'kind', x.kind, 'value', substring(x.value, cast({a} - x.start + 1 as int), cast({b} - {a} as int)))"
+    step = "named_struct('pos', greatest(a.pos, y.end), 'out', if(y.start > a.pos, concat(a.out, array({})), a.out))".format(part.format(a="a.pos", b="y.start"))
+    last = "if(x.end > a.pos, concat(a.out, array({})), a.out)".format(part.format(a="a.pos", b="x.end"))
+    none = "cast(array() as array<struct<start:bigint,rank:int,end:bigint,kind:string,value:string>>)"
+    cut = f"filter(aggregate(hits, named_struct('pos', x.start, 'out', {none}), (a, y) -> {step}, a -> {last}), z -> z.end - z.start >= {WINDOW})"
+    return let("hits", "filter(base, y -> y.start < x.end and x.start < y.end)", f"if(size(hits) = 0, array(x), {cut})")
+
+
 def spans_expr(text_col: str) -> str:
     """SQL for the array of spans (start, rank, end, kind, value) of a text, by start and then kind."""
     assign = _found(ASSIGN, "assign", f"length(regexp_extract(x.value, {lit(ASSIGN)}, 2)) >= {ASSIGN_VALUE_MIN}")
     fixed = f"concat({assign}, {_found(ACCESS, 'access', 'true')}, {_found(HEX, 'hex', 'true')})"
-    more = _found(CANDIDATE, "entropy", f"not exists(base, y -> y.start < x.end and x.start < y.end) and {_secret('x.value')}")
-    return let("t", f"coalesce({text_col}, '')", let("base", fixed, f"sort_array(concat(base, {more}))"))
+    more = f"filter(flatten(transform({_found(CANDIDATE, 'entropy', 'true')}, x -> {_left_over()})), x -> {_secret('x.value')})"
+    return let("t", f"coalesce({text_col}, '')", let("base", f"sort_array({fixed})", f"sort_array(concat(base, {more}))"))
 
 
 def scan(df: DataFrame, text_col: str = "text", spans_col: str = "secrets") -> DataFrame:
