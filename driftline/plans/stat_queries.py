@@ -26,19 +26,22 @@ def annual_statistics(spark, d):
     return o.groupBy(F.year("o_orderdate").cast("long").alias("year")).agg(F.count(F.lit(1)).alias("n"), mean_of_cents("o_totalprice").alias("mean"), off_ties(F.percentile("o_totalprice", 0.95)).alias("p95"), F.median("o_totalprice").alias("median"))
 
 
-def monthly_orders(spark, d):
-    """series_id, month, value of the mean order of each priority; every seventh month left out and interpolated."""
+def monthly_orders(spark, d, where="true"):
+    """series_id, month, value of the mean order of each priority; months without orders are interpolated."""
     o = table(spark, d, "orders").select(F.col("o_orderpriority").alias("series_id"), F.col("o_orderdate").cast("timestamp").alias("ts"), F.col("o_totalprice").alias("value"))
-    o = o.where((F.year("ts") * 12 + F.month("ts")) % 7 != 0)
-    return stats.monthly_profile(o, mean_of_cents("value"))
+    return stats.monthly_profile(o.where(where), mean_of_cents("value"))
+
+
+#: The SQL of monthly_profile and seasonal_extremes leaves every seventh month out.
+_AS_SQL = "(year(ts) * 12 + month(ts)) % 7 <> 0"
 
 
 def monthly_profile(spark, d):
-    return monthly_orders(spark, d).select("series_id", F.date_format("month", "yyyy-MM").alias("month"), off_ties("value", 2).alias("value"), "was_missing")
+    return monthly_orders(spark, d, _AS_SQL).select("series_id", F.date_format("month", "yyyy-MM").alias("month"), off_ties("value", 2).alias("value"), "was_missing")
 
 
 def seasonal_extremes(spark, d):
-    by = monthly_orders(spark, d).groupBy("series_id", F.month("month").cast("long").alias("m")).agg(off_ties(F.avg("value"), 2).alias("v"))
+    by = monthly_orders(spark, d, _AS_SQL).groupBy("series_id", F.month("month").cast("long").alias("m")).agg(off_ties(F.avg("value"), 2).alias("v"))
     return by.groupBy("series_id").agg(F.max_by("m", F.struct("v", (-F.col("m")).alias("k"))).alias("peak"), F.min_by("m", F.struct("v", "m")).alias("trough"))
 
 
