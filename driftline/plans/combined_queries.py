@@ -138,7 +138,7 @@ def weibull_band(spark, d):
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         x = pdf.sort_values("ts")["value"].dropna().to_numpy()
         rng = np.random.default_rng([7, int(key[1])])
-        fits = [N.weibull_moments(N.block_resample(x, 24, rng)) for _ in range(25)] if len(x) > 30 else []
+        fits = [N.weibull_moments(N.block_resample(x, 24, rng)) for _ in range(250)] if len(x) > 30 else []
         return pd.DataFrame({"series_id": key[0], "shape": [float(f[0]) for f in fits], "scale": [float(f[1]) for f in fits]})
 
     fits = spread.groupBy("series_id", "part").applyInPandas(run, "series_id string, shape double, scale double")

@@ -322,11 +322,11 @@ def extreme_fits(spark, d):
 
 def extreme_intervals(spark, d):
     p, u = _peaks(spark, d)
-    return E.gpd_bootstrap(p.join(u, "series_id").select("series_id", (F.col("peak") - F.col("threshold")).alias("value")).where("value > 0"), 64)
+    return E.gpd_bootstrap(p.join(u, "series_id").select("series_id", (F.col("peak") - F.col("threshold")).alias("value")).where("value > 0"))
 
 
 def resampled_intervals(spark, d):
-    return E.weibull_bootstrap(events(spark, d), ["series_id"], 24, 100)
+    return E.weibull_bootstrap(events(spark, d), ["series_id"], 24, 1000)
 
 
 def largest_left_out(spark, d):
@@ -334,14 +334,14 @@ def largest_left_out(spark, d):
 
 
 def regimes(spark, d):
-    got = ML.regimes(events(spark, d).select("series_id", "ts", "value"), ["value"], starts=2)
+    got = ML.regimes(events(spark, d).select("series_id", "ts", "value"), ["value"])
     return got.groupBy("series_id", "regime", "regime_name").agg(F.count(F.lit(1)).alias("n"), F.avg("value").alias("mean"))
 
 
 def regime_shares(spark, d):
     e = with_micros(events(spark, d)).withColumn("label", F.when(F.col("value") > 60, 2).when(F.col("value") > 20, 1).otherwise(0))
     lab = segments.segments_by_gap(e.drop("us"), 4 * HOUR_US).withColumn("us", F.unix_micros("ts"))
-    return E.share_bootstrap(lab.select("series_id", "seg_id", "us", "label"), 24, 50)
+    return E.share_bootstrap(lab.select("series_id", "seg_id", "us", "label"), 24)
 
 
 def regime_moves(spark, d):
@@ -376,7 +376,7 @@ def exceedance_forecast(spark, d):
 
 
 def order_search(spark, d):
-    return E.order_search(_longest(spark, d).select("series_id", "ts", "idx", "value"), most=1)
+    return E.order_search(_longest(spark, d).select("series_id", "ts", "idx", "value"))
 
 
 def _backtest(spark, d, **extra):

@@ -16,3 +16,32 @@ def test_monthly_queries_read_every_order(spark, tmp_path):
     assert got[peak.strftime("%Y-%m")] == (9000.0, False) and got[gap.strftime("%Y-%m")][0] == 140.0
     parts = queries.QUERIES["seasonal_decomposition"](spark, str(tmp_path)).collect()
     assert len(parts) == 72 and max(abs(v) for r in parts for v in r if isinstance(v, float)) > 4000
+
+
+def test_searches_and_resamples_run_at_their_defaults(spark, data, monkeypatch):
+    import inspect
+
+    from driftline import queries
+    from driftline.plans import stat_queries as Q
+
+    asked = {}
+
+    def noted(module, name):
+        real = getattr(module, name)
+
+        def call(*args, **extra):
+            got = inspect.signature(real).bind(*args, **extra)
+            got.apply_defaults()
+            asked[name] = got.arguments
+            return real(*args, **extra)
+
+        monkeypatch.setattr(module, name, call)
+
+    for name in ("gpd_bootstrap", "weibull_bootstrap", "share_bootstrap", "order_search"):
+        noted(Q.E, name)
+    noted(Q.ML, "regimes")
+    for name in ("extreme_intervals", "resampled_intervals", "regime_shares", "regimes", "order_search"):
+        queries.QUERIES[name](spark, data)
+    assert [asked[n]["replicates"] for n in ("gpd_bootstrap", "weibull_bootstrap", "share_bootstrap")] == [200, 1000, 200]
+    assert asked["regimes"]["starts"] == 5
+    assert asked["order_search"]["most"] == 3
