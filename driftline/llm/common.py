@@ -13,12 +13,17 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_DEFAULT_SHARED = "/tmp/driftline"
+_LOCAL_FOLDER = "/tmp/driftline"
+
+_written: list[DataFrame] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share, from spark.checkpoint.dir; a folder of our own only where that is unset."""
-    return (spark.conf.get("spark.checkpoint.dir", None) or _DEFAULT_SHARED).rstrip("/")
+    """The folder all executors share, from spark.checkpoint.dir; where it is unset, a folder of our own if all runs on this machine."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not spark.sparkContext.master.startswith("local["):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    return (named or _LOCAL_FOLDER).rstrip("/")
 
 
 def new_path(spark: SparkSession, name: str) -> str:
@@ -34,14 +39,26 @@ def stored(df: DataFrame, name: str) -> DataFrame:
         df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.stored_at = path
+    _written.append(out)
     return out
 
 
+@contextlib.contextmanager
+def scratch() -> Iterator[None]:
+    """Deletes on leaving all tables that stored() wrote inside; results must have been written or counted by then."""
+    before = len(_written)
+    try:
+        yield
+    finally:
+        discard(*_written[before:])
+
+
 def discard(*tables: DataFrame | None) -> None:
     """Delete tables that stored() wrote, once nothing that is still to be computed reads them."""
     for t in tables:
         if t is not None:
             remove(t.sparkSession, t.stored_at)
+            _written[:] = [w for w in _written if w is not t]
 
 
 @contextlib.contextmanager
@@ -169,15 +186,29 @@ class Bloom:
         return out
 
     @classmethod
-    def of(cls, df: DataFrame, key: str, max_bits: int = 1 << 26) -> Bloom:
-        """A filter of the values of a long column of df."""
-        n_bits = cls.size_for(df.count(), max_bits)
-
-        def fill(own: np.ndarray, batch: pa.RecordBatch) -> None:
-            for at in cls._places(batch.column(0).to_numpy(zero_copy_only=False), n_bits):
-                np.bitwise_or.at(own, at >> 3, (1 << (at & 7)).astype(np.uint8))
-
-        return cls(gathered(df.where(F.col(key).isNotNull()).select(key), fill, n_bits // 8, "uint8", "or"))
+    def of(cls, df: DataFrame, *keys: str, max_bits: int = 1 << 26) -> Bloom:
+        """A filter of the values of long columns of a stored table, made by a few tasks.
+
+        Of so many values that the filter would be more than half full, it is
+        one that passes everything.
+        """
+        values = df.count() * len(keys)
+        if 5 * values > max_bits:
+            return cls(np.full(1 << 13, 255, dtype=np.uint8))
+        n_bits = cls.size_for(values, max_bits)
+
+        def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            own = np.zeros(n_bits // 8, dtype=np.uint8)
+            for batch in batches:
+                for column in batch.columns:
+                    for at in cls._places(column.drop_null().to_numpy(zero_copy_only=False), n_bits):
+                        np.bitwise_or.at(own, at >> 3, (1 << (at & 7)).astype(np.uint8))
+            yield pa.RecordBatch.from_arrays([pa.array([pa.compress(own.tobytes(), codec="zstd", asbytes=True)], pa.binary())], names=["v"])
+
+        bits = np.zeros(n_bits // 8, dtype=np.uint8)
+        for row in df.select(*keys).coalesce(max(1, min(16, values >> 20))).mapInArrow(local, "v binary").collect():
+            bits |= np.frombuffer(pa.decompress(bytes(row.v), len(bits), codec="zstd"), dtype=np.uint8)
+        return cls(bits)
 
     def has(self, keys: np.ndarray) -> np.ndarray:
         found = np.ones(len(keys), dtype=bool)
@@ -203,19 +234,54 @@ def filtered(df: DataFrame, bloom: Bloom, id_col: str, inside: bool) -> DataFram
 # --- connected components ---------------------------------------------------
 
 
-def components(links: DataFrame, name: str = "links", max_rounds: int = 60) -> DataFrame:
-    """(node, component) for each node of links (a long, b long): component is
-    the smallest node that it reaches.
-
-    Alternates the large-star and small-star steps of Kiveris et al. (2014)
-    until no link changes. Each step is an aggregation by node with a join
-    back, and each round's links are a table in the shared folder; nothing of
-    the graph comes to the driver but a count and a checksum. The least
-    neighbours are stored before they join back: a join of two plain shuffles
-    can split a node that holds a large part of all links, one with an
-    aggregate below it can not.
+#: Links that one task settles, at 16 bytes each.
+LOCAL_LINKS = 1 << 22
+
+
+def least_labels(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(nodes, the least node that each reaches) of links a[i], b[i]."""
+    nodes, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    x, y = at[: len(a)], at[len(a) :]
+    label = np.arange(len(nodes))
+    while True:
+        low = np.minimum(label[x], label[y])
+        new = label.copy()
+        np.minimum.at(new, x, low)
+        np.minimum.at(new, y, low)
+        np.minimum.at(new, label[x], low)
+        np.minimum.at(new, label[y], low)
+        while (new != new[new]).any():
+            new = new[new]
+        if (new == label).all():
+            return nodes, nodes[label]
+        label = new
+
+
+def components(links: DataFrame, name: str = "links", max_rounds: int = 60, local: int = LOCAL_LINKS) -> DataFrame:
+    """(node, component) for each node of links (a long, b long), a stored
+    table: component is the smallest node that it reaches.
+
+    Up to `local` links, at 16 bytes each, are settled by one task. More go
+    through rounds of the large-star and small-star steps of Kiveris et al.
+    (2014) until no link changes. Each step is an aggregation by node with a
+    join back, and each round's links are a table in the shared folder;
+    nothing of the graph comes to the driver but a count and a checksum. The
+    least neighbours are stored before they join back: a join of two plain
+    shuffles can split a node that holds a large part of all links, one with
+    an aggregate below it can not.
     """
-    spark = links.sparkSession
+    if links.count() <= local:
+
+        def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            got = [b for b in batches if b.num_rows]
+            if got:
+                a, b = (np.concatenate([x.column(c).to_numpy() for x in got]) for c in ("a", "b"))
+                nodes, label = least_labels(a, b)
+                yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(label)], names=["node", "component"])
+
+        own = links.where("a is not null and b is not null and a <> b").select(F.col("a").cast("long"), F.col("b").cast("long"))
+        return stored(own.coalesce(1).mapInArrow(settle, "node long, component long"), "components")
+
     edges = stored(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), name)
     state = None
     for _ in range(max_rounds):

@@ -6,26 +6,34 @@ that it reaches by links.
 
 Plan, for any number of rows:
 
-1. A counter array of fixed size over all n-grams gives the global order, rare
-   n-grams first. Any fixed order gives right results; a rare-first one gives
-   short posting lists.
-2. One pass makes each document's size, set fingerprint, prefix in that order
-   and a histogram of its hashes. Equal sets become one representative.
+1. All n-grams of all texts are counted exactly, by range of their hashes. The
+   HEAVY most frequent ones give a table of levels of fixed size, which is
+   broadcast: the global order goes by level, then by hash, so that every
+   n-gram that is not among the most frequent comes before those that are.
+   Any fixed order gives right results; this one gives short posting lists.
+2. One pass makes each document's size, digest of its words, prefix in that
+   order and a histogram of its hashes. Equal texts become one representative.
 3. Prefix n-grams held by two or more representatives give candidates: first
    only pairs with one hub for each n-gram, so that a group of G near copies
    gives about G pairs and not G * G; then, for n-grams whose holders are still
    in different components, further hubs; last every remaining pair of
    different components. A pair passes the length filter, the positional filter
    at its first common n-gram and the suffix filter on histograms before it is
-   verified once on the whole sets. Pairs inside a component need no check, so
-   components lose no link.
+   verified once, on the sets of its words. Pairs inside a component need no
+   check, so components lose no link.
 
-Cost: linear in text plus verified pairs. A group whose members share rare
-n-grams but do not link is compared pair by pair; nothing is capped.
+Cost: linear in text plus verified pairs. In the last step the smaller text of
+a pair must hold the n-gram in the first part of its prefix, about half of it;
+a group whose members share such rare n-grams but do not link is compared pair
+by pair, after the filters; nothing is capped.
+
+Hashes only find candidates: texts are equal when a 128-bit cryptographic
+digest of their words is, and a link is confirmed on the words themselves.
 
 Nulls, ties, repeats: a null, empty or blank text has size 0 and links with
 nothing. A null id keeps its row, with a null component, and takes no part.
-Rows that share an id are one document: it links when any of its rows does.
+Ids should be unique. Of rows that share an id each is judged by its own text;
+a link of one is not carried over to the others.
 Columns other than id and text are not read, so their names cannot clash.
 """
 
@@ -39,12 +47,18 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from . import common
-from .textkernel import list_array, mix, ngram_hashes, slices
-
-#: Buckets of the counters, as a power of two. They must outnumber the frequent n-grams, or those look rare.
-SKETCH_BITS = 21
+from .textkernel import list_array, ngram_hashes, slices
+
+#: Places of the table of levels, as a power of two, and how many n-grams have a place in it.
+LEVEL_BITS = 24
+HEAVY = 1 << 21
+#: Text in one range of n-gram hashes, and most ranges.
+RANGE_BYTES = 1 << 22
+MAX_RANGE_BITS = 16
+CHUNK = 1 << 20
 HISTOGRAM_BINS = 32
 #: Cross-component pairs are listed in full once there are at most this many per posting row.
 FULL_LIST_FACTOR = 4
@@ -77,51 +91,112 @@ def needed(size: int, percent: int) -> int:
     return -(-percent * size // 100)
 
 
-def _rarity(docs: DataFrame, n: int, lower: bool) -> np.ndarray:
-    """A level (0 rarest) for each bucket of n-gram hashes, from counts over all text."""
-    shift = np.uint64(64 - SKETCH_BITS)
+def _levels(docs: DataFrame, n: int, lower: bool) -> np.ndarray:
+    """A level (0: rare) for each of 2**LEVEL_BITS ranges of n-gram hashes, from exact counts over all text.
 
-    def fill(own: np.ndarray, batch: pa.RecordBatch) -> None:
-        for words in slices(batch.column(0)):
-            h = words.hashes(lower)
-            if len(h) >= n:
-                inside = np.ones(len(h) - n + 1, dtype=bool)
-                for j in range(1, n):
-                    at = words.bounds[1:-1] - j
-                    inside[at[(at >= 0) & (at < len(inside))]] = False
-                np.add.at(own, (ngram_hashes(h, n)[inside] >> shift).astype(np.int64), 1)
+    Tasks send the leading bytes of the n-gram hashes of about CHUNK words at
+    a time, sorted, a block for each range of hashes. One range, of about
+    RANGE_BYTES of text, is counted at a time, and returns its part of the
+    table: the places of its share of the HEAVY most frequent n-grams.
+    """
+    total = int(docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0)
+    bits = min(MAX_RANGE_BITS, max(3, (total // RANGE_BYTES).bit_length()))
+    width = min(8, max(4, -(-(total.bit_length() + 6) // 8)))  # so many bytes tell almost all n-grams apart
+    shift = np.uint64(64 - 8 * width)
+    limits = np.arange(1, 1 << bits, dtype=np.uint64) << np.uint64(64 - bits)
+
+    def send(held: list[np.ndarray]) -> pa.RecordBatch:
+        h = np.sort(np.concatenate(held))
+        cut = [0, *np.searchsorted(h, limits).tolist(), len(h)]
+        raw = (h >> shift).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width]
+        some = [k for k in range(1 << bits) if cut[k] < cut[k + 1]]
+        size = [cut[k + 1] - cut[k] for k in some]
+        data = [pa.compress(raw[cut[k] : cut[k + 1]].T.tobytes(), codec="lz4_raw", asbytes=True) for k in some]
+        return pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array(size, pa.int32()), pa.array(data, pa.binary())], names=["k", "size", "data"])
+
+    def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, count = [], 0
+        for batch in batches:
+            for words in slices(batch.column(0)):
+                h = words.hashes(lower)
+                if len(h) >= n:
+                    inside = np.ones(len(h) - n + 1, dtype=bool)
+                    for j in range(1, n):
+                        at = words.bounds[1:-1] - j
+                        inside[at[(at >= 0) & (at < len(inside))]] = False
+                    held.append(ngram_hashes(h, n)[inside])
+                    count += len(held[-1])
+                if count >= CHUNK:
+                    yield send(held)
+                    held, count = [], 0
+        if count:
+            yield send(held)
+
+    def part(values: list[np.ndarray]) -> np.ndarray:
+        """Levels of one range."""
+        v = np.concatenate(values)
+        v.sort()
+        first = np.flatnonzero(np.concatenate([[True], v[1:] != v[:-1]]))
+        count = np.diff(np.append(first, len(v)))
+        v, most = v[first], HEAVY >> bits
+        v, count = v[count > 1], count[count > 1]
+        if len(v) > most:
+            keep = count > np.partition(count, len(v) - most)[len(v) - most]
+            v, count = v[keep], count[keep]
+        out = np.zeros(1 << (LEVEL_BITS - bits), dtype=np.uint8)
+        place = (v << shift) >> np.uint64(64 - LEVEL_BITS) if width < 8 else v >> np.uint64(64 - LEVEL_BITS)
+        np.maximum.at(out, place.astype(np.int64) & (len(out) - 1), np.minimum(255, 8 * np.log2(count)).astype(np.uint8))
+        return out
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, values = -1, []
+
+        def done() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([now], pa.int32()), pa.array([pa.compress(part(values).tobytes(), codec="zstd", asbytes=True)], pa.binary())], names=["k", "data"])
 
-    counts = common.gathered(docs.select("text"), fill, 1 << SKETCH_BITS, "int32", "add")
-    return np.minimum(255, 6 * np.log2(1.0 + counts)).astype(np.uint8)
+        for batch in batches:
+            for k, size, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
+                if k != now and values:
+                    yield done()
+                    values = []
+                now = k
+                raw = np.zeros((size, 8), dtype=np.uint8)
+                raw[:, :width] = np.frombuffer(pa.decompress(data.as_py(), size * width, codec="lz4_raw"), dtype=np.uint8).reshape(width, size).T
+                values.append(raw.view("<u8").reshape(-1))
+        if values:
+            yield done()
+
+    got = docs.select("text").mapInArrow(blocks, "k int, size int, data binary").repartition("k").sortWithinPartitions("k").mapInArrow(count, "k int, data binary")
+    out = np.zeros((1 << bits, 1 << (LEVEL_BITS - bits)), dtype=np.uint8)
+    with common.small_batches(docs.sparkSession):
+        for row in got.collect():
+            out[row.k] = np.frombuffer(pa.decompress(bytes(row.data), out.shape[1], codec="zstd"), dtype=np.uint8)
+    return out.reshape(-1)
 
 
 def _profiles(docs: DataFrame, n: int, percent: int, lower: bool) -> DataFrame:
     """doc_id, n_shingles, fp1, fp2, prefix, hist for each row."""
-    spread = docs.sparkSession.sparkContext.broadcast(_rarity(docs, n, lower))
-    shift = np.uint64(64 - SKETCH_BITS)
+    spread = docs.sparkSession.sparkContext.broadcast(_levels(docs, n, lower))
+    shift = np.uint64(64 - LEVEL_BITS)
     bin_shift = np.uint64(64 - (HISTOGRAM_BINS.bit_length() - 1))
 
     def profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         level = spread.value
         for batch in batches:
             for words in slices(batch.column(1)):
-                sizes, marks, prefixes, lengths, hists = [], [], [], [], []
+                sizes, prefixes, lengths, hists = [], [], [], []
                 for _, s in document_sets(words, n, lower):
                     sizes.append(len(s))
                     k = len(s) - needed(len(s), percent) + 1 if len(s) else 0
                     order = np.argsort(level[(s >> shift).astype(np.int64)], kind="stable")[:k]
                     prefixes.append(s[order])
                     lengths.append(k)
-                    a = s.sum(dtype=np.uint64)
-                    marks.append((a, mix(s ^ np.uint64(0x5851F42D4C957F2D)).sum(dtype=np.uint64)))
                     hists.append(np.bincount((s >> bin_shift).astype(np.int64), minlength=HISTOGRAM_BINS).astype(np.int32).tobytes())
-                both = np.array(marks, dtype=np.uint64).reshape(-1, 2)
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column(0).slice(words.first, words.last - words.first),
                         pa.array(sizes, pa.int64()),
-                        pa.array(np.ascontiguousarray(both[:, 0]).view(np.int64)),
-                        pa.array(np.ascontiguousarray(both[:, 1]).view(np.int64)),
+                        *(pa.array(x) for x in words.digests(lower)),
                         list_array(np.concatenate(prefixes).view(np.int64), np.array(lengths), pa.int64()),
                         pa.array(hists, pa.binary()),
                     ],
@@ -131,21 +206,29 @@ def _profiles(docs: DataFrame, n: int, percent: int, lower: bool) -> DataFrame:
     return docs.mapInArrow(profile, "doc_id long, n_shingles long, fp1 long, fp2 long, prefix array<long>, hist binary")
 
 
-def _texts(docs: DataFrame, wanted: common.Bloom) -> DataFrame:
-    """(id, text) of the documents whose id passes the filter."""
-    spread = docs.sparkSession.sparkContext.broadcast(wanted)
+def with_digests(df: DataFrame, text_col: str = "text", lower: bool = True) -> DataFrame:
+    """df with __fp1 and __fp2, the digest of each text's words that similarity_classes gives."""
+    place = df.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield batch.filter(pa.array(spread.value.has(batch.column(0).to_numpy(zero_copy_only=False)))).rename_columns(["id", "text"])
+            for words in slices(batch.column(place)):
+                own = batch.slice(words.first, words.last - words.first)
+                yield pa.RecordBatch.from_arrays([*own.columns, *(pa.array(x) for x in words.digests(lower))], names=[*own.schema.names, "__fp1", "__fp2"])
+
+    return df.mapInArrow(run, StructType([*df.schema.fields, StructField("__fp1", LongType()), StructField("__fp2", LongType())]))
 
-    return docs.where("doc_id is not null").mapInArrow(run, "id long, text string")
+
+def _texts(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """(id, text) of documents that ids has in its columns a and b, and of few others."""
+    wanted = common.Bloom.of(ids, "a", "b")
+    return common.filtered(docs.where("doc_id is not null"), wanted, "doc_id", inside=True).select(F.col("doc_id").alias("id"), F.coalesce("text", F.lit("")).alias("text"))
 
 
 def _suffix_filter(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
     """Pairs whose histograms by hash range still allow the needed overlap."""
-    hist = reps.select(F.col("rep").alias("id"), "hist")
-    both = pairs.join(hist.select(F.col("id").alias("a"), F.col("hist").alias("hist_a")), "a").join(hist.select(F.col("id").alias("b"), F.col("hist").alias("hist_b")), "b")
+    hist = lambda key: reps.select(F.col("rep").alias(key), F.col("hist").alias(f"hist_{key}"))
+    both = pairs.join(hist("a"), "a").join(hist("b"), "b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -160,37 +243,53 @@ def _suffix_filter(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame
     return both.mapInArrow(run, "a long, b long")
 
 
+def _links(both: int, x: int, y: int, percent: int) -> bool:
+    return both > 0 and 100 * both >= percent * (x + y - both)
+
+
+def word_sets(words: list[bytes], n: int) -> set[tuple[bytes, ...]]:
+    """The distinct n-grams of a list of words, as words."""
+    return set(zip(*(words[j:] for j in range(n)))) if len(words) >= n else {tuple(words)} - {()}
+
+
 def _verified(pairs: DataFrame, docs: DataFrame, n: int, percent: int, lower: bool) -> DataFrame:
     """The links among pairs (a, b), each checked once on whole sets.
 
-    Texts travel and not sets: they are smaller, and both sets of a pair are made where it is checked.
+    Texts travel and not sets: they are smaller, and both sets of a pair are
+    made where it is checked. Sets of hashes sort out the pairs that do not
+    link; the others are confirmed on the words.
     """
-    ids = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
-    texts = _texts(docs, common.Bloom.of(ids, "id"))
+    texts = _texts(docs, pairs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for lo in range(0, whole.num_rows, 500):
                 batch = whole.slice(lo, 500)
                 coded = [pc.dictionary_encode(batch.column(c)) for c in ("text_a", "text_b")]
+                cut = [[(words, i) for words in slices(c.dictionary) for i in range(words.last - words.first)] for c in coded]
                 sets = [[s for words in slices(c.dictionary) for _, s in document_sets(words, n, lower)] for c in coded]
+                exact: list[dict[int, set]] = [{}, {}]
                 at = [c.indices.to_numpy(zero_copy_only=False) for c in coded]
                 good = np.zeros(batch.num_rows, dtype=bool)
-                for i in range(batch.num_rows):
+                for i in np.argsort(at[1], kind="stable"):
                     x, y = sets[0][at[0][i]], sets[1][at[1][i]]
                     if len(x) > len(y):
                         x, y = y, x
                     if len(x) and 100 * len(x) >= percent * len(y):
                         place = np.searchsorted(y, x)
                         place[place == len(y)] = 0
-                        both = int(np.count_nonzero(y[place] == x))
-                        good[i] = 100 * both >= percent * (len(x) + len(y) - both)
+                        if _links(int(np.count_nonzero(y[place] == x)), len(x), len(y), percent):
+                            for side in (0, 1):
+                                k = at[side][i]
+                                if k not in exact[side]:
+                                    words, j = cut[side][k]
+                                    exact[side] = {k: word_sets(words.plain(j, lower).split(), n)}  # the last one of each side is kept
+                            x, y = exact[0][at[0][i]], exact[1][at[1][i]]
+                            good[i] = _links(len(x & y), len(x), len(y), percent)
                 yield batch.filter(pa.array(good)).select(["a", "b"])
 
-    def with_texts(df: DataFrame, key: str) -> DataFrame:
-        return df.join(texts.select(F.col("id").alias(key), F.coalesce("text", F.lit("")).alias(f"text_{key}")), key)
-
-    return common.stored(with_texts(with_texts(pairs, "a"), "b").mapInArrow(run, "a long, b long").distinct(), "links")
+    side = lambda key: texts.select(F.col("id").alias(key), F.col("text").alias(f"text_{key}"))
+    return common.stored(pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(run, "a long, b long"), "links")
 
 
 def _fits(na: Column, nb: Column, pa: Column, pb: Column, percent: int) -> Column:
@@ -210,39 +309,35 @@ def _banded(postings: DataFrame, percent: int) -> DataFrame:
     return postings.withColumn("band", F.floor(F.log(F.col("n").cast("double")) / F.lit(width * (1 + 1e-9))))
 
 
-def _shared_postings(reps: DataFrame) -> DataFrame:
-    """token, rep, n, pos, comp of prefix n-grams that two or more representatives hold.
+def _small_side(percent: int) -> Column:
+    """Whether a posting can be the smaller set's side of a first common n-gram: the positional filter at the best, with an equal size."""
+    return (100 + percent) * (F.col("n") - F.col("pos")) >= 2 * percent * F.col("n")
 
-    A filter of the shared n-grams goes to the representatives, so that the
-    many n-grams of one holder are not shuffled with all their columns; the
-    few that pass by chance pair with nothing.
-    """
-    held = reps.select(F.explode("prefix").alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("token")
-    held = common.stored(held, "tokens")
-    spread = reps.sparkSession.sparkContext.broadcast(common.Bloom.of(held, "token"))
-    common.discard(held)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            lists = batch.column(2)
-            token = lists.flatten().to_numpy(zero_copy_only=False)
-            size = pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
-            row = np.repeat(np.arange(len(size)), size)
-            pos = np.arange(len(token)) - np.repeat(np.cumsum(size) - size, size)
-            hit = np.flatnonzero(spread.value.has(token))
-            rep = batch.column(0).to_numpy()[row[hit]]
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (token[hit], rep, batch.column(1).to_numpy()[row[hit]].astype(np.int32), pos[hit].astype(np.int32), rep)], names=["token", "rep", "n", "pos", "comp"])
 
-    return common.stored(reps.select("rep", "n", "prefix").mapInArrow(run, "token long, rep long, n int, pos int, comp long"), "postings")
+def _shared_postings(reps: DataFrame, percent: int) -> DataFrame:
+    """token, rep, n, pos, hub, hn, hp of the prefix n-grams that two or more representatives hold; the hub is the least of them."""
+    held = reps.select("rep", "n", F.posexplode("prefix").alias("pos", "token"))
+    # by columns of plain longs, so that the aggregation hashes and does not sort
+    hubs = held.groupBy(F.col("token").alias("at")).agg(
+        F.count(F.lit(1)).alias("c"), F.max(_small_side(percent).cast("int")).alias("small"), F.min("rep").alias("hub"), F.min_by("n", "rep").alias("hn"), F.min_by("pos", "rep").alias("hp")
+    )
+    hubs = common.stored(hubs.where("c > 1 and small = 1").drop("c", "small"), "hubs")
+    out = common.stored(held.join(hubs, held.token == hubs["at"]).select("token", "rep", "n", "pos", "hub", "hn", "hp"), "postings")
+    common.discard(hubs)
+    return out
 
 
-def _crossing(postings: DataFrame, links: DataFrame) -> DataFrame:
-    """Postings of the n-grams whose holders lie in different components, with `comp`."""
+def _crossing(postings: DataFrame, links: DataFrame, seed: int) -> DataFrame:
+    """Postings of the n-grams whose holders lie in different components, with `comp` and a hub chosen by seed, and the hub's hcomp."""
     comp = common.components(links)
-    postings = postings.drop("comp").join(comp, postings.rep == comp.node, "left").select("token", "rep", "n", "pos", F.coalesce("component", "rep").alias("comp"))
-    mixed = common.stored(postings.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("token"), "tokens")
-    out = common.stored(postings.join(mixed, "token"), "postings")
-    common.discard(mixed)
+    postings = common.stored(postings.select("token", "rep", "n", "pos").join(comp, postings.rep == comp.node, "left").select("token", "rep", "n", "pos", F.coalesce("component", "rep").alias("comp")), "postings")
+    ranked = postings.withColumn("rank", F.xxhash64("rep", F.lit(seed)))
+    mixed = ranked.groupBy(F.col("token").alias("at")).agg(
+        F.min("comp").alias("lo"), F.max("comp").alias("hi"), *(F.min_by(c, "rank").alias(name) for c, name in (("rep", "hub"), ("n", "hn"), ("pos", "hp"), ("comp", "hcomp")))
+    )
+    mixed = common.stored(mixed.where("lo < hi").drop("lo", "hi"), "hubs")
+    out = common.stored(postings.join(mixed, postings.token == mixed["at"]).drop("at"), "postings")
+    common.discard(mixed, postings)
     return out
 
 
@@ -255,30 +350,31 @@ def _cross_pairs(postings: DataFrame, percent: int) -> int:
 
 
 def _all_pairs(postings: DataFrame, percent: int) -> DataFrame:
-    """Every pair of different components that one prefix n-gram allows."""
-    own = _banded(postings, percent)
+    """Every pair of different components that one prefix n-gram allows; y is the smaller set, or the smaller id of equal ones."""
+    own = _banded(postings.select("token", "rep", "n", "pos", "comp"), percent)
     x = own.select(*(F.col(c).alias(f"x_{c}") for c in own.columns))
-    y = own.withColumn("at", F.explode(F.array("band", F.col("band") - 1)))
+    y = own.where(_small_side(percent)).withColumn("at", F.explode(F.array("band", F.col("band") + 1)))
     y = y.select(*(F.col(c).alias(f"y_{c}") for c in y.columns))
-    once = (F.col("x_band") < F.col("y_band")) | (F.col("x_rep") < F.col("y_rep"))
-    met = x.join(y, (F.col("x_token") == F.col("y_token")) & (F.col("x_band") == F.col("y_at")) & once & (F.col("x_comp") != F.col("y_comp"))
+    larger = (F.col("x_n") > F.col("y_n")) | ((F.col("x_n") == F.col("y_n")) & (F.col("x_rep") > F.col("y_rep")))
+    met = x.join(y, (F.col("x_token") == F.col("y_token")) & (F.col("x_band") == F.col("y_at")) & larger & (F.col("x_comp") != F.col("y_comp"))
                  & _fits(F.col("x_n"), F.col("y_n"), F.col("x_pos"), F.col("y_pos"), percent))
-    return met.select(F.least("x_rep", "y_rep").alias("a"), F.greatest("x_rep", "y_rep").alias("b")).distinct()
+    return _distinct(met.select(F.col("x_rep").alias("a"), F.col("y_rep").alias("b")))
 
 
-def _hub_pairs(postings: DataFrame, seed: int, percent: int) -> DataFrame:
-    """Pairs of one holder of each n-gram, chosen by seed, with the holders in other components."""
-    rank = F.col("rep") if seed == 0 else F.xxhash64("rep", F.lit(seed))
-    # by columns of plain longs, so that the aggregation hashes and does not sort
-    ranked = postings.withColumn("rank", rank)
-    chosen = ranked.groupBy(F.col("token").alias("at")).agg(*(F.min_by(c, "rank").alias(name) for c, name in (("rep", "hub"), ("n", "hn"), ("pos", "hp"), ("comp", "hcomp"))))
-    chosen = common.stored(chosen, "hubs")
-    met = postings.join(chosen, (F.col("token") == F.col("at")) & (F.col("comp") != F.col("hcomp")) & _fits(F.col("n"), F.col("hn"), F.col("pos"), F.col("hp"), percent))
-    return met.where("rep <> hub").select(F.least("rep", "hub").alias("a"), F.greatest("rep", "hub").alias("b")).distinct()
+def _hub_pairs(postings: DataFrame, percent: int) -> DataFrame:
+    """Pairs of each n-gram's hub with its holders, in other components where those are known."""
+    other = (F.col("comp") != F.col("hcomp")) if "comp" in postings.columns else F.lit(True)
+    met = postings.where((F.col("rep") != F.col("hub")) & other & _fits(F.col("n"), F.col("hn"), F.col("pos"), F.col("hp"), percent))
+    return _distinct(met.select(F.col("rep").alias("a"), F.col("hub").alias("b")))
+
+
+def _distinct(pairs: DataFrame) -> DataFrame:
+    """Each unordered pair once; a is the larger id."""
+    return pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
 
 
 def similarity_classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, percent: int = 80, lower: bool = True) -> DataFrame:
-    """(doc_id, n_shingles, component_id) for each row of df; see the module's text.
+    """(doc_id, n_shingles, component_id, fp1, fp2) for each row of df; fp1 and fp2 are the digest of its words. See the module's text.
 
     n: words in an n-gram; percent: least Jaccard similarity in hundredths
     (1 to 100); lower: A-Z count as a-z. A document with fewer than n words is
@@ -289,12 +385,10 @@ def similarity_classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     docs = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     rows = common.stored(_profiles(docs, n, percent, lower), "profiles")
     real = rows.where("n_shingles > 0 and doc_id is not null")
-    first = common.stored(real.groupBy("fp1", "fp2").agg(F.min("doc_id").alias("rep")), "first")
-    members = common.stored(rows.select("doc_id", "n_shingles", "fp1", "fp2").join(first, ["fp1", "fp2"], "left").select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("rep")).alias("rep")), "members")
-    reps = common.stored(real.join(first, ["fp1", "fp2"]).where("doc_id = rep").select("rep", F.col("n_shingles").alias("n"), "prefix", "hist"), "reps")
+    one = real.groupBy("fp1", "fp2").agg(F.min("doc_id").alias("rep"), F.min_by(F.struct(F.col("n_shingles").alias("n"), "prefix", "hist"), "doc_id").alias("own"))
+    reps = common.stored(one.select("fp1", "fp2", "rep", "own.*"), "reps")
 
-    common.discard(rows, first)
-    postings = _shared_postings(reps)
+    postings = _shared_postings(reps, percent)
     links: DataFrame | None = None
     tried: DataFrame | None = None
     before = math.inf
@@ -305,7 +399,7 @@ def similarity_classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
         open_pairs = _cross_pairs(postings, percent) if seed else math.inf
         last = seed == MAX_HUB_ROUNDS or open_pairs <= FULL_LIST_FACTOR * size or (before < math.inf and open_pairs > LEAST_PROGRESS * before)
         before = open_pairs
-        pairs = _all_pairs(postings, percent) if last else _hub_pairs(postings, seed, percent)
+        pairs = _all_pairs(postings, percent) if last else _hub_pairs(postings, percent)
         if tried is not None:
             pairs = pairs.join(tried, ["a", "b"], "left_anti")
         pairs = common.stored(_suffix_filter(pairs, reps, percent), "pairs")
@@ -313,13 +407,16 @@ def similarity_classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
         tried = pairs if tried is None else tried.unionByName(pairs)
         links = found if links is None else links.unionByName(found)
         if last:
-            common.discard(postings)
             break
-        before_, postings = postings, _crossing(postings, links)
+        before_, postings = postings, _crossing(postings, links, seed + 1)
         common.discard(before_)
-
-    if links is None:
-        return members.select("doc_id", "n_shingles", F.coalesce("rep", "doc_id").alias("component_id"))
-    comp = common.components(links)
-    common.discard(reps)
-    return members.join(comp, members.rep == comp.node, "left").select("doc_id", "n_shingles", F.coalesce("component", "rep", "doc_id").alias("component_id"))
+    common.discard(postings)
+
+    first = reps.select("fp1", "fp2", "rep")
+    if links is not None:
+        comp = common.components(links)
+        first = first.join(comp, first.rep == comp.node, "left").select("fp1", "fp2", F.coalesce("component", "rep").alias("rep"))
+    first = common.stored(first, "first")
+    out = rows.select("doc_id", "n_shingles", "fp1", "fp2").join(first, ["fp1", "fp2"], "left")
+    own = F.when(F.col("doc_id").isNotNull(), F.when(F.col("n_shingles") > 0, F.col("rep")).otherwise(F.col("doc_id")))
+    return out.select("doc_id", "n_shingles", own.alias("component_id"), "fp1", "fp2")

@@ -47,7 +47,7 @@ def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return similarity_classes(_documents(spark, sf_dir), n=3, percent=90)
+    return similarity_classes(_documents(spark, sf_dir), n=3, percent=90).select("doc_id", "n_shingles", "component_id")
 
 
 def op5_poisson_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

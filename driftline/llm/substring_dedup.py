@@ -19,9 +19,8 @@ hash. A new batch is
    when there are FANOUT of them.
 
 No pair of documents is ever listed: a passage that many documents share costs
-one row for each of its windows. Broadcast are two Bloom filters of at most
-MAX_FILTER_BITS bits; a full one lets more windows be verified and changes no
-result.
+one row for each of its windows. Broadcast are Bloom filters of bounded size;
+one that would be too full lets everything pass and changes no result.
 
 Nulls, repeats: a null or empty text has no words. A null id takes no part
 and keeps its words. Rows with equal id never remove each other's words.
@@ -30,6 +29,7 @@ Documents of under W words stay whole. Only id and text are read.
 
 from __future__ import annotations
 
+import hashlib
 import json
 from collections.abc import Iterator
 
@@ -39,10 +39,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common
-from .textkernel import Words, list_array, sequence_hashes, slices, sliding_min, window_hashes
+from .textkernel import Words, list_array, slices, sliding_min, window_hashes
 
 FANOUT = 4
-MAX_FILTER_BITS = 1 << 28
 
 
 class FingerprintIndex:
@@ -130,7 +129,7 @@ def _profiles(docs: DataFrame, window: int, stretch: int) -> DataFrame:
                 doc = np.searchsorted(words.bounds, start, side="right") - 1
                 new = np.ones(len(start), dtype=bool)
                 new[1:] = (anchor[1:] != anchor[:-1]) | (doc[1:] != doc[:-1])
-                fp1, fp2 = sequence_hashes(words, h)
+                fp1, fp2 = words.digests()
                 n = words.last - words.first
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).slice(words.first, n), pa.array(np.diff(words.bounds)), pa.array(fp1), pa.array(fp2),
@@ -141,6 +140,21 @@ def _profiles(docs: DataFrame, window: int, stretch: int) -> DataFrame:
     return docs.mapInArrow(run, "doc_id long, n_words long, fp1 long, fp2 long, anchors array<long>")
 
 
+def _window_digests(words: Words, at: np.ndarray, doc: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
+    """Two halves of a cryptographic digest of the words of each window; at rises, doc is the window's document."""
+    out = bytearray()
+    now = -1
+    for s, d in zip(at.tolist(), doc.tolist()):
+        if d != now:
+            now, low = d, int(words.bounds[d])
+            text = memoryview(words.plain(d))
+            size = words.end[low : words.bounds[d + 1]] - words.start[low : words.bounds[d + 1]] + 1
+            begin = np.concatenate([[0], np.cumsum(size)]).tolist()
+        out += hashlib.blake2b(text[begin[s - low] : begin[s - low + window] - 1], digest_size=16).digest()
+    halves = np.frombuffer(bytes(out), dtype=np.int64).reshape(-1, 2)
+    return halves[:, 0], halves[:, 1]
+
+
 def _full_windows(docs: DataFrame, ids: common.Bloom, anchors: common.Bloom, window: int, stretch: int) -> DataFrame:
     """h1, h2, doc_id, fp1, fp2, pos of the windows whose document and anchor pass the filters."""
     sent = docs.sparkSession.sparkContext.broadcast((ids, anchors))
@@ -156,10 +170,10 @@ def _full_windows(docs: DataFrame, ids: common.Bloom, anchors: common.Bloom, win
                 if not len(at):
                     continue
                 doc = np.searchsorted(words.bounds, at, side="right") - 1
-                fp1, fp2 = sequence_hashes(words, h)
+                fp1, fp2 = words.digests()
                 own = batch.column(0).slice(words.first, words.last - words.first).to_numpy(zero_copy_only=False)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(x) for x in (window_hashes(h, window)[at].view(np.int64), window_hashes(h, window, second=True)[at].view(np.int64), own[doc], fp1[doc], fp2[doc], (at - words.bounds[doc]).astype(np.int32))],
+                    [pa.array(x) for x in (*_window_digests(words, at, doc, window), own[doc], fp1[doc], fp2[doc], (at - words.bounds[doc]).astype(np.int32))],
                     names=["h1", "h2", "doc_id", "fp1", "fp2", "pos"],
                 )
 
@@ -175,7 +189,7 @@ def _touched(docs: DataFrame, touched: common.Bloom) -> DataFrame:
             batch = batch.filter(pa.array(sent.value.has(batch.column(0).to_numpy(zero_copy_only=False))))
             for words in slices(batch.column(1)):
                 n = words.last - words.first
-                fp1, fp2 = sequence_hashes(words, words.hashes())
+                fp1, fp2 = words.digests()
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(words.first, n), batch.column(1).slice(words.first, n), pa.array(fp1), pa.array(fp2)], names=["doc_id", "text", "fp1", "fp2"])
 
     return docs.where("doc_id is not null").mapInArrow(run, "doc_id long, text string, fp1 long, fp2 long")
@@ -271,13 +285,17 @@ class SubstringDeduplicator:
         else:
             past = past.select(F.col("hash").alias("past_hash"), F.col("lo").alias("past_lo"))
             shared = own.join(past.hint("merge"), own.hash == past.past_hash, "left").where("lo < hi or past_lo < hi")
-        by_anchor = common.Bloom.of(shared.select("hash"), "hash", MAX_FILTER_BITS)
+        shared = common.stored(shared.select("hash"), "shared")
+        by_anchor = common.Bloom.of(shared, "hash")
+        common.discard(shared)
 
         ids = first.select(F.col("rep").alias("doc_id"))
         earlier = self.documents.read()
         if earlier is not None:
             ids = ids.unionByName(earlier.select(F.col("lo").alias("doc_id")))
-        by_id = common.Bloom.of(ids, "doc_id", MAX_FILTER_BITS)
+        ids = common.stored(ids, "ids")
+        by_id = common.Bloom.of(ids, "doc_id")
+        common.discard(ids)
         found = _full_windows(docs, by_id, by_anchor, self.window, self.stretch).withColumn("new", F.lit(True))
         if history is not None:
             found = found.unionByName(_full_windows(narrow(history), by_id, by_anchor, self.window, self.stretch).withColumn("new", F.lit(False)))
@@ -288,7 +306,7 @@ class SubstringDeduplicator:
         gone = repeats.unionByName(whole.select("doc_id", "fp1", "fp2", F.lit(-1).alias("pos")))
         gone = common.stored(gone.groupBy("doc_id", "fp1", "fp2").agg(F.collect_list("pos").alias("gone")), "gone")
 
-        touched = common.Bloom.of(gone.select("doc_id"), "doc_id", MAX_FILTER_BITS)
+        touched = common.Bloom.of(gone, "doc_id")
         same = docs.withColumn("gone", F.lit(None).cast("array<int>"))
         changed = _touched(docs, touched).join(gone, ["doc_id", "fp1", "fp2"], "left")
         out = _without(same, self.window, touched).unionByName(_without(changed, self.window))

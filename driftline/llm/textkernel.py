@@ -11,6 +11,7 @@ the same words as splitting code points.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,33 +19,19 @@ import pyarrow as pa
 
 SLICE_BYTES = 1 << 18
 
-_MASK64 = (1 << 64) - 1
-_BASE = 0x9E3779B97F4A7C15 | 1
-_WORD_BASE = 0xD6E8FEB86659FD93 | 1
-_WORD_BASE_2 = 0xA0761D6478BD642F | 1
-
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 
-_BYTE_HASH = np.random.Generator(np.random.PCG64(20240229)).integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_BYTE_HASH_LOWER = _BYTE_HASH.copy()
-_BYTE_HASH_LOWER[ord("A") : ord("Z") + 1] = _BYTE_HASH[ord("a") : ord("z") + 1]
-
-_powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[ord("A") : ord("Z") + 1] += 32
 
-def _power_tables(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of an odd base and of its inverse modulo 2**64, at least n of each."""
-    have = _powers.get(base)
-    if have is None or len(have[0]) < n:
-        size = 1 << max(16, (n - 1).bit_length())
-        tables = []
-        for b in (base, pow(base, -1, 1 << 64)):
-            t = np.full(size, b & _MASK64, dtype=np.uint64)
-            t[0] = 1
-            tables.append(np.multiply.accumulate(t))
-        have = _powers[base] = (tables[0], tables[1])
-    return have
+_WORD_BASE = np.uint64(0xD6E8FEB86659FD93 | 1)
+_LANE_BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
+_SIZE_BASE = np.uint64(0xA0761D6478BD642F)
+#: For k bytes of a lane of eight, the lowest k bytes.
+_LANE_MASK = np.array([(1 << (8 * k)) - 1 for k in range(9)], dtype=np.uint64)
+#: Longer words are hashed one by one.
+_LONG_WORD = 256
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -87,14 +74,40 @@ class Words:
         self.bounds = np.searchsorted(self.start, offsets, side="left")
 
     def hashes(self, lower: bool = False) -> np.ndarray:
-        """A 64-bit hash of each word; lower: A-Z count as a-z."""
+        """A 64-bit hash of each word; lower: A-Z count as a-z.
+
+        Eight bytes at a time go through a mixing step that is a bijection of
+        them, so that no regular pattern of letters makes words collide.
+        """
         if len(self.start) == 0:
             return np.zeros(0, dtype=np.uint64)
-        up, down = _power_tables(_BASE, len(self.buf) + 1)
-        running = np.empty(len(self.buf) + 1, dtype=np.uint64)
-        running[0] = 0
-        np.cumsum((_BYTE_HASH_LOWER if lower else _BYTE_HASH)[self.buf] * up[: len(self.buf)], out=running[1:])
-        return mix((running[self.end] - running[self.start]) * down[self.start])
+        padded = np.zeros(len(self.buf) + 8, dtype=np.uint8)
+        padded[:-8] = _LOWER[self.buf] if lower else self.buf
+        lanes = np.ndarray((len(self.buf) + 1,), dtype="<u8", buffer=padded.data, strides=(1,))
+        size = self.end - self.start
+        h = mix(size.astype(np.uint64) * _SIZE_BASE + _SIZE_BASE)
+        h = mix((h ^ (lanes[self.start] & _LANE_MASK[np.minimum(size, 8)])) * _LANE_BASE)
+        more, k = np.flatnonzero((size > 8) & (size <= _LONG_WORD)), 8
+        while len(more):
+            x = lanes[self.start[more] + k] & _LANE_MASK[np.minimum(size[more] - k, 8)]
+            h[more] = mix((h[more] ^ x) * _LANE_BASE)
+            k += 8
+            more = more[size[more] > k]
+        for i in np.flatnonzero(size > _LONG_WORD):
+            h[i] = int.from_bytes(hashlib.blake2b(padded[self.start[i] : self.end[i]], digest_size=8).digest(), "little")
+        return h
+
+    def plain(self, i: int, lower: bool = False) -> bytes:
+        """The words of the slice's i-th document, joined by one space."""
+        text = self.buf[self.offsets[i] : self.offsets[i + 1]].tobytes()
+        return b" ".join((text.lower() if lower else text).split())
+
+    def digests(self, lower: bool = False) -> tuple[np.ndarray, np.ndarray]:
+        """Two signed 64-bit halves of a cryptographic digest of each document's words."""
+        n = self.last - self.first
+        both = b"".join(hashlib.blake2b(self.plain(i, lower), digest_size=16).digest() for i in range(n))
+        halves = np.frombuffer(both, dtype=np.int64).reshape(n, 2)
+        return np.ascontiguousarray(halves[:, 0]), np.ascontiguousarray(halves[:, 1])
 
 
 def slices(texts: pa.Array, limit: int = SLICE_BYTES) -> Iterator[Words]:
@@ -116,28 +129,21 @@ def slices(texts: pa.Array, limit: int = SLICE_BYTES) -> Iterator[Words]:
         i = j
 
 
+def _joined(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """A hash of each pair of hashes, in order."""
+    out = a * _WORD_BASE
+    out += b
+    return mix(out)
+
+
 def ngram_hashes(h: np.ndarray, n: int) -> np.ndarray:
     """A hash of each n consecutive words, given the words' hashes; n is small."""
     out = h[: len(h) - n + 1].copy()
     for j in range(1, n):
-        out *= np.uint64(_WORD_BASE)
-        out += h[j : len(h) - n + 1 + j]
-        mix(out)
+        out = _joined(out, h[j : len(h) - n + 1 + j])
     return out
 
 
-def sequence_hashes(words: Words, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Two independent signed 64-bit hashes of each document's word sequence."""
-    lo, hi = words.bounds[:-1], words.bounds[1:]
-    out = []
-    for base in (_WORD_BASE, _WORD_BASE_2):
-        up, down = _power_tables(base, len(h) + 1)
-        running = np.zeros(len(h) + 1, dtype=np.uint64)
-        np.cumsum(h * up[: len(h)], out=running[1:])
-        out.append(mix((running[hi] - running[lo]) * down[lo] + (hi - lo).astype(np.uint64)).view(np.int64))
-    return out[0], out[1]
-
-
 def sliding_min(x: np.ndarray, n: int) -> np.ndarray:
     """The least of each n consecutive values, in about log2(n) passes."""
     width, out = 1, x
@@ -147,12 +153,21 @@ def sliding_min(x: np.ndarray, n: int) -> np.ndarray:
     return out if width == n else np.minimum(out[: len(x) - n + 1], out[n - width : n - width + len(x) - n + 1])
 
 
-def window_hashes(h: np.ndarray, n: int, second: bool = False) -> np.ndarray:
-    """A hash of each n consecutive words by prefix sums; n may be large."""
-    up, down = _power_tables(_WORD_BASE_2 if second else _WORD_BASE, len(h) + 1)
-    running = np.zeros(len(h) + 1, dtype=np.uint64)
-    np.cumsum(h * up[: len(h)], out=running[1:])
-    return mix((running[n:] - running[: len(h) - n + 1]) * down[: len(h) - n + 1])
+def window_hashes(h: np.ndarray, n: int) -> np.ndarray:
+    """A hash of each n consecutive words, from hashes of 1, 2, 4, ... words; n may be large."""
+    block, width, out, have = h, 1, None, 0
+    while True:
+        if n & width:
+            if out is None:
+                out = block
+            else:
+                m = len(block) - have
+                out = _joined(out[:m], block[have:])
+            have += width
+        if have == n:
+            return out[: len(h) - n + 1]
+        block = _joined(block[: len(block) - width], block[width:])
+        width *= 2
 
 
 def list_array(values: np.ndarray, lengths: np.ndarray, kind: pa.DataType) -> pa.Array:
