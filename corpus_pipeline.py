@@ -37,18 +37,21 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates.
+    """One document of each group of near duplicates: the one with the smallest id.
 
-    Only documents that go, and ids with several rows, meet in a join; the
-    others pass a filter of those ids without a shuffle of their texts.
+    A row goes when its own text belongs to a group with a smaller id; of rows
+    with one id and one text one stays, other rows that share an id are judged
+    each by its text. Only rows that go, and ids with several rows, meet in a
+    join; the others pass a filter of those ids without a shuffle of their texts.
     """
     prepare(spark)
     classes = common.stored(ngram_join.similarity_classes(docs, n=NEAR_WORDS, percent=NEAR_PERCENT).where("doc_id is not null"), "classes")
-    goes = classes.where("doc_id <> component_id").select("doc_id").distinct()
+    goes = classes.where("doc_id <> component_id").select(F.col("doc_id").alias("__id"), F.col("fp1").alias("__a"), F.col("fp2").alias("__b")).distinct()
     again = classes.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("doc_id")
-    touched = common.Bloom.of(goes.unionByName(again), "doc_id")
-    rest = common.filtered(docs, touched, "doc_id", inside=True).join(goes, "doc_id", "left_anti")
-    one = rest.withColumn("__r", F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))).where("__r = 1").select(docs.columns)
+    touched = common.Bloom.of(common.stored(goes.select(F.col("__id").alias("doc_id")).unionByName(again), "touched"), "doc_id")
+    rest = ngram_join.with_digests(common.filtered(docs, touched, "doc_id", inside=True))
+    rest = rest.join(goes, (F.col("doc_id") == F.col("__id")) & (F.col("__fp1") == F.col("__a")) & (F.col("__fp2") == F.col("__b")), "left_anti")
+    one = rest.withColumn("__r", F.row_number().over(Window.partitionBy("doc_id", "text").orderBy("__fp1"))).where("__r = 1").select(docs.columns)
     return common.filtered(docs, touched, "doc_id", inside=False).unionByName(one)
 
 
