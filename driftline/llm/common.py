@@ -10,11 +10,14 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 _LOCAL_FOLDER = "/tmp/driftline"
 
+#: Rows of plain longs that a task takes at least.
+TASK_ROWS = 20_000
+
 _written: list[DataFrame] = []
 
 
@@ -32,17 +35,24 @@ def new_path(spark: SparkSession, name: str) -> str:
 
 def stored(df: DataFrame, name: str) -> DataFrame:
     """df written as a table in the shared folder and read again, so that later
-    steps neither compute it again nor depend on the executors that made it."""
+    steps neither compute it again nor depend on the executors that made it.
+    The result has `rows`, their number (or more, where tasks ran twice)."""
     spark = df.sparkSession
     path = new_path(spark, name)
+    seen = Observation()
     with small_batches(spark):
-        df.write.parquet(path)
+        df.observe(seen, F.count(F.lit(1)).alias("rows")).write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
-    out.stored_at = path
+    out.stored_at, out.rows = path, int(seen.get["rows"])
     _written.append(out)
     return out
 
 
+def narrowed(df: DataFrame, rows: int) -> DataFrame:
+    """df in no more tasks than `rows` rows deserve; never in more than it has."""
+    return df.coalesce(max(4, -(-rows // TASK_ROWS)))
+
+
 @contextlib.contextmanager
 def scratch() -> Iterator[None]:
     """Deletes on leaving all tables that stored() wrote inside; results must have been written or counted by then."""
@@ -192,7 +202,7 @@ class Bloom:
         Of so many values that the filter would be more than half full, it is
         one that passes everything.
         """
-        values = df.count() * len(keys)
+        values = df.rows * len(keys)
         if 5 * values > max_bits:
             return cls(np.full(1 << 13, 255, dtype=np.uint8))
         n_bits = cls.size_for(values, max_bits)
@@ -270,7 +280,7 @@ def components(links: DataFrame, name: str = "links", max_rounds: int = 60, loca
     shuffles can split a node that holds a large part of all links, one with
     an aggregate below it can not.
     """
-    if links.count() <= local:
+    if links.rows <= local:
 
         def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             got = [b for b in batches if b.num_rows]

@@ -60,6 +60,8 @@ RANGE_BYTES = 1 << 22
 MAX_RANGE_BITS = 16
 CHUNK = 1 << 20
 HISTOGRAM_BINS = 32
+#: A pair with its texts weighs as much as so many rows of longs.
+TEXT_WEIGHT = 40
 #: Cross-component pairs are listed in full once there are at most this many per posting row.
 FULL_LIST_FACTOR = 4
 MAX_HUB_ROUNDS = 8
@@ -166,7 +168,7 @@ def _levels(docs: DataFrame, n: int, lower: bool) -> np.ndarray:
         if values:
             yield done()
 
-    got = docs.select("text").mapInArrow(blocks, "k int, size int, data binary").repartition("k").sortWithinPartitions("k").mapInArrow(count, "k int, data binary")
+    got = docs.select("text").mapInArrow(blocks, "k int, size int, data binary").repartition("k").coalesce(1 << bits).sortWithinPartitions("k").mapInArrow(count, "k int, data binary")
     out = np.zeros((1 << bits, 1 << (LEVEL_BITS - bits)), dtype=np.uint8)
     with common.small_batches(docs.sparkSession):
         for row in got.collect():
@@ -225,10 +227,10 @@ def _texts(docs: DataFrame, ids: DataFrame) -> DataFrame:
     return common.filtered(docs.where("doc_id is not null"), wanted, "doc_id", inside=True).select(F.col("doc_id").alias("id"), F.coalesce("text", F.lit("")).alias("text"))
 
 
-def _suffix_filter(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
-    """Pairs whose histograms by hash range still allow the needed overlap."""
+def _suffix_filter(pairs: DataFrame, reps: DataFrame, percent: int, rows: int) -> DataFrame:
+    """Pairs whose histograms by hash range still allow the needed overlap; rows: about how many pairs there are."""
     hist = lambda key: reps.select(F.col("rep").alias(key), F.col("hist").alias(f"hist_{key}"))
-    both = pairs.join(hist("a"), "a").join(hist("b"), "b")
+    both = common.narrowed(common.narrowed(pairs.join(hist("a"), "a"), rows).join(hist("b"), "b"), rows)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -289,7 +291,9 @@ def _verified(pairs: DataFrame, docs: DataFrame, n: int, percent: int, lower: bo
                 yield batch.filter(pa.array(good)).select(["a", "b"])
 
     side = lambda key: texts.select(F.col("id").alias(key), F.col("text").alias(f"text_{key}"))
-    return common.stored(pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(run, "a long, b long"), "links")
+    rows = TEXT_WEIGHT * pairs.rows
+    met = common.narrowed(common.narrowed(pairs.join(side("a"), "a"), rows).join(side("b"), "b"), rows)
+    return common.stored(met.mapInArrow(run, "a long, b long"), "links")
 
 
 def _fits(na: Column, nb: Column, pa: Column, pb: Column, percent: int) -> Column:
@@ -330,22 +334,23 @@ def _shared_postings(reps: DataFrame, percent: int) -> DataFrame:
 def _crossing(postings: DataFrame, links: DataFrame, seed: int) -> DataFrame:
     """Postings of the n-grams whose holders lie in different components, with `comp` and a hub chosen by seed, and the hub's hcomp."""
     comp = common.components(links)
-    postings = common.stored(postings.select("token", "rep", "n", "pos").join(comp, postings.rep == comp.node, "left").select("token", "rep", "n", "pos", F.coalesce("component", "rep").alias("comp")), "postings")
+    rows = postings.rows
+    postings = common.stored(postings.select("token", "rep", "n", "pos").join(comp, postings.rep == comp.node, "left").select("token", "rep", "n", "pos", F.coalesce("component", "rep").alias("comp")).transform(common.narrowed, rows), "postings")
     ranked = postings.withColumn("rank", F.xxhash64("rep", F.lit(seed)))
     mixed = ranked.groupBy(F.col("token").alias("at")).agg(
         F.min("comp").alias("lo"), F.max("comp").alias("hi"), *(F.min_by(c, "rank").alias(name) for c, name in (("rep", "hub"), ("n", "hn"), ("pos", "hp"), ("comp", "hcomp")))
     )
-    mixed = common.stored(mixed.where("lo < hi").drop("lo", "hi"), "hubs")
-    out = common.stored(postings.join(mixed, postings.token == mixed["at"]).drop("at"), "postings")
+    mixed = common.stored(mixed.where("lo < hi").drop("lo", "hi").transform(common.narrowed, rows), "hubs")
+    out = common.stored(postings.join(mixed, postings.token == mixed["at"]).drop("at").transform(common.narrowed, rows), "postings")
     common.discard(mixed, postings)
     return out
 
 
 def _cross_pairs(postings: DataFrame, percent: int) -> int:
     """At most how many pairs of different components and like sizes share an n-gram, counted once for each n-gram."""
-    own = _banded(postings, percent).groupBy("token", "band", "comp").agg(F.count(F.lit(1)).alias("c"))
-    both = own.unionByName(own.withColumn("band", F.col("band") - 1)).groupBy("token", "band", "comp").agg(F.sum("c").alias("c"))
-    one = both.groupBy("token", "band").agg(F.sum("c").alias("c"), F.sum(F.col("c") * F.col("c")).alias("cc"))
+    own = _banded(postings, percent).groupBy("token", "band", "comp").agg(F.count(F.lit(1)).alias("c")).transform(common.narrowed, postings.rows)
+    both = own.unionByName(own.withColumn("band", F.col("band") - 1)).groupBy("token", "band", "comp").agg(F.sum("c").alias("c")).transform(common.narrowed, postings.rows)
+    one = both.groupBy("token", "band").agg(F.sum("c").alias("c"), F.sum(F.col("c") * F.col("c")).alias("cc")).transform(common.narrowed, postings.rows)
     return int(one.agg(F.sum((F.col("c") * F.col("c") - F.col("cc")) / 2)).first()[0] or 0)
 
 
@@ -393,19 +398,20 @@ def similarity_classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     tried: DataFrame | None = None
     before = math.inf
     for seed in range(MAX_HUB_ROUNDS + 1):
-        size = postings.count()
+        size = postings.rows
         if size == 0:
             break
         open_pairs = _cross_pairs(postings, percent) if seed else math.inf
         last = seed == MAX_HUB_ROUNDS or open_pairs <= FULL_LIST_FACTOR * size or (before < math.inf and open_pairs > LEAST_PROGRESS * before)
         before = open_pairs
         pairs = _all_pairs(postings, percent) if last else _hub_pairs(postings, percent)
+        pairs = common.narrowed(pairs, size)
         if tried is not None:
-            pairs = pairs.join(tried, ["a", "b"], "left_anti")
-        pairs = common.stored(_suffix_filter(pairs, reps, percent), "pairs")
+            pairs = common.narrowed(pairs.join(tried, ["a", "b"], "left_anti"), size)
+        pairs = common.stored(_suffix_filter(pairs, reps, percent, size), "pairs")
         found = _verified(pairs, docs, n, percent, lower)
         tried = pairs if tried is None else tried.unionByName(pairs)
-        links = found if links is None else links.unionByName(found)
+        links = found if links is None else common.stored(links.unionByName(found).coalesce(max(1, (links.rows + found.rows) >> 20)), "links")
         if last:
             break
         before_, postings = postings, _crossing(postings, links, seed + 1)
@@ -416,7 +422,7 @@ def similarity_classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     if links is not None:
         comp = common.components(links)
         first = first.join(comp, first.rep == comp.node, "left").select("fp1", "fp2", F.coalesce("component", "rep").alias("rep"))
-    first = common.stored(first, "first")
+    first = common.stored(common.narrowed(first, reps.rows), "first")
     out = rows.select("doc_id", "n_shingles", "fp1", "fp2").join(first, ["fp1", "fp2"], "left")
     own = F.when(F.col("doc_id").isNotNull(), F.when(F.col("n_shingles") > 0, F.col("rep")).otherwise(F.col("doc_id")))
     return out.select("doc_id", "n_shingles", own.alias("component_id"), "fp1", "fp2")
