@@ -86,8 +86,9 @@ def replicate_sql(power: float = 0.5, seed: int = SEED) -> str:
     return f"""
 WITH s AS (SELECT source, sum(coalesce(length(text), 0))::DOUBLE AS size FROM documents GROUP BY source),
 r AS (SELECT source, pow(size, {power}) / sum(pow(size, {power})) OVER () * sum(size) OVER () / size AS rate FROM s WHERE size > 0),
-t AS (SELECT source, k, sum(exp(k * ln(rate) - rate - lgamma(k + 1.0))) OVER (PARTITION BY source ORDER BY k) AS c FROM r, range(0, 400) g(k)),
-u AS (SELECT doc_id, source, text, (('0x' || substr(md5('{seed}:' || doc_id), 1, 13))::BIGINT + 0.5) / 4503599627370496.0 AS u FROM documents),
-n AS (SELECT u.doc_id, u.source, u.text, count(*) AS n_copies FROM u JOIN t ON u.source = t.source AND t.c < u.u GROUP BY ALL)
-SELECT doc_id, source, text, g.copy, n_copies FROM n, range(1, 400) g(copy) WHERE g.copy <= n_copies
+k AS (SELECT source, rate, unnest(range(0, ceil(rate + 12 * sqrt(rate) + 21)::BIGINT)) AS k FROM r),
+t AS (SELECT source, k, sum(exp(k * ln(rate) - rate - lgamma(k + 1.0))) OVER (PARTITION BY source ORDER BY k) AS c FROM k),
+u AS (SELECT doc_id, source, text, (('0x' || substr(md5('{seed}:' || coalesce(doc_id::VARCHAR, '')), 1, 13))::BIGINT + 0.5) / 4503599627370496.0 AS u FROM documents),
+n AS (SELECT u.doc_id, u.source, u.text, count(*) AS n_copies FROM u JOIN t ON u.source IS NOT DISTINCT FROM t.source AND t.c < u.u GROUP BY ALL)
+SELECT doc_id, source, text, unnest(range(1, n_copies + 1)) AS copy, n_copies FROM n
 """

@@ -101,7 +101,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 _OP4_SQL = r"""
 WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
-g AS (SELECT doc_id, i, md5(array_to_string(ws[i : i + 49], ' ')) AS k FROM w, range(1, 1000000) r(i) WHERE i + 49 <= len(ws)),
+g AS (SELECT doc_id, i, md5(array_to_string(ws[i : i + 49], ' ')) AS k FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 48)) AS i FROM w)),
 f AS (SELECT k, min(doc_id) AS lo FROM g GROUP BY k),
 c AS (SELECT DISTINCT g.doc_id, g.i + j AS p FROM g JOIN f USING (k), range(0, 50) r(j) WHERE g.doc_id > f.lo),
 u AS (SELECT doc_id, unnest(ws) AS word, generate_subscripts(ws, 1) AS p FROM w),
@@ -115,7 +115,7 @@ _OP6_SQL = r"""
 WITH RECURSIVE w AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
 s AS (
-  SELECT DISTINCT doc_id, array_to_string(ws[i : i + 2], ' ') AS k FROM w, range(1, 1000000) r(i) WHERE i + 2 <= len(ws)
+  SELECT DISTINCT doc_id, array_to_string(ws[i : i + 2], ' ') AS k FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 1)) AS i FROM w)
   UNION ALL SELECT doc_id, array_to_string(ws, ' ') FROM w WHERE len(ws) IN (1, 2)),
 n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
 b AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS m FROM s x JOIN s y ON x.k = y.k AND x.doc_id < y.doc_id GROUP BY ALL),

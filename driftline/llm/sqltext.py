@@ -34,13 +34,15 @@ def count_of(text: str, chars: str) -> str:
 def words_in_repeats(ws: str, n: int) -> str:
     """Words that lie in an n-word window which the words ws hold twice or more, as bigint.
 
-    Windows are compared by 64-bit hashes whose low bits give way to the
-    position, so that one sort of plain longs brings equal windows together in
-    order; a document of 2**p words keeps 64 - p bits of each hash.
+    Windows are compared by 64-bit hashes. First one sort of plain longs, whose
+    low bits give way to the position, brings together all that can be equal;
+    then the whole hashes of those are sorted with their positions.
     """
     grams = ", ".join(f"hs[i + {j}]" for j in range(n))
     same = lambda i, j: f"shiftrightunsigned({i}, p) = shiftrightunsigned({j}, p)"
+    twin = lambda array, equal: f"filter({array}, (x, i) -> (i > 0 and {equal(f'{array}[i - 1]')}) or (i < size({array}) - 1 and {equal(f'{array}[i + 1]')}))"
     covered = f"aggregate(ps, named_struct('n', 0L, 'last', -{n}L), (a, x) -> named_struct('n', a.n + least({n}L, x - a.last), 'last', x), a -> a.n)"
+    maybe = f"transform({twin('so', lambda other: same('x', other))}, x -> x & (shiftleft(1L, p) - 1L))"
     repeated = let(
         "p",
         "cast(ceil(log2(size(gs) + 1)) as int)",
@@ -48,9 +50,9 @@ def words_in_repeats(ws: str, n: int) -> str:
             "so",
             "sort_array(transform(gs, (g, i) -> shiftleft(shiftrightunsigned(g, p), p) | cast(i as bigint)))",
             let(
-                "ps",
-                f"sort_array(transform(filter(so, (x, i) -> (i > 0 and {same('x', 'so[i - 1]')}) or (i < size(so) - 1 and {same('x', 'so[i + 1]')})), x -> x & (shiftleft(1L, p) - 1L)))",
-                covered,
+                "hp",
+                f"sort_array(transform({maybe}, i -> named_struct('g', gs[cast(i as int)], 'i', i)))",
+                let("ps", f"sort_array(transform({twin('hp', lambda other: f'x.g = {other}.g')}, x -> x.i))", covered),
             ),
         ),
     )

@@ -3,24 +3,35 @@
 A window is W consecutive words of one document. A word goes when a window
 that covers it has the same words as a window of a document with a smaller id.
 
-The index keeps, for each window, only its anchor: the least hash of the
-K-word stretches inside it (winnowing, Schleimer et al. 2003). Two equal
-windows have equal anchors, so no repeat is missed, and the index holds about
-2 / (W - K + 2) of all windows. It consists of immutable runs sorted by
-hash. A new batch is
+The index consists of immutable runs: tables bucketed and sorted by their keys,
+so that runs are merge-joined with each other and with a new batch's run
+without a shuffle or a sort of history. FANOUT runs of one level are merged
+into one of the next. There are three such indexes:
+
+* documents: digest of a whole document's words -> least id,
+* anchors: an anchor -> least and greatest id that have it. A window's anchor
+  is the least hash of the K-word stretches inside it (winnowing, Schleimer et
+  al. 2003): equal windows have equal anchors, and there are only about
+  2 / (W - K + 2) anchors a window,
+* windows: digest of a window's words -> least id, of every window whose anchor
+  two documents have.
+
+A new batch is
 
 1. fingerprinted; whole documents that repeat an earlier one are set aside,
-2. merge-joined with the runs of history and with itself, which gives the
-   anchors that two documents share,
-3. verified: only windows with a shared anchor are hashed in full (128 bits),
-   in the batch and in the historical documents, and the least document id of
-   each decides,
-4. written as a new run; runs of one level are merged into one of the next
-   when there are FANOUT of them.
-
-No pair of documents is ever listed: a passage that many documents share costs
-one row for each of its windows. Broadcast are Bloom filters of bounded size;
-one that would be too full lets everything pass and changes no result.
+2. merge-joined with the runs of anchors, which gives those that two documents
+   share by now,
+3. verified: its windows with a shared anchor are digested from their words
+   (128 bits, cryptographic), and so are those of the one earlier document of
+   an anchor that was not shared before; the others of history are in the
+   index of windows already,
+4. merge-joined with the runs of windows: the least id of each digest decides.
+
+Of history only those single documents are read again. No pair of documents is
+ever listed, and no list of an anchor's documents is kept: a passage that many
+documents share costs one row for each of its windows in a batch.
+Broadcast are Bloom filters of bounded size; one that would be too full lets
+everything pass and changes no result.
 
 Nulls, repeats: a null or empty text has no words. A null id takes no part
 and keeps its words. Rows with equal id never remove each other's words.
@@ -31,6 +42,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -41,20 +53,24 @@ from pyspark.sql import functions as F
 from . import common
 from .textkernel import Words, list_array, slices, sliding_min, window_hashes
 
-FANOUT = 4
+FANOUT = 2
 
 
 class FingerprintIndex:
-    """Immutable runs of (keys, lo), each sorted by the keys; lo is the least document id.
+    """Immutable runs of (keys, lo, hi): the least and greatest document id of each key.
 
-    The list of runs is a small JSON table, written anew with each change, so
-    an index can be opened again and a run is never changed in place.
+    Each run is a Parquet table of one file a bucket, sorted by the keys; all
+    runs of an index have the same buckets. The list of runs is a small JSON
+    table, written anew with each change, so an index can be opened again and
+    a run is never changed in place.
     """
 
     def __init__(self, spark: SparkSession, root: str, keys: tuple[str, ...]):
         self.spark, self.root, self.keys = spark, root, keys
         self.runs: list[dict] = []
         self.version = 0
+        self.buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        spark.conf.set("spark.sql.legacy.bucketedTableScan.outputOrdering", "true")  # one file a bucket: its order holds
 
     @classmethod
     def open(cls, spark: SparkSession, root: str, keys: tuple[str, ...]) -> FingerprintIndex:
@@ -67,6 +83,7 @@ class FingerprintIndex:
             if lists:
                 index.version = max(lists)
                 index.runs = json.loads(spark.read.text(f"{root}/list-{index.version}").first()[0])
+                index.buckets = index.runs[0]["buckets"] if index.runs else index.buckets
         return index
 
     def _commit(self, runs: list[dict]) -> None:
@@ -74,36 +91,57 @@ class FingerprintIndex:
         self.spark.createDataFrame([(json.dumps(runs),)], "value string").coalesce(1).write.text(f"{self.root}/list-{self.version}")
         self.runs = runs
 
-    def _write(self, rows: DataFrame, level: int) -> dict:
+    def _table(self, run: dict) -> DataFrame:
+        """A run as a table that Spark knows the buckets and order of."""
+        if not self.spark.catalog.tableExists(run["name"]):
+            keys = ", ".join(self.keys)
+            shape = ", ".join(f"{c} long" for c in (*self.keys, "lo", "hi"))
+            self.spark.sql(f"create table {run['name']} ({shape}) using parquet clustered by ({keys}) sorted by ({keys}) into {run['buckets']} buckets location '{run['path']}'")
+        return self.spark.table(run["name"])
+
+    def write(self, rows: DataFrame, level: int = 0) -> dict:
+        """A run of rows, which have each key once; not yet listed."""
         path = common.new_path(self.spark, "run")
-        rows.select(*self.keys, "lo").repartitionByRange(*self.keys).sortWithinPartitions(*self.keys).write.parquet(path)
-        return {"path": path, "level": level}
+        run = {"name": f"run_{uuid.uuid4().hex}", "path": path, "level": level, "buckets": self.buckets}
+        with common.small_batches(self.spark):
+            rows.select(*self.keys, "lo", "hi").repartition(self.buckets, *self.keys).write.bucketBy(self.buckets, *self.keys).sortBy(*self.keys).option("path", path).saveAsTable(run["name"])
+        return run
+
+    def looked_up(self, run: dict) -> DataFrame:
+        """keys, lo, hi of an unlisted run, with past_lo and past_hi of the listed ones (null where none has the key)."""
+        out = self._table(run)
+        past: dict[str, list[str]] = {"lo": [], "hi": []}
+        for k, older in enumerate(self.runs):
+            own = self._table(older).select(*self.keys, *(F.col(c).alias(f"{c}{k}") for c in past))
+            out = out.hint("merge").join(own, list(self.keys), "left")
+            for c in past:
+                past[c].append(f"{c}{k}")
+        of = lambda f, c: F.col(past[c][0]) if len(past[c]) == 1 else f(*past[c]) if past[c] else F.lit(None).cast("long")
+        return out.select(*self.keys, "lo", "hi", of(F.least, "lo").alias("past_lo"), of(F.greatest, "hi").alias("past_hi"))
+
+    def _merged(self, runs: list[dict]) -> DataFrame:
+        """The runs as one; all have the same buckets, so nothing is shuffled."""
+        out = self._table(runs[0])
+        for run in runs[1:]:
+            other = self._table(run).select(*(F.col(c).alias(f"{c}_") for c in (*self.keys, "lo", "hi")))
+            same = [F.col(k) == F.col(f"{k}_") for k in self.keys]
+            out = out.hint("merge").join(other, same, "full").select(
+                *(F.coalesce(k, f"{k}_").alias(k) for k in self.keys), F.least("lo", "lo_").alias("lo"), F.greatest("hi", "hi_").alias("hi")
+            )
+        return out
 
     def read(self) -> DataFrame | None:
-        """All runs, a key once for each run that has it."""
-        if not self.runs:
-            return None
-        shape = ", ".join(f"{k} long" for k in (*self.keys, "lo"))
-        return self.spark.read.schema(shape).parquet(*(r["path"] for r in self.runs))
-
-    def merged(self) -> DataFrame | None:
-        """The least lo of each key over all runs."""
-        rows = self.read()
-        return None if rows is None else rows.groupBy(*self.keys).agg(F.min("lo").alias("lo"))
-
-    def append(self, rows: DataFrame) -> None:
-        """Add a run, then merge full levels."""
-        self._commit([*self.runs, self._write(rows, 0)])
-        self.compact()
-
-    def compact(self) -> None:
+        """All runs as one."""
+        return self._merged(self.runs) if self.runs else None
+
+    def append(self, run: dict) -> None:
+        """List a run, then merge full levels."""
+        self._commit([*self.runs, run])
         level = 0
         while any(r["level"] >= level for r in self.runs):
             full = [r for r in self.runs if r["level"] == level]
             if len(full) >= FANOUT:
-                shape = ", ".join(f"{k} long" for k in (*self.keys, "lo"))
-                rows = self.spark.read.schema(shape).parquet(*(r["path"] for r in full)).groupBy(*self.keys).agg(F.min("lo").alias("lo"))
-                self._commit([r for r in self.runs if r["level"] != level] + [self._write(rows, level + 1)])
+                self._commit([r for r in self.runs if r["level"] != level] + [self.write(self._merged(full), level + 1)])
             level += 1
 
 
@@ -155,29 +193,34 @@ def _window_digests(words: Words, at: np.ndarray, doc: np.ndarray, window: int)
     return halves[:, 0], halves[:, 1]
 
 
-def _full_windows(docs: DataFrame, ids: common.Bloom, anchors: common.Bloom, window: int, stretch: int) -> DataFrame:
-    """h1, h2, doc_id, fp1, fp2, pos of the windows whose document and anchor pass the filters."""
-    sent = docs.sparkSession.sparkContext.broadcast((ids, anchors))
+def _full_windows(docs: DataFrame, wanted: DataFrame, window: int, stretch: int) -> DataFrame:
+    """h1, h2, doc_id, fp1, fp2, pos of the windows of docs whose (doc_id, hash of the anchor) is in a stored table."""
+    some = common.filtered(docs.where("doc_id is not null"), common.Bloom.of(wanted, "doc_id"), "doc_id", inside=True)
+    lists = wanted.groupBy("doc_id").agg(F.collect_set("hash").alias("anchors"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        by_id, by_anchor = sent.value
         for batch in batches:
-            batch = batch.filter(pa.array(by_id.has(batch.column(0).to_numpy(zero_copy_only=False))))
             for words in slices(batch.column(1)):
+                own = batch.slice(words.first, words.last - words.first)
                 h = words.hashes()
                 start, anchor = _anchors(words, h, window, stretch)
-                at = start[by_anchor.has(anchor)]
+                doc = np.searchsorted(words.bounds, start, side="right") - 1
+                limits = np.searchsorted(doc, np.arange(own.num_rows + 1))
+                good = np.zeros(len(start), dtype=bool)
+                for i, held in enumerate(own.column(2)):
+                    part = slice(limits[i], limits[i + 1])
+                    good[part] = np.isin(anchor[part], held.values.to_numpy().view(np.uint64))
+                at, doc = start[good], doc[good]
                 if not len(at):
                     continue
-                doc = np.searchsorted(words.bounds, at, side="right") - 1
                 fp1, fp2 = words.digests()
-                own = batch.column(0).slice(words.first, words.last - words.first).to_numpy(zero_copy_only=False)
+                ids = own.column(0).to_numpy(zero_copy_only=False)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(x) for x in (*_window_digests(words, at, doc, window), own[doc], fp1[doc], fp2[doc], (at - words.bounds[doc]).astype(np.int32))],
+                    [pa.array(x) for x in (*_window_digests(words, at, doc, window), ids[doc], fp1[doc], fp2[doc], (at - words.bounds[doc]).astype(np.int32))],
                     names=["h1", "h2", "doc_id", "fp1", "fp2", "pos"],
                 )
 
-    return docs.where("doc_id is not null").mapInArrow(run, "h1 long, h2 long, doc_id long, fp1 long, fp2 long, pos int")
+    return some.join(lists, "doc_id").select("doc_id", "text", "anchors").mapInArrow(run, "h1 long, h2 long, doc_id long, fp1 long, fp2 long, pos int")
 
 
 def _touched(docs: DataFrame, touched: common.Bloom) -> DataFrame:
@@ -250,9 +293,10 @@ class SubstringDeduplicator:
     """Incremental removal of repeated windows.
 
     add(batch, history) judges a batch against itself and all batches before
-    it; history holds the texts of those (None at first), of which only
-    documents that hold a shared window are hashed again. Batches given in
-    the order of their ids give the same rows as one batch of everything.
+    it; history holds the texts of those (None at first), of which only the
+    single holders of anchors that the batch shares are hashed again. Batches
+    given in the order of their ids give the same rows as one batch of
+    everything.
     """
 
     def __init__(self, spark: SparkSession, root: str | None = None, window: int = 50, stretch: int = 25):
@@ -262,57 +306,49 @@ class SubstringDeduplicator:
         self.spark, self.window, self.stretch = spark, window, stretch
         self.anchors = FingerprintIndex.open(spark, f"{root}/anchors", ("hash",))
         self.documents = FingerprintIndex.open(spark, f"{root}/documents", ("fp1", "fp2"))
+        self.windows = FingerprintIndex.open(spark, f"{root}/windows", ("h1", "h2"))
 
     def add(self, batch: DataFrame, history: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
         """doc_id, n_words, n_removed, kept_text (kept words joined by one space) of each row of batch."""
         narrow = lambda df: df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+        ends = F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")
         docs = narrow(batch)
         rows = common.stored(_profiles(docs, self.window, self.stretch), "profiles")
-        long_enough = rows.where(F.col("doc_id").isNotNull() & (F.col("n_words") >= self.window))
+        rows = rows.where(F.col("doc_id").isNotNull() & (F.col("n_words") >= self.window))
 
-        first = long_enough.groupBy("fp1", "fp2").agg(F.min("doc_id").alias("rep"))
-        known = self.documents.merged()
-        if known is not None:
-            first = first.join(known, ["fp1", "fp2"], "left").select("fp1", "fp2", F.least("rep", "lo").alias("rep"))
+        document_run = self.documents.write(rows.groupBy("fp1", "fp2").agg(*ends))
+        first = self.documents.looked_up(document_run).select("fp1", "fp2", F.least("lo", "past_lo").alias("rep"), F.col("past_lo").isNull().alias("new"))
         first = common.stored(first, "first")
-        whole = long_enough.select("doc_id", "fp1", "fp2").join(first, ["fp1", "fp2"]).where("doc_id > rep")
-
-        fresh = long_enough.join(first, ["fp1", "fp2"]).where("doc_id = rep").select("doc_id", F.explode("anchors").alias("hash"))
-        own = common.stored(fresh.groupBy("hash").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")), "own")
-        past = self.anchors.merged()
-        if past is None:
-            shared = own.where("lo < hi")
-        else:
-            past = past.select(F.col("hash").alias("past_hash"), F.col("lo").alias("past_lo"))
-            shared = own.join(past.hint("merge"), own.hash == past.past_hash, "left").where("lo < hi or past_lo < hi")
-        shared = common.stored(shared.select("hash"), "shared")
-        by_anchor = common.Bloom.of(shared, "hash")
-        common.discard(shared)
-
-        ids = first.select(F.col("rep").alias("doc_id"))
-        earlier = self.documents.read()
-        if earlier is not None:
-            ids = ids.unionByName(earlier.select(F.col("lo").alias("doc_id")))
-        ids = common.stored(ids, "ids")
-        by_id = common.Bloom.of(ids, "doc_id")
-        common.discard(ids)
-        found = _full_windows(docs, by_id, by_anchor, self.window, self.stretch).withColumn("new", F.lit(True))
+        marked = rows.join(first, ["fp1", "fp2"]).select("doc_id", "fp1", "fp2", "rep", F.when(F.col("new") & (F.col("doc_id") == F.col("rep")), F.col("anchors")).alias("anchors"))
+        marked = common.stored(marked, "marked")
+        held = marked.select("doc_id", F.explode("anchors").alias("hash"))
+
+        anchor_run = self.anchors.write(held.groupBy("hash").agg(*ends))
+        shared = self.anchors.looked_up(anchor_run).where(F.least("lo", "past_lo") < F.greatest("hi", "past_hi"))
+        shared = common.stored(shared.select("hash", F.when(F.col("past_lo") == F.col("past_hi"), F.col("past_lo")).alias("single")), "shared")
+        # stored, so that an anchor or passage that a large part of all documents share can be split in the joins
+        wanted = common.stored(held.join(shared, "hash").select("doc_id", "hash"), "wanted")
+        found = common.stored(_full_windows(docs, wanted, self.window, self.stretch), "windows")
+        both = found.select("h1", "h2", "doc_id")
         if history is not None:
-            found = found.unionByName(_full_windows(narrow(history), by_id, by_anchor, self.window, self.stretch).withColumn("new", F.lit(False)))
-        found = common.stored(found, "windows")
-        # stored, so that a passage that a large part of all documents share can be split in the join
-        least = common.stored(found.groupBy("h1", "h2").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("h1", "h2", "lo"), "least")
-        repeats = found.where("new").join(least, ["h1", "h2"]).where("doc_id > lo").select("doc_id", "fp1", "fp2", "pos")
-        gone = repeats.unionByName(whole.select("doc_id", "fp1", "fp2", F.lit(-1).alias("pos")))
+            earlier = common.stored(shared.where("single is not null").select(F.col("single").alias("doc_id"), "hash"), "wanted")
+            both = both.unionByName(_full_windows(narrow(history), earlier, self.window, self.stretch).select("h1", "h2", "doc_id"))
+
+        window_run = self.windows.write(both.groupBy("h1", "h2").agg(*ends))
+        least = self.windows.looked_up(window_run).select("h1", "h2", F.least("lo", "past_lo").alias("lo"), "hi").where("lo < hi")
+        least = common.stored(least.select("h1", "h2", "lo"), "least")
+        repeats = found.join(least, ["h1", "h2"]).where("doc_id > lo").select("doc_id", "fp1", "fp2", "pos")
+        gone = repeats.unionByName(marked.where("doc_id > rep").select("doc_id", "fp1", "fp2", F.lit(-1).alias("pos")))
         gone = common.stored(gone.groupBy("doc_id", "fp1", "fp2").agg(F.collect_list("pos").alias("gone")), "gone")
+        common.discard(marked, first, shared, wanted, found, least)
 
         touched = common.Bloom.of(gone, "doc_id")
         same = docs.withColumn("gone", F.lit(None).cast("array<int>"))
         changed = _touched(docs, touched).join(gone, ["doc_id", "fp1", "fp2"], "left")
         out = _without(same, self.window, touched).unionByName(_without(changed, self.window))
 
-        self.documents.append(first.withColumnRenamed("rep", "lo"))
-        self.anchors.append(own)
+        for index, run in ((self.documents, document_run), (self.anchors, anchor_run), (self.windows, window_run)):
+            index.append(run)
         return out
 
 

@@ -1,9 +1,14 @@
 """Toxicity by a weighted finite-state pattern grammar.
 
-A clause's words become symbols: insults by weight level, threats, targets,
-negations, verbs of reported speech, other. Four transducers, each mapping a
-symbol to a symbol, are composed once into one machine:
-
+A clause's words become symbols: lexicon entries by level, verbs of harm, words
+of intent, targets, negations, verbs of reported speech, other. Six
+transducers, each mapping a symbol to a symbol, are composed once into one
+machine:
+
+* insult turns an entry into an insult of its level, or of the next one where
+  another entry came up to INSULT_REACH words before,
+* threat turns a verb of harm into a threat, an intended one where a word of
+  intent came up to INTENT_REACH words before,
 * negation marks an insult or threat up to NEGATION_REACH words after a negation,
 * reported speech marks one that follows a verb of saying in the clause,
 * target marks one that a target precedes closely, and turns a threat with a
@@ -12,10 +17,11 @@ symbol to a symbol, are composed once into one machine:
 
 A clause's score is the sum along the machine's path; a document's is a
 logistic function of its clauses' sum. So a word counts for what its clause
-does with it. Insult entries (words, and stems that take many endings) and the
-weights of marks are learned from a bounded sample of labelled texts, on the
-driver: TOXIC_SAMPLE toxic and CLEAN_SAMPLE other ones. The lexicon that is
-broadcast is at most MAX_ENTRIES entries.
+does with it. Insult entries (words, and stems that take many endings), the
+weights of the three marks and those of both threats are learned from a
+bounded sample of labelled texts, on the driver: TOXIC_SAMPLE toxic and
+CLEAN_SAMPLE other ones. The lexicon that is broadcast has no entry that is not
+in that sample.
 
 Documents are searched for lexicon entries with one Aho-Corasick automaton;
 only clauses with an entry run through the machine.
@@ -39,10 +45,11 @@ from pyspark.sql import functions as F
 
 TOXIC_SAMPLE = 1500
 CLEAN_SAMPLE = 3000
-MAX_ENTRIES = 5000
 LEVELS = 6
 #: Least log odds ratio and log likelihood ratio of a lexicon entry.
 LEAST_ODDS, LEAST_RATIO = 1.8, 14.0
+INSULT_REACH = 3
+INTENT_REACH = 4
 NEGATION_REACH = 3
 TARGET_REACH = 4
 
@@ -50,7 +57,13 @@ TARGET_REACH = 4
 TARGETS = frozenset("you your yours yourself u he she they him her them du dich dir ihr euch dein sie er tu toi te vous votre il elle ils elles tú ti usted ustedes vosotros él ella ellos ellas".split())
 NEGATIONS = frozenset("not no never nobody none cannot isn aren wasn weren don doesn didn nicht kein keine keinen nie niemals ne pas jamais aucun nunca jamás ni tampoco".split())
 REPORTS = frozenset("said says say saying told tells wrote writes called calls claimed claims reported reports quoted quotes according allegedly sagte sagt sagten schrieb schreibt nannte nennt behauptete laut dit disait écrit écrivait appelé selon prétend dijo dice escribió escribe llamó llama según afirmó".split())
-THREATS = frozenset("kill hurt destroy murder strangle stab shoot töten umbringen erschlagen verprügeln tuer frapper étrangler massacrer matar golpear destruir estrangular".split())
+INTENTS = frozenset("will ll gonna going shall must should want werde werden wird wollen will müssen vais va allons voy vamos quiero".split())
+HARMS = "kill hurt destroy murder strangl stab shoot töt umbring erschlag verprügel étrangl massacr golpe destru".split()
+HARM_WORDS = "tuer tue matar mato frapper frappe destruir strangle shot".split()
+ENDINGS = "s es ed ing er e en t st te ar o a bed bing".split()
+# end of fixed values
+
+THREATS = frozenset([*HARM_WORDS, *HARMS, *(stem + end for stem in HARMS for end in ENDINGS)])
 
 _WORD = regex.compile(r"\p{L}+")
 _CLAUSE = regex.compile(r"[^.!?;:\n]+")
@@ -106,21 +119,45 @@ def compose(first: Transducer, second: Transducer) -> Transducer:
     return build(first.symbols, step)
 
 
-INSULTS = tuple(f"I{k}" for k in range(1, LEVELS + 1))
-SYMBOLS = ("o", "T", "N", "R", "X", *INSULTS)
+#: Lexicon entries (E) and insults (I) by level.
+ENTRIES = tuple(f"E{k}" for k in range(1, LEVELS + 1))
+#: Other words, targets, negations, reports, words of intent (W), verbs of harm (V), entries.
+SYMBOLS = ("o", "T", "N", "R", "W", "V", *ENTRIES)
 
 
 def _harm(symbol: str) -> bool:
-    return symbol[-2:-1] == "I" or symbol[-1] == "X"
+    return symbol[-2:-1] == "I" or symbol[-1] in "XY"
+
+
+def insult() -> Transducer:
+    """E to I, one level higher in the reach of an entry before."""
+
+    def step(left, s):
+        if s in ENTRIES:
+            return INSULT_REACH, f"I{min(LEVELS, int(s[1:]) + (left > 0))}", 0.0
+        return max(0, left - 1), s, 0.0
+
+    return build(SYMBOLS, step)
 
 
-def negation() -> Transducer:
+def threat(symbols: Iterable[str]) -> Transducer:
+    """V to X, or to Y in the reach of a word of intent before; words of intent become other words."""
+
+    def step(left, s):
+        if s == "W":
+            return INTENT_REACH, "o", 0.0
+        return max(0, left - 1), ("Y" if left else "X") if s == "V" else s, 0.0
+
+    return build(symbols, step)
+
+
+def negation(symbols: Iterable[str]) -> Transducer:
     def step(left, s):
         if s == "N":
             return NEGATION_REACH, s, 0.0
         return max(0, left - 1), f"n:{s}" if left and _harm(s) else s, 0.0
 
-    return build(SYMBOLS, step)
+    return build(symbols, step)
 
 
 def reported(symbols: Iterable[str]) -> Transducer:
@@ -143,7 +180,7 @@ def target(symbols: Iterable[str]) -> Transducer:
                 out, waiting, which = f"t:{which}", 0, ""
             left = TARGET_REACH
         else:
-            if s[-1] == "X":
+            if s[-1] in "XY":
                 out, waiting, which = "o", TARGET_REACH, s
             elif _harm(s):
                 out = f"t:{s}" if left else s
@@ -159,12 +196,12 @@ def target(symbols: Iterable[str]) -> Transducer:
     return build(symbols, step)
 
 
-def score(symbols: Iterable[str], marks: dict[str, float], threat: float) -> Transducer:
+def score(symbols: Iterable[str], marks: dict[str, float], threats: dict[str, float]) -> Transducer:
     def step(state, s):
         if not _harm(s):
             return 0, s, 0.0
         *on, base = s.split(":")
-        weight = threat if base == "X" else float(base[1:])
+        weight = threats[base] if base in threats else float(base[1:])
         for m in on:
             weight *= marks[m]
         return 0, s, weight
@@ -172,12 +209,11 @@ def score(symbols: Iterable[str], marks: dict[str, float], threat: float) -> Tra
     return build(symbols, step)
 
 
-def grammar(marks: dict[str, float], threat: float) -> Transducer:
-    one = negation()
-    two = reported(one.outputs())
-    three = target(two.outputs())
-    marked = compose(compose(one, two), three)
-    return compose(marked, score(three.outputs(), marks, threat))
+def grammar(marks: dict[str, float], threats: dict[str, float]) -> Transducer:
+    machine = insult()
+    for part in (threat, negation, reported, target):
+        machine = compose(machine, part(machine.outputs()))
+    return compose(machine, score(machine.outputs(), marks, threats))
 
 
 # --- lexicon ----------------------------------------------------------------
@@ -189,7 +225,7 @@ class Model:
     stems: dict[str, int]  # beginnings of words -> level
     repeated: dict[str, int]  # beginnings that count where a text has them twice or more -> level
     marks: dict[str, float] = field(default_factory=lambda: {"n": 0.25, "r": 0.4, "t": 1.25})
-    threat: float = 2.0
+    threats: dict[str, float] = field(default_factory=lambda: {"X": 2.0, "Y": 3.0})
     slopes: tuple[float, float] = (1.0, 0.5)
     bias: float = -3.0
 
@@ -198,7 +234,8 @@ class Matcher:
     """A model made ready to score texts."""
 
     def __init__(self, model: Model):
-        self.model, self.machine = model, grammar(model.marks, model.threat)
+        self.model, self.machine = model, grammar(model.marks, model.threats)
+        self.longest = max((len(w) for kind in (model.stems, model.repeated) for w in kind), default=0)
         self.find = ahocorasick.Automaton()
         for w in (*model.words, *model.stems, *model.repeated, *THREATS):
             self.find.add_word(w, len(w))
@@ -208,10 +245,10 @@ class Matcher:
         """The symbol of a word; twice: the repeated stems that the text has twice."""
         level = self.model.words.get(word)
         if level is None:
-            level = max((k for n in range(3, len(word) + 1) for kind in (self.model.stems, twice) if (k := kind.get(word[:n]))), default=None)
+            level = max((k for n in range(3, min(len(word), self.longest) + 1) for kind in (self.model.stems, twice) if (k := kind.get(word[:n]))), default=None)
         if level is not None:
-            return f"I{level}"
-        return "X" if word in THREATS else "N" if word in NEGATIONS else "R" if word in REPORTS else "T" if word in TARGETS else "o"
+            return f"E{level}"
+        return "V" if word in THREATS else "N" if word in NEGATIONS else "R" if word in REPORTS else "T" if word in TARGETS else "W" if word in INTENTS else "o"
 
     def clauses(self, text: str) -> list[tuple[int, int, float, list[str]]]:
         """(start, end, weight, marked symbols) of each clause with an insult or threat, in characters of the lower-cased text."""
@@ -224,10 +261,9 @@ class Matcher:
         twice = {e: self.model.repeated[e] for e, c in often.items() if c > 1}
         hits = [at for at, _ in hits]
         hits.sort()
-        at = 0
+        at = end = 0
         while at < len(hits):
-            m = _CLAUSE.match(low, _clause_start(low, hits[at]))
-            start, end = m.span()
+            start, end = _CLAUSE.match(low, _clause_start(low, end, hits[at])).span()
             symbols = [self.symbol(w, twice) for w in _WORD.findall(low, start, end)]
             path = list(self.machine.run(symbols))
             events = [s for s, w in path if w > 0]
@@ -247,8 +283,9 @@ class Matcher:
         return 1.0 / (1.0 + math.exp(-(self.model.bias + self.model.slopes[0] * x + self.model.slopes[1] * y)))
 
 
-def _clause_start(text: str, at: int) -> int:
-    return max(text.rfind(c, 0, at) for c in ".!?;:\n") + 1
+def _clause_start(text: str, after: int, at: int) -> int:
+    """Where the clause of a place begins, not before the end of the last one."""
+    return max(after - 1, *(text.rfind(c, after, at) for c in ".!?;:\n")) + 1
 
 
 def _distinct(texts: list[str]) -> list[Counter]:
@@ -325,8 +362,8 @@ def learn_lexicon(toxic: list[str], clean: list[str]) -> tuple[dict[str, int], d
     found.sort()
     kept: list[dict[str, int]] = [{}, {}, {}]
     taken, inside = set(), set()
-    for _, k, e, level in found[: 20 * MAX_ENTRIES]:
-        if e in inside or any(e[:n] in taken for n in range(3, len(e) + 1)) or len(taken) >= MAX_ENTRIES:
+    for _, k, e, level in found:
+        if e in inside or any(e[:n] in taken for n in range(3, len(e) + 1)):
             continue
         kept[k][e] = level
         taken.add(e)
@@ -339,10 +376,18 @@ def learn(toxic: list[str], clean: list[str]) -> Model:
     model = Model(*learn_lexicon(toxic, clean))
     matcher = Matcher(model)
     found = [(matcher.clauses(t), y) for y, texts in ((1, toxic), (0, clean)) for t in texts]
-    # a mark keeps its first weight as ten documents' worth, and moves to the weight 1 of a plain insult as far as marked ones are toxic
-    for m in ("n", "r"):
-        seen = [y for cs, y in found if any(m in s.split(":")[:-1] for c in cs for s in c[3])]
-        model.marks[m] = (10 * model.marks[m] + sum(seen)) / (10 + len(seen))
+    # a weight keeps its first value as ten documents' worth; a mark moves to how much likelier (or less likely) than plain
+    # events the marked ones are to stand in toxic texts, a threat to the level that its evidence gives
+    symbols = [({s for c in cs for s in c[3]}, y) for cs, y in found]
+    plain = [y for some, y in symbols if any(":" not in s for s in some)]
+    base = (1 + sum(plain)) / (2 + len(plain))
+    for m, first in list(model.marks.items()):
+        seen = [y for some, y in symbols if any(m in s.split(":")[:-1] for s in some)]
+        model.marks[m] = (10 * first + min(1.5, (sum(seen) / len(seen)) / base) * len(seen)) / (10 + len(seen)) if seen else first
+    for kind, first in list(model.threats.items()):
+        t, c = (sum(1 for some, y in symbols if y == label and any(s[-1] == kind and "n" not in s.split(":")[:-1] for s in some)) for label in (1, 0))
+        level = min(float(LEVELS), max(0.0, _evidence(t, len(toxic), c, len(clean))[0])) if t + c else first
+        model.threats[kind] = (10 * first + (t + c) * level) / (10 + t + c)
     matcher = Matcher(model)
     x = np.array([matcher.features(matcher.clauses(t), len(t)) for texts in (toxic, clean) for t in texts]).reshape(-1, 2)
     y = np.array([1.0] * len(toxic) + [0.0] * len(clean))

@@ -54,16 +54,138 @@ def test_grammar():
     assert weight("you idiot") == pytest.approx(3 * model.marks["t"])
     assert weight("not an idiot") == pytest.approx(3 * model.marks["n"])
     assert weight("someone said that idiot left") == pytest.approx(3 * model.marks["r"])
-    assert weight("not an idiot, the idiot left not at all idiot") < 9
-    assert weight("i will kill you") == pytest.approx(model.threat * model.marks["t"]) and weight("kill the lights") == 0
+    assert weight("idiot idiot") == 3 + 4 and weight("idiot was here and there an idiot") == 6
+    assert weight("i will kill you") == pytest.approx(model.threats["Y"] * model.marks["t"]) and weight("kill the lights") == 0
+    for verb in ("kills", "killing", "killed", "stabbing", "strangled"):
+        assert weight(f"someone {verb} you") == pytest.approx(model.threats["X"] * model.marks["t"])
     assert weight("worthless") == 2.0 and weight("unworthy") == 0
     assert weight("fooled") == 0 and weight("fooled again. foolish") > 0
     assert m.clauses("") == []
-    one, two = T.negation(), T.reported(T.negation().outputs())
-    both = T.compose(one, two)
-    symbols = ["R", "N", "o", "I2", "I2", "I2"]
-    by_hand = [s for s, _ in two.run([s for s, _ in one.run(symbols)])]
-    assert [s for s, _ in both.run(symbols)] == by_hand
+    parts = [T.insult()]
+    for make in (T.threat, T.negation, T.reported, T.target):
+        parts.append(make(parts[-1].outputs()))
+    whole = parts[0]
+    for part in parts[1:]:
+        whole = T.compose(whole, part)
+    rng = np.random.default_rng(3)
+    for _ in range(200):
+        symbols = [T.SYMBOLS[i] for i in rng.integers(0, len(T.SYMBOLS), 12)]
+        by_hand = symbols
+        for part in parts:
+            by_hand = [s for s, _ in part.run(by_hand)]
+        assert [s for s, _ in whole.run(symbols)] == by_hand
+
+
+def slow_clauses(matcher, text):
+    """The clauses of a text, each word of each clause looked at by itself."""
+    import re
+    from collections import Counter
+
+    from driftline.llm import toxicity as T
+
+    low = text.lower()
+    entries = [*matcher.model.words, *matcher.model.stems, *matcher.model.repeated, *T.THREATS]
+    begins = Counter(e for m in re.finditer(r"[^\W\d_]+", low) for e in matcher.model.repeated if m[0].startswith(e))
+    twice = {e: matcher.model.repeated[e] for e, c in begins.items() if c > 1}
+    out = []
+    for m in re.finditer(r"[^.!?;:\n]+", low):
+        words = re.findall(r"[^\W\d_]+", m[0])
+        if any(w.startswith(e) for w in words for e in entries):
+            path = list(matcher.machine.run([matcher.symbol(w, twice) for w in words]))
+            if any(w > 0 for _, w in path):
+                out.append((m.start(), m.end(), pytest.approx(sum(w for _, w in path))))
+    return out
+
+
+def test_toxicity_by_brute_force(spark):
+    from driftline.llm import toxicity as T
+
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").orderBy("doc_id").limit(200)
+    labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet").select("doc_id", "toxic")
+    model = T.fit(spark.read.parquet("/root/testdata/sf0.01/documents.parquet").join(labels, "doc_id"))
+    matcher, texts = T.Matcher(model), {r.doc_id: r.text or "" for r in docs.collect()}
+    some = 0
+    for r in T.assess(docs, model).collect():
+        want = slow_clauses(matcher, texts[r.doc_id])
+        assert [(c.start, c.end, c.weight) for c in r.clauses] == want
+        assert r.score == pytest.approx(matcher.probability([(0, 0, sum(c.weight for c in r.clauses))], len(texts[r.doc_id])))
+        some += bool(want)
+    assert some > 0 and all(v >= 0 for v in (*model.marks.values(), *model.threats.values()))
+
+
+def test_long_words_and_texts_take_linear_time():
+    import time
+
+    from driftline.llm import toxicity as T
+
+    m = T.Matcher(T.Model({"idiot": 3}, {"worth": 2}, {}))
+    began = time.time()
+    assert len(m.clauses("you idiot " + "x" * 1_000_000)) == 1
+    assert len(m.clauses("you idiot " * 100_000 + "!" + " an idiot," * 100_000)) == 2
+    assert len(m.clauses("an idiot! " * 200_000)) == 200_000
+    assert time.time() - began < 30
+
+
+def naive_language(model, text):
+    """Log probabilities by one pass over the n-grams of the text's letters, in plain Python."""
+    from driftline.llm import langid as L
+
+    letters = []
+    for c in text:
+        low = int(L.letters_of(np.array([ord(c)], dtype=np.uint32))[0])
+        if low or (letters and letters[-1]):
+            letters.append(low)
+    if letters and letters[-1]:
+        letters.append(0)
+    block = model.blocks[0].value
+    total = block.log_prior.copy()
+    for n in range(1, L.MAX_GRAM + 1):
+        for i in range(len(letters) - n + 1):
+            h = 0
+            for c in letters[i : i + n]:
+                h = (h + c + 1) * 0x9E3779B97F4A7C15 % (1 << 64)
+                h ^= h >> 29
+            total = total + block.log_prob[h >> 48]
+    return block.languages[int(total.argmax())], 1 / np.exp(total - total.max()).sum(), any(letters)
+
+
+def test_language_by_brute_force(spark, documents):
+    from driftline.llm import langid
+
+    model = langid.fit(documents, sample=60)
+    rows = documents.select("doc_id", "text").orderBy("doc_id").limit(200)
+    texts = {r.doc_id: r.text or "" for r in rows.collect()}
+    for r in langid.identify(rows, model).collect():
+        lang, p, seen = naive_language(model, texts[r.doc_id])
+        assert r.lang_pred == (lang if seen else "und")
+        if seen:
+            assert r.score == pytest.approx(p, rel=1e-4)
+
+
+def test_language_in_blocks_and_parts(spark, documents, monkeypatch):
+    from driftline.llm import langid
+
+    rows = documents.select("doc_id", "text")
+    whole = {r.doc_id: (r.lang_pred, round(r.score, 6)) for r in langid.identify(rows, langid.fit(documents, sample=60)).collect()}
+    monkeypatch.setattr(langid, "BLOCK_LANGUAGES", 2)
+    model = langid.fit(documents, sample=60)
+    assert len(model.blocks) > 1
+    assert {r.doc_id: (r.lang_pred, round(r.score, 6)) for r in langid.identify(rows, model).collect()} == whole
+    text = "Ünï 12 cödé, words.  and more! " * 40
+    full = sorted(zip(*(np.concatenate(x).tolist() for x in zip(*langid.grams([text, "x"])))))
+    monkeypatch.setattr(langid, "CHUNK_CHARS", 37)
+    assert sorted(zip(*(np.concatenate(x).tolist() for x in zip(*langid.grams([text, "x"]))))) == full
+
+
+def test_language_of_a_very_long_text(spark):
+    import time
+
+    from driftline.llm import langid
+
+    model = langid.fit(spark.createDataFrame([(1, "the cat and the dog", "en"), (2, "der hund und die katze", "de")], "doc_id long, text string, lang string"))
+    began = time.time()
+    total, seen = model.blocks[0].value.totals(["the dog and " * 1_000_000])
+    assert seen[0] and total[0].argmax() == 1 and time.time() - began < 60
 
 
 def test_scores_of_odd_rows(spark, nasty, empty):
@@ -138,17 +260,50 @@ def test_nearest_of_few_is_exact(spark, data):
     assert got == brute(p.vec_id.to_numpy(), np.stack(p.embedding).astype(float), 5, 50)
 
 
-def test_recall_of_many(spark):
-    from driftline.llm.ann import nearest
+def test_recall_and_work_on_clusters(spark):
+    """Near neighbours: recall of 0.9 with a part of the rows scored; hashing at every size."""
+    from driftline.llm import ann
 
     rng = np.random.default_rng(2)
-    centres = rng.standard_normal((60, 24))
-    x = (centres[rng.integers(0, 60, 9000)] + 0.6 * rng.standard_normal((9000, 24))).astype(np.float32)
-    want = brute(np.arange(9000), x.astype(float), 5, 50)
+    centres = rng.standard_normal((600, 32))
+    x = (centres[rng.integers(0, 600, 12000)] + 0.35 * rng.standard_normal((12000, 32))).astype(np.float32)
+    want = brute(np.arange(12000), x.astype(float), 5, 50)
     got = {}
-    for r in nearest(vectors(spark, [(i, v.tolist()) for i, v in enumerate(x)])).collect():
+    for r in ann.nearest(vectors(spark, [(i, v.tolist()) for i, v in enumerate(x)])).collect():
         got.setdefault(r.query_id, set()).add(r.vec_id)
     assert sum(len(got[q] & set(w)) for q, w in want.items()) / (5 * len(want)) >= 0.9
+    unit = ann._unit(x.astype(float))
+    near = np.sort(unit[::50] @ unit.T, axis=1)[:, -6]
+    model = ann.Tables(len(x), 0.95, float(np.quantile(near, 0.2)), 11)
+    keys = [model.bucket(unit, t) for t in range(model.tables)]
+    probes = model.probes(unit[::50])
+    scored = np.mean([sum(np.isin(k, p).sum() for k in keys) for p in probes])
+    assert model.tables >= 2 and scored < 0.15 * len(x)
+    small = ann.Tables(500, 0.95, 0.9, 11)
+    assert small.m >= 1 and len(np.unique(small.bucket(unit[:500], 0))) > 1
+
+
+def test_visits_go_by_falling_chance():
+    from itertools import product
+
+    from driftline.llm import ann
+
+    rng = np.random.default_rng(1)
+    log, _ = ann._chances(rng.standard_normal((2, 3)), rng.uniform(0, 1, (2, 3)), 0.7)
+    got = ann.visits(log.tolist(), 0.9)
+    chance = [sum(log[t][j][x] for j, x in enumerate(pick)) for t, pick in got]
+    assert chance == sorted(chance, reverse=True) and len(set(got)) == len(got)
+    every = sorted((sum(log[t][j][x] for j, x in enumerate(pick)) for t in range(2) for pick in product(range(log.shape[2]), repeat=3)), reverse=True)
+    assert chance == pytest.approx(every[: len(got)])
+
+
+def test_many_equal_scores(spark):
+    """More unequal vectors with one cosine than any block keeps: ties go to the smallest ids."""
+    from driftline.llm.ann import nearest
+
+    rows = [(0, [1.0, 0.0])] + [(k, [float(2 ** (k % 40)), 0.0]) for k in range(99, 50, -1)]
+    got = [(r.vec_id, r["rank"]) for r in nearest(vectors(spark, rows), query_modulus=1000).collect()]
+    assert sorted(got) == [(51 + k, k + 1) for k in range(5)]
 
 
 def test_nearest_of_odd_vectors(spark):
@@ -160,6 +315,11 @@ def test_nearest_of_odd_vectors(spark):
     for r in sorted(nearest(vectors(spark, rows)).collect(), key=lambda r: (r.query_id, r["rank"])):
         got.setdefault(r.query_id, []).append((r.vec_id, round(r.score, 6)))
     assert got == {0: [(1, 1.0), (2, 1.0), (50, 1.0), (3, 0.0)], 50: [(0, 1.0), (1, 1.0), (2, 1.0), (3, 0.0)]}
+    mixed = [(0, [1.0, 0.0]), (50, [1.0, 0.0, 1.0]), (1, [1.0, 1.0]), (2, [1.0, 0.5, 1.0]), (3, [0.0, 1.0, 0.0])]
+    got = sorted((r.query_id, r["rank"], r.vec_id) for r in nearest(vectors(spark, mixed)).collect())
+    assert got == [(0, 1, 1), (50, 1, 2), (50, 2, 3)]
+    clash = vectors(spark, rows).selectExpr("*", "1 as key", "2 as rep", "3 as query", "4 as copies", "5 as vec", "6 as rank", "7 as score")
+    assert nearest(clash).count() == 8
     assert nearest(vectors(spark, [])).count() == 0
 
 

@@ -49,6 +49,75 @@ def test_similarity_of_a_group_of_edited_copies(spark):
     assert got == {i: c for i, (_, c) in brute_classes(rows, 3, 90).items()}
 
 
+def thue_morse(n, a="x", b="y"):
+    word = a
+    while len(word) < n:
+        word += word.translate(str.maketrans(a + b, b + a))
+    return word, word.translate(str.maketrans(a + b, b + a))
+
+
+def test_regular_words_do_not_collide(spark):
+    from driftline.llm.ngram_join import similarity_classes
+    from driftline.llm.substring_dedup import remove_repeats
+
+    one, two = thue_morse(2048)
+    pair = spark.createDataFrame([(1, one), (2, two)], "doc_id long, text string")
+    assert sorted(tuple(r)[:3] for r in similarity_classes(pair, n=3, percent=90).collect()) == [(1, 1, 1), (2, 1, 2)]
+    same = " ".join(f"w{i}" for i in range(49))
+    docs = spark.createDataFrame([(1, f"{same} {one}"), (2, f"{same} {two}")], "doc_id long, text string")
+    assert [r.n_removed for r in remove_repeats(docs).collect()] == [0, 0]
+    many = [" ".join(word) for word in thue_morse(2048)]
+    docs = spark.createDataFrame([(1, many[0]), (2, many[1])], "doc_id long, text string")
+    got = {r.doc_id: (r.n_words, r.n_removed, r.kept_text) for r in remove_repeats(docs).collect()}
+    assert got == brute_windows(list(enumerate(many, 1)), 50)
+
+
+def test_similarity_of_templates_that_share_rare_words(spark):
+    """Groups whose members share a passage and do not link: few pairs, no false link."""
+    from driftline.llm import common, ngram_join
+
+    def rows(groups, size):
+        return [(g * 10000 + k, " ".join([f"t{g}x{i}" for i in range(30)] + [f"d{g}y{k}z{i}" for i in range(70)])) for g in range(groups) for k in range(size)]
+
+    seen = []
+    real = common.stored
+    try:
+        common.stored = lambda df, name: (seen.append((name, (out := real(df, name)).rows)), out)[1]
+        for size in (100, 500):
+            seen.clear()
+            got = ngram_join.similarity_classes(spark.createDataFrame(rows(4, size), "doc_id long, text string"), n=3, percent=90).collect()
+            assert all(r.component_id == r.doc_id for r in got)
+            assert sum(n for name, n in seen if name in ("pairs", "postings")) <= 4 * size
+    finally:
+        common.stored = real
+
+
+def test_exact_set_of_words_confirms_a_link():
+    from driftline.llm.ngram_join import word_sets
+
+    assert word_sets([b"a", b"b", b"a", b"b"], 2) == {(b"a", b"b"), (b"b", b"a")}
+    assert word_sets([b"a"], 2) == {(b"a",)} and word_sets([], 2) == set()
+
+
+def test_components_by_rounds_and_in_one_task(spark):
+    import random
+
+    from driftline.llm import common
+
+    random.seed(5)
+    pairs = [(random.randrange(400), random.randrange(400)) for _ in range(330)] + [(1000 + i, 1001 + i) for i in range(200)] + [(5000, 5000 + i) for i in range(300)]
+    top = {}
+    find = lambda x: x if top.setdefault(x, x) == x else find(top[x])
+    for a, b in pairs:
+        if a != b:
+            a, b = find(a), find(b)
+            top[max(a, b)] = min(a, b)
+    want = {x: find(x) for x in list(top)}
+    links = common.stored(spark.createDataFrame(pairs, "a long, b long"), "links")
+    for local in (10**6, 0):
+        assert {r.node: r.component for r in common.components(links, local=local).collect()} == want
+
+
 def test_similarity_of_odd_rows(nasty, empty):
     from driftline.llm.ngram_join import similarity_classes
 
@@ -97,11 +166,35 @@ def test_index_levels_and_opening(spark):
     root = common.new_path(spark, "index")
     index = FingerprintIndex(spark, root, ("hash",))
     for k in range(FANOUT + 1):
-        index.append(spark.createDataFrame([(h, 10 - k) for h in (1, 2, 100 + k)], "hash long, lo long"))
+        index.append(index.write(spark.createDataFrame([(h, 10 - k, 10 - k) for h in (1, 2, 100 + k)], "hash long, lo long, hi long")))
     again = FingerprintIndex.open(spark, root, ("hash",))
     assert [r["level"] for r in again.runs] == [r["level"] for r in index.runs] and len(again.runs) == 2
-    got = {r.hash: r.lo for r in again.merged().collect()}
-    assert got[1] == 10 - FANOUT and len(got) == 2 + FANOUT + 1
+    got = {r.hash: (r.lo, r.hi) for r in again.read().collect()}
+    assert got[1] == (10 - FANOUT, 10) and len(got) == 2 + FANOUT + 1
+    plan = again.looked_up(again.write(spark.createDataFrame([(1, 5, 5), (7, 5, 5)], "hash long, lo long, hi long")))
+    assert sorted(tuple(r) for r in plan.collect()) == [(1, 5, 5, 10 - FANOUT, 10), (7, 5, 5, None, None)]
+    text = plan._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in text and "Exchange" not in text and "Sort [" not in text
+
+
+def test_history_is_read_for_single_holders_only(spark):
+    """The third batch shares a passage that the first two share: only its own documents and no history are digested."""
+    from driftline.llm import common, substring_dedup as S
+
+    passage = " ".join(f"p{i}" for i in range(80))
+    docs = lambda lo, hi: spark.createDataFrame([(k, f"{passage} {' '.join(f'd{k}w{i}' for i in range(60))}") for k in range(lo, hi)], "doc_id long, text string")
+    index, got = S.SubstringDeduplicator(spark), {}
+    seen, real = [], common.stored
+    try:
+        common.stored = lambda df, name: (seen.append((name, (out := real(df, name)).rows)), out)[1]
+        for lo, hi in ((0, 1), (1, 2), (2, 12)):
+            seen.clear()
+            got |= {r.doc_id: r.n_removed for r in index.add(docs(lo, hi), docs(0, lo) if lo else None).collect()}
+    finally:
+        common.stored = real
+    assert got == {0: 0} | dict.fromkeys(range(1, 12), 80)
+    wanted = [n for name, n in seen if name == "wanted"]
+    assert len(wanted) == 2 and wanted[1] == 0
 
 
 def test_repeats_of_odd_rows(nasty, empty):
