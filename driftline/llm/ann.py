@@ -121,7 +121,7 @@ class Tables:
 
     def keys(self, cells: np.ndarray, dim: int, t: int) -> np.ndarray:
         """One 64-bit key for each row of cells of table t."""
-        out = np.full(len(cells), self.weight[t, self.m] ^ (dim * 0x9E3779B97F4A7C1), dtype=np.int64)
+        out = np.full(len(cells), self.weight[t, self.m] ^ (dim << 20), dtype=np.int64)
         for j in range(self.m):
             out = (out ^ (cells[:, j] + 1_000_003) * self.weight[t, j]) * np.int64(0x2545F4914F6CDD1D)
         return out

@@ -249,15 +249,22 @@ def brute(ids, x, k, modulus):
     return out
 
 
-def test_nearest_of_few_is_exact(spark, data):
+def test_nearest_of_few(spark, data):
+    """Few rows are hashed too: recall by the model, scores exact; with a recall next to 1 every row is found."""
     from driftline.llm.ann import nearest
 
     e = spark.read.parquet(f"{data}/embeddings.parquet")
     p = e.toPandas().sort_values("vec_id")
-    got = {}
-    for r in sorted(nearest(e).collect(), key=lambda r: (r.query_id, r["rank"])):
-        got.setdefault(r.query_id, []).append(r.vec_id)
-    assert got == brute(p.vec_id.to_numpy(), np.stack(p.embedding).astype(float), 5, 50)
+    ids, x = p.vec_id.to_numpy(), np.stack(p.embedding).astype(float)
+    want, place = brute(ids, x, 5, 50), {int(v): k for k, v in enumerate(ids)}
+    for recall in (0.95, 1 - 1e-9):
+        got = {}
+        for r in sorted(nearest(e, recall=recall).collect(), key=lambda r: (r.query_id, r["rank"])):
+            got.setdefault(r.query_id, []).append(r.vec_id)
+            q, v = x[place[r.query_id]], x[place[r.vec_id]]
+            assert r.score == pytest.approx(q @ v / np.linalg.norm(q) / np.linalg.norm(v), abs=1e-12)
+        assert sum(len(set(got[q]) & set(w)) for q, w in want.items()) >= 0.9 * 5 * len(want)
+    assert got == want
 
 
 def test_recall_and_work_on_clusters(spark):

@@ -178,7 +178,7 @@ def test_index_levels_and_opening(spark):
 
 
 def test_history_is_read_for_single_holders_only(spark):
-    """The third batch shares a passage that the first two share: only its own documents and no history are digested."""
+    """The third batch shares a passage that the first two share: its own documents are digested, of history only holders of anchors at the passage's ends."""
     from driftline.llm import common, substring_dedup as S
 
     passage = " ".join(f"p{i}" for i in range(80))
@@ -194,7 +194,7 @@ def test_history_is_read_for_single_holders_only(spark):
         common.stored = real
     assert got == {0: 0} | dict.fromkeys(range(1, 12), 80)
     wanted = [n for name, n in seen if name == "wanted"]
-    assert len(wanted) == 2 and wanted[1] == 0
+    assert len(wanted) == 2 and wanted[0] > 40 and wanted[1] <= 5
 
 
 def test_repeats_of_odd_rows(nasty, empty):
