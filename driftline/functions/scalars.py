@@ -8,6 +8,8 @@ from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
 EARTH_KM = 6371.0
+#: Microseconds of a year of 365.25 days.
+YEAR_US = 31_557_600_000_000
 #: The shortest closure of months with storms.
 STORM_MONTHS = (10, 11, 12, 1, 2, 3)
 

@@ -43,7 +43,7 @@ def spectra(df: DataFrame, keys: list[str], dt_hours: float, detrend: str = "lin
         if len(x) < 4:
             return []
         f, p = N.periodogram(x, dt_hours, detrend)
-        return [(float(a), float(1 / a) if a else None, float(b)) for a, b in zip(f, p)]
+        return [(float(a), len(x) * dt_hours / k if k else None, float(b)) for k, (a, b) in enumerate(zip(f, p))]  # whole periods are exact
 
     return per_group(df, keys, "frequency double, period_hours double, power double", rows)
 
@@ -220,9 +220,18 @@ def qq_points(df: DataFrame, keys: list[str], name: str = "weibull") -> DataFram
     return per_group(df, keys, "i int, observed double, expected double", rows)
 
 
-def declustered_peaks(samples: DataFrame, threshold: DataFrame, distance: int) -> DataFrame:
+def _settings(threshold: DataFrame) -> list[str]:
+    """The columns beside the threshold: the series and, where a series has several thresholds, what tells them apart."""
+    return [c for c in threshold.columns if c != "threshold"]
+
+
+def declustered_peaks(samples: DataFrame, threshold: DataFrame, distance: int | None = None) -> DataFrame:
     """(series_id, ts, peak): local maxima at or above the series' threshold, thinned so that any two are `distance` rows apart, the highest first.
 
+    threshold: series_id, threshold, and for several settings a series further
+    columns, which the result has too; one of them is `distance` if that is not
+    given here.
+
     Candidates (rises before and falls after, plateaus by their middle) come
     from window functions; only they meet for the greedy pass. Rows are counted
     after nulls are dropped.
@@ -234,19 +243,22 @@ def declustered_peaks(samples: DataFrame, threshold: DataFrame, distance: int) -
     flats = rows.groupBy("series_id", "flat").agg(F.first("value").alias("value"), F.min("idx").alias("lo"), F.max("idx").alias("hi"), F.min("us").alias("us"))
     near = Ordered(flats, ["series_id"]).previous("value", "left_").following("value", "right_").done()
     peaks = near.where("value > left_ and value > right_").withColumn("idx", F.floor((F.col("lo") + F.col("hi")) / 2).cast("long"))
-    peaks = peaks.join(threshold, "series_id").where(F.col("value") >= F.col("threshold")).select("series_id", "idx", "value")
+    keys = _settings(threshold)
+    peaks = peaks.join(threshold, "series_id").where(F.col("value") >= F.col("threshold")).select(*keys, "idx", "value")
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("idx")
-        return pdf[N.declustered(pdf["idx"].to_numpy(), pdf["value"].to_numpy(), distance)]
+        apart = distance if distance is not None else int(pdf["distance"].iloc[0])
+        return pdf[N.declustered(pdf["idx"].to_numpy(), pdf["value"].to_numpy(), apart)]
 
-    kept = peaks.groupBy("series_id").applyInPandas(run, peaks.schema)
-    return kept.join(rows.select("series_id", "idx", "ts"), ["series_id", "idx"]).select("series_id", "ts", F.col("value").alias("peak"))
+    kept = peaks.groupBy(*keys).applyInPandas(run, peaks.schema)
+    return kept.join(rows.select("series_id", "idx", "ts"), ["series_id", "idx"]).select(*keys, "ts", F.col("value").alias("peak"))
 
 
 def gpd(peaks: DataFrame, threshold: DataFrame) -> DataFrame:
-    """(series_id, n_peaks, xi, sigma, ks, p, few): generalised Pareto fit of excesses; under 3 peaks no row, under 10 few is true."""
-    excess = peaks.join(threshold, "series_id").select("series_id", "ts", (F.col("peak") - F.col("threshold")).alias("value"))
+    """(series_id, n_peaks, xi, sigma, ks, p, few): generalised Pareto fit of excesses, for each setting of the thresholds; under 3 peaks no row, under 10 few is true."""
+    keys = _settings(threshold)
+    excess = peaks.join(threshold, keys).select(*keys, "ts", (F.col("peak") - F.col("threshold")).alias("value"))
 
     def rows(x: np.ndarray, _: pd.DataFrame) -> list[tuple]:
         x = x[x > 0]
@@ -259,7 +271,7 @@ def gpd(peaks: DataFrame, threshold: DataFrame) -> DataFrame:
         d = float(max((i / len(y) - f).max(), (f - (i - 1) / len(y)).max()))
         return [(len(x), float(xi), float(sigma), d, N.kolmogorov_tail(d, len(y)), len(x) < 10)]
 
-    return per_group(excess, ["series_id"], "n_peaks long, xi double, sigma double, ks double, p double, few boolean", rows)
+    return per_group(excess, keys, "n_peaks long, xi double, sigma double, ks double, p double, few boolean", rows)
 
 
 def weibull_bootstrap(df: DataFrame, keys: list[str], block: int, replicates: int, seed: int = 0) -> DataFrame:

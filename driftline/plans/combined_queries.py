@@ -13,8 +13,9 @@ from ..operators import stats, windows
 from ..operators.ordered import Ordered
 from ..sources import tables
 from ..sources.tables import table
+from .estimator_sql import ESTIMATOR_SQL
 from .series_queries import _R4, Query, _indexed, events, mean_of_cents, off_ties
-from .stat_queries import _CCF, _TREND, _peaks, _trend_points, _wide, monthly_orders
+from .stat_queries import _CCF, _TREND, _peaks, _trend_points, _wide, monthly_orders, record_years
 
 # Readings of a GPD shape and of the candidate distributions.
 SHAPE_TEXT = (("heavy tail, no upper bound", 0.1), ("near exponential", -0.1))
@@ -53,7 +54,9 @@ def change_coverage(spark, d):
     days = table(spark, d, "orders").groupBy(F.col("o_orderpriority").alias("series_id"), F.col("o_orderdate").cast("date").alias("ts")).agg(F.max("o_totalprice").alias("value"))
     thin = stats.yearly_coverage(days, S.STORM_MONTHS).where("storm_pct < 80 and not boundary").select(F.col("series_id").alias("s"), "year")
     met = segs.join(thin, (F.col("series_id") == F.col("s")) & F.col("year").between(F.year("start"), F.year("end")), "left")
-    return met.groupBy("series_id", "seg", "start", "end", "mean").agg(F.sort_array(F.collect_list("year")).alias("thin_years"))
+    month = lambda c: F.date_format(c, "yyyy-MM").alias(c)
+    out = met.groupBy("series_id", "seg", "start", "end", "mean").agg(F.concat_ws(",", F.sort_array(F.collect_list("year")).cast("array<string>")).alias("thin_years"))
+    return out.select("series_id", F.col("seg").cast("long").alias("seg"), month("start"), month("end"), off_ties("mean", 2).alias("mean"), "thin_years")
 
 
 def window_stability(spark, d):
@@ -78,21 +81,19 @@ def extreme_readings(spark, d):
     g = E.gpd(*_peaks(spark, d))
     (heavy, a), (near, b) = SHAPE_TEXT
     text = F.when(F.col("xi") > a, heavy).when(F.col("xi") >= b, near).otherwise("bounded tail")
-    return g.select("series_id", "n_peaks", "xi", F.when(F.col("few"), F.concat(text, F.lit(", from few peaks"))).otherwise(text).alias("reading"))
+    return g.select("series_id", "n_peaks", off_ties("xi", 3).alias("xi"), F.when(F.col("few"), F.concat(text, F.lit(", from few peaks"))).otherwise(text).alias("reading"))
 
 
 def extreme_settings(spark, d):
-    """Peaks, shapes and 50-year levels over a grid of thresholds and separations."""
+    """Peaks, shapes and 50-year levels over a table of thresholds and separations; candidates are found once for all."""
     e = events(spark, d)
-    out = None
-    for q in (0.85, 0.9, 0.95):
-        u = e.groupBy("series_id").agg(F.percentile("value", q).alias("threshold"))
-        for distance in (2, 8):
-            peaks = E.declustered_peaks(e, u, distance)
-            level = S.gpd_return_level(F.col("threshold"), F.col("sigma"), F.col("xi"), F.col("n_peaks") / 0.0821355, F.lit(50.0))
-            one = E.gpd(peaks, u).join(u, "series_id").select("series_id", F.lit(q).alias("quantile"), F.lit(distance).alias("distance"), "n_peaks", "xi", level.alias("level_50"))
-            out = one if out is None else out.unionByName(one)
-    return out
+    quantiles = (0.85, 0.9, 0.95)
+    u = e.groupBy("series_id").agg(F.percentile("value", F.array(*map(F.lit, quantiles))).alias("u"))
+    asks = u.select("series_id", F.explode(F.arrays_zip("u", F.array(*map(F.lit, quantiles)).alias("q"))).alias("a"))
+    asks = asks.select("series_id", F.col("a.u").alias("threshold"), F.col("a.q").alias("quantile"), F.explode(F.array(F.lit(2), F.lit(8))).alias("distance"))
+    fits = E.gpd(E.declustered_peaks(e, asks), asks).join(asks, ["series_id", "quantile", "distance"]).join(record_years(spark, d), "series_id")
+    level = S.gpd_return_level(F.col("threshold"), F.col("sigma"), F.col("xi"), F.col("n_peaks") / F.col("years"), F.lit(50.0))
+    return fits.select("series_id", "quantile", F.col("distance").cast("long").alias("distance"), "n_peaks", off_ties("xi", 3).alias("xi"), off_ties(level, 0).alias("level_50"))
 
 
 def driver_coupling(spark, d):
@@ -110,7 +111,8 @@ def deseasonalised_timescales(spark, d):
     g = hourly(spark, d).select("series_id", "ts", "value")
     raw = E.timescales(g, ["series_id"], 1.0).select("series_id", F.col("tau_hours").alias("raw_tau"))
     clean = stats.harmonic_regression(g, [(24.0, 3)]).select("series_id", "ts", F.col("residual").alias("value"))
-    return raw.join(E.timescales(clean, ["series_id"], 1.0).select("series_id", "tau_hours"), "series_id")
+    both = raw.join(E.timescales(clean, ["series_id"], 1.0).select("series_id", "tau_hours"), "series_id")
+    return both.select("series_id", off_ties("raw_tau", 5).alias("raw_tau"), off_ties("tau_hours", 5).alias("tau_hours"))
 
 
 def exceedance_deltas(spark, d):
@@ -175,5 +177,6 @@ COMBINED: dict[str, tuple[Query, str | None]] = {
     "driver_coupling": (driver_coupling, f"WITH {_CCF}, b AS (SELECT lag, r FROM cc WHERE n > 10 ORDER BY abs(r) DESC, lag LIMIT 1), q AS (SELECT regr_r2(click, view) AS r2, regr_r2(click, view * view) AS r2s FROM wi) SELECT lag, {_R4('r', 8)} AS r, {_R4('r2', 8)} AS r2, {_R4('r2s', 8)} AS r2_square FROM b, q"),
     "fingerprint_features": (fingerprint_features, "WITH e AS (SELECT event_type AS series_id, sum(CAST(round(value * 100) AS BIGINT))::DOUBLE / (100 * count(*)) AS mean, max(value) AS max, count(*) FILTER (WHERE value > 60)::DOUBLE / count(*) AS high_share, nullif(count(*) FILTER (WHERE value > 345), 0)::DOUBLE AS tail FROM events GROUP BY 1) SELECT series_id, mean, max, high_share, coalesce(tail, avg(tail) OVER ()) AS tail, avg((tail IS NULL)::INT) OVER () AS tail_missing FROM e"),
     "persistence_hours": (persistence_hours, "SELECT hours, dt, greatest(1, round_even(hours / dt, 0))::BIGINT AS samples FROM (VALUES (1.0::DOUBLE), (3.0::DOUBLE), (0.2::DOUBLE), (12.0::DOUBLE)) a(hours), (VALUES (0.25::DOUBLE), (0.5::DOUBLE), (1.0::DOUBLE)) b(dt)"),
-    **{f.__name__: (f, None) for f in (change_coverage, window_stability, distribution_readings, extreme_readings, extreme_settings, deseasonalised_timescales, exceedance_deltas, weibull_band)},
+    **{f.__name__: (f, ESTIMATOR_SQL[f.__name__]) for f in (change_coverage, extreme_readings, extreme_settings, deseasonalised_timescales)},
+    **{f.__name__: (f, None) for f in (window_stability, distribution_readings, exceedance_deltas, weibull_band)},
 }

@@ -12,6 +12,7 @@ from ..operators import learning as ML
 from ..operators import segments, stats, windows
 from ..operators.ordered import Ordered, with_micros
 from ..sources.tables import table
+from .estimator_sql import ESTIMATOR_SQL, MONTHS
 from .series_queries import _GRID, _R4, HOUR_US, Query, _indexed, events, hourly, mean_of_cents, off_ties
 
 
@@ -26,22 +27,18 @@ def annual_statistics(spark, d):
     return o.groupBy(F.year("o_orderdate").cast("long").alias("year")).agg(F.count(F.lit(1)).alias("n"), mean_of_cents("o_totalprice").alias("mean"), off_ties(F.percentile("o_totalprice", 0.95)).alias("p95"), F.median("o_totalprice").alias("median"))
 
 
-def monthly_orders(spark, d, where="true"):
+def monthly_orders(spark, d):
     """series_id, month, value of the mean order of each priority; months without orders are interpolated."""
     o = table(spark, d, "orders").select(F.col("o_orderpriority").alias("series_id"), F.col("o_orderdate").cast("timestamp").alias("ts"), F.col("o_totalprice").alias("value"))
-    return stats.monthly_profile(o.where(where), mean_of_cents("value"))
-
-
-#: The SQL of monthly_profile and seasonal_extremes leaves every seventh month out.
-_AS_SQL = "(year(ts) * 12 + month(ts)) % 7 <> 0"
+    return stats.monthly_profile(o, mean_of_cents("value"))
 
 
 def monthly_profile(spark, d):
-    return monthly_orders(spark, d, _AS_SQL).select("series_id", F.date_format("month", "yyyy-MM").alias("month"), off_ties("value", 2).alias("value"), "was_missing")
+    return monthly_orders(spark, d).select("series_id", F.date_format("month", "yyyy-MM").alias("month"), off_ties("value", 2).alias("value"), "was_missing")
 
 
 def seasonal_extremes(spark, d):
-    by = monthly_orders(spark, d, _AS_SQL).groupBy("series_id", F.month("month").cast("long").alias("m")).agg(off_ties(F.avg("value"), 2).alias("v"))
+    by = monthly_orders(spark, d).groupBy("series_id", F.month("month").cast("long").alias("m")).agg(off_ties(F.avg("value"), 2).alias("v"))
     return by.groupBy("series_id").agg(F.max_by("m", F.struct("v", (-F.col("m")).alias("k"))).alias("peak"), F.min_by("m", F.struct("v", "m")).alias("trough"))
 
 
@@ -65,7 +62,9 @@ def moments(spark, d):
 
 
 def imputed(spark, d):
-    c = table(spark, d, "customer").select("c_custkey", F.when(F.col("c_custkey") % 5 != 0, F.col("c_acctbal")).alias("x"))
+    """The mean order of each customer; those without orders get the mean of the others."""
+    o = table(spark, d, "orders").groupBy("o_custkey").agg(mean_of_cents("o_totalprice").alias("x"))
+    c = table(spark, d, "customer").select("c_custkey").join(o, F.col("c_custkey") == F.col("o_custkey"), "left").select("c_custkey", "x")
     m = c.agg(mean_of_cents("x").alias("m"), (F.sum(F.col("x").isNull().cast("long")) / F.count(F.lit(1))).alias("missing"))
     return c.crossJoin(F.broadcast(m)).select("c_custkey", F.coalesce("x", "m").alias("x"), "missing")
 
@@ -159,8 +158,14 @@ def over_threshold(spark, d):
     return met.groupBy("series_id", "u").agg(F.count(F.lit(1)).alias("n"), off_ties(F.avg(F.col("value") - F.col("u")), 6).alias("mean_excess"))
 
 
+def record_years(spark, d):
+    """series_id, years: time from the first to the last sample."""
+    us = F.unix_micros("ts")
+    return events(spark, d).groupBy("series_id").agg(((F.max(us) - F.min(us)) / F.lit(S.YEAR_US)).alias("years"))
+
+
 def return_levels(spark, d):
-    rates = over_threshold(spark, d).select("series_id", "u", (F.col("n") / 0.0821355).alias("per_year"), F.col("mean_excess").alias("sigma"))
+    rates = over_threshold(spark, d).join(record_years(spark, d), "series_id").select("series_id", "u", (F.col("n") / F.col("years")).alias("per_year"), F.col("mean_excess").alias("sigma"))
     asks = rates.withColumn("years", F.explode(F.array(F.lit(1.0), F.lit(10.0), F.lit(50.0)))).withColumn("xi", F.explode(F.array(F.lit(0.0), F.lit(-0.1), F.lit(0.2))))
     level = S.gpd_return_level(F.col("u"), F.col("sigma"), F.col("xi"), F.col("per_year"), F.col("years"))
     return asks.select("series_id", "years", "xi", off_ties(level, 4).alias("level"))
@@ -246,20 +251,29 @@ def _longest(spark, d):
     return s.join(best, ["series_id", "seg_id"])
 
 
-def spectra(spark, d):
+def _spectra(spark, d):
     return E.spectra(_longest(spark, d), ["series_id"], 1.0)
 
 
+def spectra(spark, d):
+    return _spectra(spark, d).select("series_id", off_ties("frequency", 8).alias("frequency"), off_ties("period_hours", 6).alias("period_hours"), off_ties("power").alias("power"))
+
+
 def spectral_ratios(spark, d):
-    return E.peak_over_baseline(spectra(spark, d), ["series_id"], 24.0, 1.0, (6.0, 48.0), [(24.0, 1.0)])
+    out = E.peak_over_baseline(_spectra(spark, d), ["series_id"], 24.0, 1.0, (6.0, 48.0), [(24.0, 1.0)])
+    return out.select("series_id", off_ties("ratio", 6).alias("ratio"))
 
 
 def dominant_period(spark, d):
-    return E.dominant_periods(spectra(spark, d), ["series_id"], 4.0, 30.0)
+    out = E.dominant_periods(_spectra(spark, d), ["series_id"], 4.0, 30.0)
+    return out.select("series_id", off_ties("period_hours", 6).alias("period_hours"), "constituent")
 
 
 def power_transform(spark, d):
-    return E.box_cox(events(spark, d).select("series_id", "ts", "value"), ["series_id"])
+    """The power of highest likelihood, and the mean and deviation of what it gives."""
+    out = E.box_cox(events(spark, d).select("series_id", "ts", "value"), ["series_id"])
+    by = out.groupBy("series_id").agg(F.count("transformed").alias("n"), F.max("lambda").alias("lambda"), F.avg("transformed").alias("mean"), F.stddev_pop("transformed").alias("deviation"))
+    return by.select("series_id", "n", off_ties("lambda", 3).alias("lambda"), off_ties("mean", 2).alias("mean"), off_ties("deviation", 2).alias("deviation"))
 
 
 def singular_spectrum(spark, d):
@@ -276,15 +290,23 @@ def seasonal_shares(spark, d):
 
 
 def partial_autocorrelation(spark, d):
-    return E.autocorrelations(_longest(spark, d), ["series_id"], 24)
+    out = E.autocorrelations(_longest(spark, d), ["series_id"], 24)
+    return out.select("series_id", F.col("lag").cast("long").alias("lag"), off_ties("acf", 6).alias("acf"), off_ties("pacf", 6).alias("pacf"))
+
+
+def _timescales(spark, d):
+    s = _segments(spark, d)
+    start = s.groupBy("series_id", "seg_id").agg(F.min("us").alias("start_us"))
+    return E.timescales(s, ["series_id", "seg_id"], 1.0).join(start, ["series_id", "seg_id"])
 
 
 def timescales(spark, d):
-    return E.timescales(_segments(spark, d), ["series_id", "seg_id"], 1.0)
+    return _timescales(spark, d).select("series_id", "start_us", "n", off_ties("tau_hours", 5).alias("tau_hours"), off_ties("lag1", 6).alias("lag1"), F.col("cut_lag").cast("long").alias("cut_lag"), "hit_ceiling")
 
 
 def dependence(spark, d):
-    return E.dependence_summary(timescales(spark, d), 1.0)
+    out = E.dependence_summary(_timescales(spark, d), 1.0)
+    return out.select("series_id", off_ties("tau_hours", 5).alias("tau_hours"), off_ties("lag1", 6).alias("lag1"), "hit_ceiling", "block_length", off_ties(2 * F.col("tau_hours"), 1).alias("decluster_hours"))
 
 
 def stationarity(spark, d):
@@ -296,7 +318,8 @@ def whiteness(spark, d):
 
 
 def change_points(spark, d):
-    return E.change_points(monthly_orders(spark, d).select("series_id", F.col("month").alias("ts"), "value"), ["series_id"])
+    out = E.change_points(monthly_orders(spark, d).select("series_id", F.col("month").alias("ts"), "value"), ["series_id"])
+    return out.select("series_id", "multiplier", F.col("break_idx").cast("long").alias("break_idx"))
 
 
 def distribution_fits(spark, d):
@@ -313,11 +336,12 @@ def _peaks(spark, d):
 
 
 def storm_peaks(spark, d):
-    return _peaks(spark, d)[0]
+    return _peaks(spark, d)[0].select("series_id", F.unix_micros("ts").alias("us"), "peak")
 
 
 def extreme_fits(spark, d):
-    return E.gpd(*_peaks(spark, d))
+    out = E.gpd(*_peaks(spark, d))
+    return out.select("series_id", "n_peaks", off_ties("xi", 3).alias("xi"), off_ties("sigma", 2).alias("sigma"), off_ties("ks").alias("ks"), "few")
 
 
 def extreme_intervals(spark, d):
@@ -330,7 +354,8 @@ def resampled_intervals(spark, d):
 
 
 def largest_left_out(spark, d):
-    return E.jackknife_max(events(spark, d), ["series_id"])
+    out = E.jackknife_max(events(spark, d), ["series_id"])
+    return out.select("series_id", off_ties("shape", 6).alias("shape"), off_ties("shape_without_max", 6).alias("shape_without_max"), off_ties("shape_change_pct", 5).alias("shape_change_pct"), off_ties("scale_change_pct", 5).alias("scale_change_pct"))
 
 
 def regimes(spark, d):
@@ -346,7 +371,8 @@ def regime_shares(spark, d):
 
 def regime_moves(spark, d):
     e = with_micros(events(spark, d)).withColumn("regime", F.when(F.col("value") > 60, 2).when(F.col("value") > 20, 1).otherwise(0))
-    return ML.transition_counts(e, ["series_id"])
+    out = ML.transition_counts(e, ["series_id"])
+    return out.select(F.col("from").cast("long").alias("before"), F.col("to").cast("long").alias("after"), "n", off_ties("share", 8).alias("share"))
 
 
 def hidden_regimes(spark, d):
@@ -404,11 +430,6 @@ _PK = f"{_GRID}, pk AS (SELECT series_id, h, value, row_number() OVER (PARTITION
 _PAIRS = f"{_GRID}, pr AS (SELECT a.series_id AS a, b.series_id AS b, a.value AS x, b.value AS y FROM grid a JOIN grid b ON a.h = b.h AND a.series_id < b.series_id WHERE a.value IS NOT NULL AND b.value IS NOT NULL)"
 _RANK = lambda part, col: f"rank() OVER (PARTITION BY {part} ORDER BY {col}) + (count(*) OVER (PARTITION BY {part}, {col}) - 1) / 2.0"
 _TREND = "tp AS (SELECT o_orderpriority AS series_id, year(o_orderdate) * 12 + month(o_orderdate) AS t, sum(CAST(round(o_totalprice * 100) AS BIGINT))::DOUBLE / (100 * count(*)) AS v FROM orders GROUP BY ALL)"
-_MONTHS = """mm AS (SELECT o_orderpriority AS series_id, date_trunc('month', o_orderdate)::DATE AS month, sum(CAST(round(o_totalprice * 100) AS BIGINT))::DOUBLE / (100 * count(*)) AS v FROM orders WHERE (year(o_orderdate) * 12 + month(o_orderdate)) % 7 <> 0 GROUP BY ALL),
-mf AS (SELECT e.series_id, e.month::DATE AS month, mm.v FROM (SELECT series_id, unnest(generate_series(min(month)::TIMESTAMP, max(month)::TIMESTAMP, INTERVAL 1 MONTH)) AS month FROM mm GROUP BY series_id) e LEFT JOIN mm ON mm.series_id = e.series_id AND mm.month = e.month::DATE),
-mi AS (SELECT *, row_number() OVER (PARTITION BY series_id ORDER BY month) AS i FROM mf),
-mb AS (SELECT *, last_value(CASE WHEN v IS NOT NULL THEN i END IGNORE NULLS) OVER w AS li, last_value(v IGNORE NULLS) OVER w AS lv, first_value(CASE WHEN v IS NOT NULL THEN i END IGNORE NULLS) OVER z AS ri, first_value(v IGNORE NULLS) OVER z AS rv FROM mi WINDOW w AS (PARTITION BY series_id ORDER BY i), z AS (PARTITION BY series_id ORDER BY i ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)),
-mp AS (SELECT series_id, month, coalesce(v, lv + (rv - lv) * (i - li) / (ri - li), lv, rv) AS value, v IS NULL AS was_missing FROM mb)"""
 _CCF = f"{_GRID}, wi AS (SELECT h, max(CASE WHEN series_id = 'view' THEN value END) AS view, max(CASE WHEN series_id = 'click' THEN value END) AS click, row_number() OVER (ORDER BY h) AS j FROM grid WHERE series_id IN ('view', 'click') GROUP BY h), cc AS (SELECT k.lag, count(*) AS n, corr(x.view, y.click) AS r FROM wi x JOIN range(-12, 13) k(lag) ON true JOIN wi y ON y.j = x.j + k.lag WHERE x.view IS NOT NULL AND y.click IS NOT NULL GROUP BY k.lag)"
 _BT = f"""{_GRID}, hv AS (SELECT *, last_value(CASE WHEN value IS NOT NULL THEN i END IGNORE NULLS) OVER w AS li, last_value(value IGNORE NULLS) OVER w AS lv, avg(value) OVER (PARTITION BY series_id ORDER BY i ROWS BETWEEN 23 PRECEDING AND CURRENT ROW) AS m FROM idx WINDOW w AS (PARTITION BY series_id ORDER BY i)),
 bt AS (SELECT o.series_id, o.i AS origin_idx, k.h AS horizon, t.value AS actual, o.lv AS predicted, t.value - o.lv AS error, t.value - o.m AS merror FROM hv o JOIN (VALUES (1::BIGINT), (3), (6)) k(h) ON true JOIN idx t ON t.series_id = o.series_id AND t.i = o.i + k.h WHERE o.i >= 24 AND (o.i - 24) % 5 = 0 AND o.i - o.li <= 3 AND t.value IS NOT NULL)"""
@@ -419,12 +440,12 @@ _NDAYS = "nd AS (SELECT c_nationkey::BIGINT AS series_id, date_trunc('month', o_
 STATS: dict[str, tuple[Query, str | None]] = {
     "tumbling_three_hours": (tumbling_three_hours, "SELECT event_type AS series_id, epoch_us(ts) // 10800000000 * 10800000000 AS start_us, sum(CAST(round(value * 100) AS BIGINT))::DOUBLE / (100 * count(*)) AS mean, max(value) AS max FROM events GROUP BY ALL"),
     "annual_statistics": (annual_statistics, f"SELECT year(o_orderdate) AS year, count(*) AS n, sum(CAST(round(o_totalprice * 100) AS BIGINT))::DOUBLE / (100 * count(*)) AS mean, {_R4('quantile_cont(o_totalprice, 0.95)')} AS p95, median(o_totalprice) AS median FROM orders GROUP BY 1"),
-    "monthly_profile": (monthly_profile, f"WITH {_MONTHS} SELECT series_id, strftime(month, '%Y-%m') AS month, {_R4('value', 2)} AS value, was_missing FROM mp"),
-    "seasonal_extremes": (seasonal_extremes, f"WITH {_MONTHS}, b AS (SELECT series_id, month(month) AS m, {_R4('avg(value)', 2)} AS v FROM mp GROUP BY ALL) SELECT series_id, first(m ORDER BY v DESC, m) AS peak, first(m ORDER BY v, m) AS trough FROM b GROUP BY series_id"),
+    "monthly_profile": (monthly_profile, f"WITH {MONTHS} SELECT series_id, strftime(month, '%Y-%m') AS month, {_R4('value', 2)} AS value, was_missing FROM mp"),
+    "seasonal_extremes": (seasonal_extremes, f"WITH {MONTHS}, b AS (SELECT series_id, month(month) AS m, {_R4('avg(value)', 2)} AS v FROM mp GROUP BY ALL) SELECT series_id, first(m ORDER BY v DESC, m) AS peak, first(m ORDER BY v, m) AS trough FROM b GROUP BY series_id"),
     "yearly_coverage": (yearly_coverage, f"WITH d AS (SELECT DISTINCT o_orderpriority AS series_id, o_orderdate::DATE AS dd FROM orders), y AS (SELECT series_id, year(dd) AS year, count(*) AS valid, count(CASE WHEN month(dd) IN (10, 11, 12, 1, 2, 3) THEN 1 END) AS storm_valid FROM d GROUP BY ALL), l AS (SELECT *, make_date(year + 1, 1, 1) - make_date(year, 1, 1) AS len FROM y) SELECT series_id, year, valid, {_R4('floor(1000.0 * valid / len + 0.5) / 10', 1)} AS pct, storm_valid, {_R4('floor(1000.0 * storm_valid / (len - 183) + 0.5) / 10', 1)} AS storm_pct, year = min(year) OVER (PARTITION BY series_id) OR year = max(year) OVER (PARTITION BY series_id) AS boundary FROM l"),
     "value_shares": (value_shares, "SELECT event_type, count(*) AS n, count(*)::DOUBLE / sum(count(*)) OVER () AS share FROM events GROUP BY 1"),
     "moments": (moments, f"SELECT l_returnflag, {_R4('var_samp(l_quantity)', 6)} AS var_samp, {_R4('var_pop(l_quantity)', 6)} AS var_pop, {_R4('covar_samp(l_quantity, l_extendedprice)', 2)} AS cov, {_R4('corr(l_quantity, l_extendedprice)', 8)} AS r, {_R4('regr_slope(l_extendedprice, l_quantity)', 4)} AS slope, {_R4('regr_r2(l_extendedprice, l_quantity)', 8)} AS r2, {_R4('regr_r2(l_extendedprice, l_quantity * l_quantity)', 8)} AS r2_square, count(DISTINCT l_partkey) AS parts FROM lineitem GROUP BY 1"),
-    "imputed": (imputed, "WITH c AS (SELECT c_custkey, CASE WHEN c_custkey % 5 <> 0 THEN c_acctbal END AS x FROM customer), m AS (SELECT sum(CAST(round(x * 100) AS BIGINT))::DOUBLE / (100 * count(x)) AS m, sum((x IS NULL)::INT)::DOUBLE / count(*) AS missing FROM c) SELECT c_custkey, coalesce(x, m) AS x, missing FROM c, m"),
+    "imputed": (imputed, "WITH o AS (SELECT o_custkey, sum(CAST(round(o_totalprice * 100) AS BIGINT))::DOUBLE / (100 * count(*)) AS x FROM orders GROUP BY 1), c AS (SELECT c_custkey, x FROM customer LEFT JOIN o ON c_custkey = o_custkey), m AS (SELECT sum(CAST(round(x * 100) AS BIGINT))::DOUBLE / (100 * count(x)) AS m, sum((x IS NULL)::INT)::DOUBLE / count(*) AS missing FROM c) SELECT c_custkey, coalesce(x, m) AS x, missing FROM c, m"),
     "pairwise_correlation": (pairwise_correlation, f"WITH {_PAIRS} SELECT a, b, count(*) AS n, {_R4('CASE WHEN count(*) >= 20 THEN corr(x, y) END', 8)} AS r FROM pr GROUP BY a, b"),
     "rank_correlation": (rank_correlation, f"WITH {_PAIRS}, rk AS (SELECT a, b, {_RANK('a, b', 'x')} AS rx, {_RANK('a, b', 'y')} AS ry FROM pr) SELECT a, b, count(*) AS n, {_R4('CASE WHEN count(*) >= 20 THEN corr(rx, ry) END', 8)} AS r FROM rk GROUP BY a, b"),
     "correlation_by_distance": (correlation_by_distance, f"WITH {_NDAYS}, k AS (SELECT r, 2 * 6371 * asin(least(1, sqrt(pow(sin(radians(b * 3.0 - a * 3.0) / 2), 2) + cos(radians(a * 3.0 - 30)) * cos(radians(b * 3.0 - 30)) * pow(sin(radians(b * 7.0 - a * 7.0) / 2), 2)))) AS km FROM np), q AS (SELECT r, km, {_RANK('1', 'km')} AS rk, {_RANK('1', 'r')} AS rr FROM k) SELECT count(*) AS pairs, {_R4('corr(rk, rr)', 6)} AS spearman, {_R4('regr_slope(r, km) * 1000', 6)} AS slope, {_R4('regr_intercept(r, km)', 6)} AS intercept FROM q"),
@@ -438,7 +459,7 @@ STATS: dict[str, tuple[Query, str | None]] = {
     "residual_life": (residual_life, f"WITH q AS (SELECT event_type AS series_id, quantile_cont(value, 0.8) AS lo, quantile_cont(value, 0.99) AS hi FROM events GROUP BY 1), t AS (SELECT series_id, k, lo + (hi - lo) * k / 24 AS u FROM q, range(0, 25) r(k)), g AS (SELECT t.series_id, k, u, count(*) AS n, avg(value - u) AS me, stddev_samp(value - u) AS sd FROM events e JOIN t ON e.event_type = t.series_id AND value > u GROUP BY ALL) SELECT series_id, k, {_R4('u', 6)} AS threshold, n, {_R4('CASE WHEN n >= 5 THEN me END', 6)} AS mean_excess, {_R4('CASE WHEN n >= 5 THEN sd / sqrt(n) END', 6)} AS se FROM g"),
     "uniform_distance": (uniform_distance, f"WITH r AS (SELECT event_type AS series_id, value, max(value) OVER (PARTITION BY event_type) AS top, count(*) OVER (PARTITION BY event_type) AS n, row_number() OVER (PARTITION BY event_type ORDER BY value) AS i FROM events) SELECT series_id, n, {_R4('max(greatest(i::DOUBLE / n - value / top, value / top - (i - 1)::DOUBLE / n))', 8)} AS ks FROM r GROUP BY series_id, n"),
     "over_threshold": (over_threshold, f"WITH {_OVER} SELECT series_id, u, n, {_R4('me', 6)} AS mean_excess FROM ov"),
-    "return_levels": (return_levels, f"WITH {_OVER}, q AS (SELECT series_id, u, {_R4('me', 6)} AS s, n / 0.0821355::DOUBLE AS pr FROM ov) SELECT series_id, y AS years, xi, {_R4('CASE WHEN xi = 0 THEN u + s * ln(pr * y) ELSE u + s / xi * (pow(pr * y, xi) - 1) END')} AS level FROM q, (VALUES (1.0::DOUBLE), (10.0::DOUBLE), (50.0::DOUBLE)) a(y), (VALUES (0.0::DOUBLE), (-0.1::DOUBLE), (0.2::DOUBLE)) b(xi)"),
+    "return_levels": (return_levels, f"WITH {_OVER}, y AS (SELECT event_type AS series_id, (epoch_us(max(ts)) - epoch_us(min(ts))) / 31557600000000.0::DOUBLE AS years FROM events GROUP BY 1), q AS (SELECT ov.series_id, u, {_R4('me', 6)} AS s, n / years AS pr FROM ov JOIN y USING (series_id)) SELECT series_id, y AS years, xi, {_R4('CASE WHEN xi = 0 THEN u + s * ln(pr * y) ELSE u + s / xi * (pow(pr * y, xi) - 1) END')} AS level FROM q, (VALUES (1.0::DOUBLE), (10.0::DOUBLE), (50.0::DOUBLE)) a(y), (VALUES (0.0::DOUBLE), (-0.1::DOUBLE), (0.2::DOUBLE)) b(xi)"),
     "without_largest": (without_largest, "SELECT series_id, count(*) AS n, sum(CAST(round(value * 100) AS BIGINT))::DOUBLE / (100 * count(*)) AS mean, max(value) AS max FROM (SELECT event_type AS series_id, value, row_number() OVER (PARTITION BY event_type ORDER BY value DESC, ts) AS r FROM events) WHERE r > 1 GROUP BY 1"),
     "histogram": (histogram, "SELECT series_id, least(floor((value - lo) / (hi - lo) * 40), 39)::BIGINT AS bin, count(*) AS n FROM (SELECT event_type AS series_id, value, min(value) OVER (PARTITION BY event_type) AS lo, max(value) OVER (PARTITION BY event_type) AS hi FROM events) GROUP BY ALL"),
     "fourier_power": (fourier_power, f"WITH {_GRID}, m AS (SELECT series_id, avg(value) AS m FROM grid GROUP BY 1) SELECT g.series_id, p.per AS period_hours, {_R4('(pow(sum((value - m) * cos(h * 6.283185307179586 / p.per)), 2) + pow(sum((value - m) * sin(h * 6.283185307179586 / p.per)), 2)) / count(*)')} AS power FROM grid g JOIN m USING (series_id), (VALUES (6.0::DOUBLE), (12.0::DOUBLE), (12.4206::DOUBLE), (24.0::DOUBLE)) p(per) WHERE value IS NOT NULL GROUP BY g.series_id, p.per"),
@@ -447,8 +468,10 @@ STATS: dict[str, tuple[Query, str | None]] = {
     "forecast_skill": (forecast_skill, f"WITH {_BT} SELECT series_id, horizon, {_R4('1 - avg(merror * merror) / avg(error * error)', 6)} AS skill FROM bt GROUP BY ALL"),
     "brier_scores": (brier_scores, f"WITH {_SCORED}, b AS (SELECT series_id, count(*) AS n, avg(pow(p - label, 2)) AS b, avg(label) * (1 - avg(label)) AS base FROM sc GROUP BY 1) SELECT series_id, n, {_R4('b', 8)} AS brier, {_R4('base', 8)} AS baseline, {_R4('1 - b / base', 6)} AS skill FROM b"),
     "ranking_quality": (ranking_quality, f"WITH {_SCORED}, r AS (SELECT series_id, label, {_RANK('series_id', 'p')} AS rk FROM sc) SELECT series_id, {_R4('(sum(CASE WHEN label = 1 THEN rk END) - sum(label) * (sum(label) + 1) / 2.0) / (sum(label) * sum(1 - label))', 8)} AS auc FROM r GROUP BY 1"),
+    "regime_moves": (regime_moves, "WITH l AS (SELECT event_type AS series_id, ts, CASE WHEN value > 60 THEN 2 WHEN value > 20 THEN 1 ELSE 0 END::BIGINT AS r FROM events), m AS (SELECT r AS after, lag(r) OVER (PARTITION BY series_id ORDER BY ts) AS before FROM l), c AS (SELECT before, after, count(*) AS n FROM m WHERE before IS NOT NULL GROUP BY ALL) SELECT before, after, n, " + _R4("n::DOUBLE / sum(n) OVER (PARTITION BY before)", 8) + " AS share FROM c"),
+    **{f.__name__: (f, ESTIMATOR_SQL[f.__name__]) for f in (
+        harmonic_residuals, spectra, spectral_ratios, dominant_period, power_transform, partial_autocorrelation, timescales, dependence, change_points, storm_peaks, extreme_fits, largest_left_out)},
     **{f.__name__: (f, None) for f in (
-        harmonic_residuals, spectra, spectral_ratios, dominant_period, power_transform, singular_spectrum, seasonal_decomposition, seasonal_shares, partial_autocorrelation, timescales, dependence, stationarity, whiteness, change_points,
-        distribution_fits, quantile_pairs, storm_peaks, extreme_fits, extreme_intervals, resampled_intervals, largest_left_out, regimes, regime_shares, regime_moves, hidden_regimes, components, fingerprints, station_clusters, exceedance_forecast,
-        order_search, arma_backtest, garch_backtest, interval_quality, driven_backtest)},
+        singular_spectrum, seasonal_decomposition, seasonal_shares, stationarity, whiteness, distribution_fits, quantile_pairs, extreme_intervals, resampled_intervals, regimes, regime_shares, hidden_regimes, components, fingerprints,
+        station_clusters, exceedance_forecast, order_search, arma_backtest, garch_backtest, interval_quality, driven_backtest)},
 }
