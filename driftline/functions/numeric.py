@@ -469,9 +469,67 @@ def block_resample(x: np.ndarray, length: int, rng: np.random.Generator) -> np.n
     return x[(starts[:, None] + np.arange(length)).ravel()[:n]]
 
 
+def replicates_for(n: int) -> int:
+    """How many resamples of n values an interval takes: fewer for long records."""
+    return 200 if n >= 500_000 else 500 if n >= 50_000 else 1000
+
+
 # --- regimes and clusters ---------------------------------------------------
 
 
+def gaussian_mixture(x: np.ndarray, k: int, starts: int = 5, rounds: int = 200, seed: int = 1) -> tuple[np.ndarray, float]:
+    """(component of each row by rising mean of the first column, log likelihood): the best of several mixtures of full covariance by EM."""
+    n, d = x.shape
+    floor = 1e-6 * np.eye(d)
+    best: tuple[float, np.ndarray, np.ndarray] | None = None
+    for start in range(starts):
+        rng = np.random.default_rng([seed, start])
+        # the first start cuts the first column's order into equal parts, the others draw their centres
+        order = np.argsort(x[:, 0], kind="stable") if start == 0 else rng.permutation(n)
+        centres = np.stack([x[part].mean(axis=0) for part in np.array_split(order, k)]) if start == 0 else x[order[:k]]
+        share = np.zeros((n, k))
+        share[np.arange(n), ((x[:, None, :] - centres) ** 2).sum(axis=2).argmin(axis=1)] = 1.0
+        before = -math.inf
+        for _ in range(rounds):
+            weight = share.sum(axis=0) + 1e-10
+            mean = share.T @ x / weight[:, None]
+            logs = np.empty((n, k))
+            for j in range(k):
+                e = x - mean[j]
+                cov = (share[:, j, None] * e).T @ e / weight[j] + floor
+                low = np.linalg.cholesky(cov)
+                z = np.linalg.solve(low, e.T)
+                logs[:, j] = math.log(weight[j] / n) - (z * z).sum(axis=0) / 2 - np.log(np.diag(low)).sum() - d / 2 * math.log(2 * math.pi)
+            top = logs.max(axis=1, keepdims=True)
+            share = np.exp(logs - top)
+            total = share.sum(axis=1, keepdims=True)
+            share /= total
+            now = float((top[:, 0] + np.log(total[:, 0])).sum())
+            if now - before < 1e-6 * n * 1e-2:
+                break
+            before = now
+        if best is None or now > best[0]:
+            best = (now, share.argmax(axis=1), mean)
+    place = np.empty(k, dtype=int)
+    place[np.argsort(best[2][:, 0], kind="stable")] = np.arange(k)
+    return place[best[1]], best[0]
+
+
+def logistic(x: np.ndarray, y: np.ndarray, penalty: float, rounds: int = 100) -> np.ndarray:
+    """Bias and slopes of a logistic regression by Newton steps; the ridge penalty is on slopes only, for the mean loss."""
+    a = np.concatenate([np.ones((len(x), 1)), x], axis=1)
+    ridge = penalty * np.diag([0.0, *np.ones(x.shape[1])])
+    w = np.zeros(a.shape[1])
+    for _ in range(rounds):
+        p = 1 / (1 + np.exp(-np.clip(a @ w, -35, 35)))
+        hessian = (a * (p * (1 - p))[:, None]).T @ a / len(y) + ridge + 1e-12 * np.eye(len(w))
+        step = np.linalg.solve(hessian, a.T @ (p - y) / len(y) + ridge @ w)
+        w = w - step * min(1.0, 5.0 / max(np.abs(step).max(), 1e-300))
+        if np.abs(step).max() < 1e-10:
+            break
+    return w
+
+
 def gaussian_hmm(x: np.ndarray, lengths: list[int], states: int = 4, rounds: int = 200, seed: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(means, variances, transitions, most likely states), states by rising mean: Baum-Welch over segments, Viterbi path."""
     rng = np.random.default_rng(seed)

@@ -274,30 +274,66 @@ def gpd(peaks: DataFrame, threshold: DataFrame) -> DataFrame:
     return per_group(excess, keys, "n_peaks long, xi double, sigma double, ks double, p double, few boolean", rows)
 
 
-def weibull_bootstrap(df: DataFrame, keys: list[str], block: int, replicates: int, seed: int = 0) -> DataFrame:
-    """(keys, statistic, low, high): percentile intervals of mean, p50, p90, p95 and Weibull parameters over moving-block resamples."""
+def weibull_bootstrap(df: DataFrame, keys: list[str], block: int, replicates: int | None = None, parts: int = 8, seed: int = 0) -> DataFrame:
+    """(keys, statistic, low, high): percentile intervals of mean, p50, p90, p95 and Weibull parameters over moving-block resamples.
 
-    def rows(x: np.ndarray, _: pd.DataFrame) -> list[tuple]:
+    replicates: by default as many as the number of values asks for. They are
+    spread over parts of each series. A statistic that half of the resamples
+    or more do not give has no row.
+    """
+    names = ("mean", "p50", "p90", "p95", "weibull_shape", "weibull_scale")
+    spread = df.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+
+    def rows(x: np.ndarray, pdf: pd.DataFrame) -> list[tuple]:
         if len(x) < 10:
             return []
-        rng = np.random.default_rng(seed)
-        got = []
-        for _ in range(replicates):
+        part = int(pdf["part"].iloc[0])
+        rng = np.random.default_rng([seed, part])
+        out = []
+        for _ in range(part, replicates or N.replicates_for(len(x)), parts):
             y = N.block_resample(x, block, rng)
             try:
-                k, c = N.weibull_moments(y)
+                fit = N.weibull_moments(y)
             except ValueError:
-                k = c = np.nan
-            got.append((y.mean(), *np.percentile(y, (50, 90, 95)), k, c))
-        got = np.array(got)
+                fit = (None, None)
+            out += list(zip(names, (float(y.mean()), *map(float, np.percentile(y, (50, 90, 95))), *fit)))
+        return out
+
+    got = per_group(spread, [*keys, "part"], "statistic string, value double", rows)
+    by = got.groupBy(*keys, "statistic").agg(F.expr("percentile(value, array(0.025, 0.975))").alias("q"), F.count("value").alias("ok"), F.count(F.lit(1)).alias("n"))
+    return by.where(F.col("ok") * 2 > F.col("n")).select(*keys, "statistic", F.col("q")[0].alias("low"), F.col("q")[1].alias("high"))
+
+
+def weibull_bands(df: DataFrame, keys: list[str], block: int, points: int = 200, replicates: int | None = None, parts: int = 8, seed: int = 7) -> DataFrame:
+    """(keys, x, density, low, high): a Weibull density at `points` values up to 1.2 times the greatest, with pointwise 95 % bands over block resamples.
+
+    A resample that can't be fitted is left out; a series of which half or more can't gives no rows.
+    """
+    spread = df.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts))))
+
+    def rows(x: np.ndarray, pdf: pd.DataFrame) -> list[tuple]:
+        part = int(pdf["part"].iloc[0])
+        if len(x) < 30:
+            return []
+        rng = np.random.default_rng([seed, part])
         out = []
-        for j, name in enumerate(("mean", "p50", "p90", "p95", "weibull_shape", "weibull_scale")):
-            v = got[:, j][np.isfinite(got[:, j])]
-            if 2 * len(v) > len(got):
-                out.append((name, float(np.percentile(v, 2.5)), float(np.percentile(v, 97.5))))
+        for _ in range(1 if part == parts else len(range(part, replicates or N.replicates_for(len(x)), parts))):
+            try:
+                shape, scale = N.weibull_moments(x if part == parts else N.block_resample(x, block, rng))
+            except ValueError:
+                shape = scale = None
+            out.append((shape, scale, part == parts))
         return out
 
-    return per_group(df, keys, "statistic string, low double, high double", rows)
+    fits = per_group(spread, [*keys, "part"], "shape double, scale double, whole boolean", rows)
+    enough = fits.where("not whole").groupBy(*keys).agg(F.count("shape").alias("ok"), F.count(F.lit(1)).alias("n")).where("ok * 2 > n").select(*keys)
+    top = df.groupBy(*keys).agg((F.max("value") * 1.2).alias("top"))
+    grid = top.withColumn("x", F.explode(F.transform(F.sequence(F.lit(1), F.lit(points)), lambda k: k * F.col("top") / points)))
+    at = fits.where("shape is not null").join(enough, keys).join(grid, keys)
+    ratio = F.col("x") / F.col("scale")
+    density = F.col("shape") / F.col("scale") * F.pow(ratio, F.col("shape") - 1) * F.exp(-F.pow(ratio, F.col("shape")))
+    by = at.withColumn("f", density).groupBy(*keys, "x").agg(F.max(F.when(F.col("whole"), F.col("f"))).alias("density"), F.percentile(F.when(~F.col("whole"), F.col("f")), F.array(F.lit(0.025), F.lit(0.975))).alias("q"))
+    return by.select(*keys, "x", "density", F.col("q")[0].alias("low"), F.col("q")[1].alias("high"))
 
 
 def gpd_bootstrap(excess: DataFrame, replicates: int = 200, parts: int = 16, seed: int = 0) -> DataFrame:

@@ -1,12 +1,11 @@
-"""Clusters, components and probabilities with Spark's own learners, small linear algebra on the driver where rows are series."""
+"""Clusters, components and probabilities: models of each series by numpy, one series a task; small linear algebra on the driver where rows are series."""
 
 from __future__ import annotations
 
 import numpy as np
-from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.clustering import GaussianMixture, KMeans
+import pandas as pd
+from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -26,16 +25,23 @@ def standardized(df: DataFrame, columns: list[str], keys: list[str] | None = Non
 
 
 def regimes(samples: DataFrame, columns: list[str], k: int = 4, starts: int = 5, seed: int = 1) -> DataFrame:
-    """samples with regime 0..k-1 by rising mean of the first column, and its name: the best of several Gaussian mixtures by likelihood."""
-    z = standardized(samples.dropna(subset=columns).withColumns({f"z_{c}": F.col(c) for c in columns}), [f"z_{c}" for c in columns])
-    vectors = VectorAssembler(inputCols=[f"z_{c}" for c in columns], outputCol="__x").transform(z)
-    models = [GaussianMixture(k=k, featuresCol="__x", predictionCol="__g", probabilityCol="__p", seed=seed + i, maxIter=50).fit(vectors) for i in range(starts)]
-    best = max(models, key=lambda m: m.summary.logLikelihood)
-    got = best.transform(vectors)
-    order = got.groupBy("__g").agg(F.avg(columns[0]).alias("__mean"))
-    order = order.withColumn("regime", F.row_number().over(Window.orderBy("__mean", "__g")) - 1).select("__g", "regime")
-    names = F.array(*(F.lit(n) for n in REGIMES[:k]))
-    return got.join(F.broadcast(order), "__g").withColumn("regime_name", F.get(names, F.col("regime"))).select(*samples.columns, "regime", "regime_name")
+    """samples with regime 0..k-1 by rising mean of the first column, and its name: each series has a mixture of its own, the best of several starts.
+
+    Rows with a null in columns are left out, and so are series of under 10 * k rows.
+    """
+    types = dict(samples.dtypes)
+    shape = ", ".join([*(f"{c} {types[c]}" for c in samples.columns), "regime int, regime_name string"])
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.dropna(subset=columns)
+        if len(pdf) < 10 * k:
+            return pd.DataFrame(columns=[*samples.columns, "regime", "regime_name"])
+        x = pdf[columns].to_numpy(dtype=float)
+        sd = x.std(axis=0)
+        regime, _ = N.gaussian_mixture((x - x.mean(axis=0)) / np.where(sd > 0, sd, 1.0), k, starts, seed=seed)
+        return pdf.assign(regime=regime.astype("int32"), regime_name=[REGIMES[r] if r < len(REGIMES) else None for r in regime])
+
+    return samples.groupBy("series_id").applyInPandas(run, shape)
 
 
 def transition_counts(labels: DataFrame, keys: list[str], label: str = "regime") -> DataFrame:
@@ -117,13 +123,25 @@ def linkage_clusters(pairs: DataFrame, most: int = 4) -> DataFrame:
     return pairs.sparkSession.createDataFrame([(s, int(c)) for s, c in zip(names, got)], f"series_id {dict(pairs.dtypes)['a']}, cluster int")
 
 
-def exceedance_model(train: DataFrame, test: DataFrame, columns: list[str]) -> DataFrame:
-    """test with p: logistic regression with an L2 penalty of 1 over the number of training rows; no rows when training has one label only."""
-    rows = train.dropna(subset=[*columns, "label"]).withColumn("label", F.col("label").cast("double"))
-    got = rows.agg(F.count(F.lit(1)).alias("n"), F.count_distinct("label").alias("k")).first()
-    if got["n"] < 30 or got["k"] < 2:
-        return test.withColumn("p", F.lit(None).cast("double")).where("false")
-    add = VectorAssembler(inputCols=columns, outputCol="__x")
-    model = LogisticRegression(featuresCol="__x", labelCol="label", regParam=1.0 / got["n"], elasticNetParam=0.0, standardization=False, maxIter=100).fit(add.transform(rows))
-    scored = model.transform(add.transform(test.dropna(subset=columns).withColumn("label", F.col("label").cast("double"))))
-    return scored.withColumn("p", vector_to_array("probability")[1]).select(*[c for c in test.columns if c != "label"], F.col("label").cast("int").alias("label"), "p")
+def exceedance_model(rows: DataFrame, columns: list[str], train_share: float = 0.55) -> DataFrame:
+    """The later rows of each series with p: a logistic regression of each series on its earlier rows, with an L2 penalty of 1 over their number.
+
+    rows: series_id, idx, columns, label. Rows before train_share of a series'
+    range of idx are its training rows. A series whose training rows are under
+    30 or of one label gives no rows. Rows with a null are left out.
+    """
+    types = dict(rows.dtypes)
+    shape = ", ".join([f"series_id {types['series_id']}, idx long", *(f"{c} double" for c in columns), "label int, p double"])
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        lo, hi = pdf["idx"].min(), pdf["idx"].max()
+        pdf = pdf.dropna(subset=[*columns, "label"]).sort_values("idx")
+        early = pdf["idx"] < lo + train_share * (hi - lo)
+        x, y = pdf[columns].to_numpy(dtype=float), pdf["label"].to_numpy(dtype=float)
+        if early.sum() < 30 or len(set(y[early])) < 2:
+            return pd.DataFrame(columns=["series_id", "idx", *columns, "label", "p"])
+        w = N.logistic(x[early], y[early], 1.0 / early.sum())
+        p = 1 / (1 + np.exp(-np.clip(w[0] + x[~early] @ w[1:], -35, 35)))
+        return pdf[~early][["series_id", "idx", *columns, "label"]].assign(label=y[~early].astype("int32"), p=p)
+
+    return rows.select("series_id", F.col("idx").cast("long").alias("idx"), *(F.col(c).cast("double").alias(c) for c in columns), "label").groupBy("series_id").applyInPandas(run, shape)

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import materialized
 from .ordered import Ordered, first_in_order, with_micros
 
 # Shortest run of steps that counts as an era, longest gap that is filled, upper bound of sane heights.
@@ -44,8 +45,8 @@ def detect_eras(samples: DataFrame, min_samples: int = MIN_ERA_SAMPLES) -> DataF
     """(series_id, era_id, from_idx, to_idx, freq_hours): periods of one sampling rate, as sample indexes, to_idx exclusive.
 
     A run of equal steps counts from min_samples steps on; counted runs of one
-    rate merge across what lies between; all samples up to the next counted
-    run's start of another rate belong to the era of the run before. Without a
+    rate merge across what lies between; samples between the last counted step
+    of one rate and the first of another belong to the era that follows. Without a
     counted run there is one era at the commonest step.
     """
     runs = interval_runs(samples)
@@ -125,14 +126,14 @@ def regularize(samples: DataFrame, bounds: tuple[float, float] | None = (0.0, MA
     grid: series_id, era_id, ts, value, is_interpolated, is_marker; between
     eras that leave room one marker row with a null value, midway.
     """
-    raw = deduplicate(samples)
+    raw = materialized(deduplicate(samples), "samples")  # eras and grid both read it
     eras = detect_eras(raw, min_samples)
     rows = Ordered(with_micros(raw).select("series_id", "us", "value"), ["series_id"]).index("idx").done()
     e = eras.select(F.col("series_id").alias("s"), "era_id", "from_idx", "to_idx", F.round(F.col("freq_hours") * 3.6e9).cast("long").alias("freq_us"))
     tagged = rows.join(e, (F.col("series_id") == F.col("s")) & (F.col("idx") >= F.col("from_idx")) & (F.col("idx") < F.col("to_idx"))).drop("s", "from_idx", "to_idx", "idx")
     grid = dense_grid(snap(tagged)).withColumn("was_null", F.col("value").isNull())
     grid = sane(grid, *bounds) if bounds else grid.withColumn("is_bad", F.lit(False))
-    filled = interpolate_short(classify_gaps(grid), limit)
+    filled = materialized(interpolate_short(classify_gaps(grid), limit), "grid")
     report = filled.groupBy("series_id", "era_id", "freq_us").agg(
         F.timestamp_micros(F.min("slot_us")).alias("start"),
         F.timestamp_micros(F.max("slot_us")).alias("end"),

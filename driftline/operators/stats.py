@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .joins import lagged_pairs, series_pairs
+from .joins import series_pairs
 
 
 def average_ranks(df: DataFrame, keys: list[str], column: str, name: str) -> DataFrame:
@@ -36,11 +36,64 @@ def correlation_interval(pairs: DataFrame) -> DataFrame:
     return out.withColumn("ci_width", F.col("ci_high") - F.col("ci_low"))
 
 
+#: Rows of a chunk in which lagged products are summed, where the lags are short.
+LAG_CHUNK = 16_384
+
+
+def lag_sums(indexed: DataFrame, lags: list[int], x: str, y: str, keys: list[str], idx: str = "idx") -> DataFrame:
+    """(keys, lag, n, sx, sy, sxx, syy, sxy): sums over the pairs of x at index i with y at i + lag, both valid.
+
+    Rows are cut into chunks of indexes; a chunk also gets copies of the rows
+    that its lags reach. Each chunk gives one row of sums a lag, so neither
+    rows nor pairs are multiplied by the number of lags.
+    """
+    import numpy as np
+    import pyarrow as pa
+
+    low, high = min(lags), max(lags)
+    size = max(LAG_CHUNK, 4 * max(abs(low), abs(high)))
+    i = F.col(idx)
+    into = F.sequence(F.floor((i - high) / size).cast("long"), F.floor((i - low) / size).cast("long"))
+    chunk = F.explode(F.array_distinct(F.concat(F.array(F.floor(i / size).cast("long")), into))).alias("__chunk")
+    types = dict(indexed.dtypes)
+    shape = ", ".join([*(f"{k} {types[k]}" for k in keys), "lag int, n long", *(f"{c} double" for c in ("sx", "sy", "sxx", "syy", "sxy"))])
+
+    def run(key: tuple, rows: pa.Table) -> pa.Table:
+        at = rows.column("__i").to_numpy()
+        first = int(at.min())
+        a, b = (np.full(int(at.max()) - first + 1, np.nan) for _ in range(2))
+        own = at // size == key[-1].as_py()
+        a[at[own] - first] = rows.column("__x").to_numpy(zero_copy_only=False)[own]
+        b[at - first] = rows.column("__y").to_numpy(zero_copy_only=False)
+        out = []
+        for k in lags:
+            u, v = (a[: len(a) - k], b[k:]) if k >= 0 else (a[-k:], b[:k])
+            ok = ~(np.isnan(u) | np.isnan(v)) if len(u) else np.zeros(0, dtype=bool)
+            if ok.any():
+                u, v = u[ok], v[ok]
+                out.append((k, len(u), u.sum(), v.sum(), u @ u, v @ v, u @ v))
+        columns = [np.array(c) for c in zip(*out)] if out else [np.zeros(0)] * 7
+        head = {k: pa.array([v.as_py()] * len(out), rows.schema.field(k).type) for k, v in zip(keys, key)}
+        return pa.table(head | {"lag": pa.array(columns[0], pa.int32()), "n": pa.array(columns[1], pa.int64())} | {c: pa.array(v, pa.float64()) for c, v in zip(("sx", "sy", "sxx", "syy", "sxy"), columns[2:])})
+
+    spread = indexed.select(*keys, i.cast("long").alias("__i"), F.col(x).cast("double").alias("__x"), F.col(y).cast("double").alias("__y"), chunk)
+    return spread.groupBy(*keys, "__chunk").applyInArrow(run, shape).groupBy(*keys, "lag").agg(*(F.sum(c).alias(c) for c in ("n", "sx", "sy", "sxx", "syy", "sxy")))
+
+
+def _centred(df: DataFrame, columns: list[str], keys: list[str]) -> DataFrame:
+    """df with each column minus its mean in its series: sums of products then keep their digits."""
+    means = df.groupBy(*keys).agg(*(F.avg(c).alias(f"__m_{c}") for c in columns))
+    return df.join(means, keys).withColumns({f"__{c}": F.col(c) - F.col(f"__m_{c}") for c in columns})
+
+
 def cross_correlation(indexed: DataFrame, x: str, y: str, most: int, keys: list[str] | None = None, least: int = 10) -> DataFrame:
     """(keys, lag, n, r) for lags -most..most; a positive lag pairs x with a later y, so x leads. Up to `least` pairs give no r."""
     keys = keys or ["series_id"]
-    got = lagged_pairs(indexed, list(range(-most, most + 1)), x, y, keys).where("x is not null and y is not null")
-    return got.groupBy(*keys, "lag").agg(F.count(F.lit(1)).alias("n"), F.corr("x", "y").alias("r")).withColumn("r", F.when(F.col("n") > least, F.col("r")))
+    got = lag_sums(_centred(indexed, [x, y], keys), list(range(-most, most + 1)), f"__{x}", f"__{y}", keys)
+    n = F.col("n")
+    spread = (n * F.col("sxx") - F.col("sx") * F.col("sx")) * (n * F.col("syy") - F.col("sy") * F.col("sy"))
+    r = (n * F.col("sxy") - F.col("sx") * F.col("sy")) / F.sqrt(F.when(spread > 0, spread))
+    return got.select(*keys, "lag", "n", F.when(n > least, r).alias("r"))
 
 
 def best_lag(ccf: DataFrame, keys: list[str]) -> DataFrame:
@@ -52,9 +105,10 @@ def best_lag(ccf: DataFrame, keys: list[str]) -> DataFrame:
 def autocorrelation(indexed: DataFrame, lags: int, keys: list[str] | None = None) -> DataFrame:
     """(keys, lag, rho, n): sums of products over the total sum of squares, for lags 1..lags."""
     keys = keys or ["series_id"]
-    moments = indexed.groupBy(*keys).agg(F.avg("value").alias("m"), F.count("value").alias("n"), F.var_pop("value").alias("v"))
-    got = lagged_pairs(indexed, list(range(1, lags + 1)), "value", "value", keys).join(moments, keys)
-    return got.groupBy(*keys, "lag", "n").agg((F.sum((F.col("x") - F.col("m")) * (F.col("y") - F.col("m"))) / F.max(F.col("v") * F.col("n"))).alias("rho"))
+    got = lag_sums(_centred(indexed, ["value"], keys), list(range(lags + 1)), "__value", "__value", keys)
+    whole = got.where("lag = 0").select(*keys, F.col("n").alias("__n"), F.col("sxx").alias("__ss"))
+    out = got.where("lag > 0").join(whole, keys)
+    return out.select(*keys, "lag", (F.col("sxy") / F.col("__ss")).alias("rho"), F.col("__n").alias("n"))
 
 
 def ljung_box(acf: DataFrame, lags: list[int], keys: list[str] | None = None) -> DataFrame:

@@ -121,34 +121,14 @@ def exceedance_deltas(spark, d):
     u = rows.groupBy("series_id").agg(F.percentile("value", 0.9).alias("threshold"))
     drive = rows.where("series_id = 'view'").select("us", F.col("value").alias("drive"))
     f = windows.exceedance_label(windows.exceedance_features(rows.join(u, "series_id")), 6).where("value is not null and label is not null").join(drive, "us").where("drive is not null")
-    f = f.select("series_id", "idx", "level", "trend", "volatility", "drive", "label")
-    train, test = f.where("idx < 400"), f.where("idx >= 400")
-    own = FC.brier(ML.exceedance_model(train, test, ["level", "trend", "volatility"]), ["series_id"]).select("series_id", F.col("skill").alias("skill"))
-    with_ = FC.brier(ML.exceedance_model(train, test, ["level", "trend", "volatility", "drive"]), ["series_id"]).select("series_id", F.col("skill").alias("skill_driven"))
+    own = FC.brier(ML.exceedance_model(f, ["level", "trend", "volatility"]), ["series_id"]).select("series_id", F.col("skill").alias("skill"))
+    with_ = FC.brier(ML.exceedance_model(f, ["level", "trend", "volatility", "drive"]), ["series_id"]).select("series_id", F.col("skill").alias("skill_driven"))
     return own.join(with_, "series_id").withColumn("delta", F.col("skill_driven") - F.col("skill"))
 
 
 def weibull_band(spark, d):
-    """Pointwise 95 % bands of a Weibull density over block resamples: replicates are tasks, points an array expression."""
-    import numpy as np
-    import pandas as pd
-
-    from ..functions import numeric as N
-
-    spread = events(spark, d).withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(3))))
-
-    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        x = pdf.sort_values("ts")["value"].dropna().to_numpy()
-        rng = np.random.default_rng([7, int(key[1])])
-        fits = [N.weibull_moments(N.block_resample(x, 24, rng)) for _ in range(250)] if len(x) > 30 else []
-        return pd.DataFrame({"series_id": key[0], "shape": [float(f[0]) for f in fits], "scale": [float(f[1]) for f in fits]})
-
-    fits = spread.groupBy("series_id", "part").applyInPandas(run, "series_id string, shape double, scale double")
-    x = F.col("x")
-    grid = fits.withColumn("x", F.explode(F.transform(F.sequence(F.lit(1), F.lit(20)), lambda k: k * 10.0)))
-    density = F.col("shape") / F.col("scale") * F.pow(x / F.col("scale"), F.col("shape") - 1) * F.exp(-F.pow(x / F.col("scale"), F.col("shape")))
-    by = grid.withColumn("f", density).groupBy("series_id", "x").agg(F.percentile("f", F.array(F.lit(0.025), F.lit(0.975))).alias("q"))
-    return by.select("series_id", "x", F.col("q")[0].alias("low"), F.col("q")[1].alias("high"))
+    """Pointwise 95 % bands of a Weibull density over block resamples."""
+    return E.weibull_bands(events(spark, d), ["series_id"], 24)
 
 
 def fingerprint_features(spark, d):

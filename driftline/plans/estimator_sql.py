@@ -60,6 +60,60 @@ def _residuals(source: str, period: float, harmonics: int) -> str:
     return ", ".join(out)
 
 
+def _orthogonalised(name: str, source: str, keys: str, columns: list[str], carried: list[str]) -> str:
+    """{name}{k}: rows of a table after the first k columns were taken out of all later ones by least squares; a column of zeros takes out nothing."""
+    out, left = [f"{name}0 AS (SELECT {', '.join([keys, *carried, *columns])} FROM {source})"], list(columns)
+    for k, q in enumerate(columns[:-1]):
+        left.remove(q)
+        parts = [f"{c} - {q} * coalesce(sum({c} * {q}) OVER p / nullif(sum({q} * {q}) OVER p, 0), 0) AS {c}" for c in left]
+        out.append(f"{name}{k + 1} AS (SELECT {', '.join([keys, *carried, *parts])} FROM {name}{k} WINDOW p AS (PARTITION BY {keys}))")
+    return ",\n".join(out)
+
+
+def _unit_root(most: int = 24) -> str:
+    """ad: (series_id, n, t) of the augmented Dickey-Fuller test of ls, lags by AIC. most: as many lags as any of the series may take."""
+    lags = range(1, most + 1)
+    names = [f"l{k}" for k in lags]
+    masked = lambda bound: ", ".join(f"CASE WHEN {k} <= {bound} THEN l{k} ELSE 0 END AS l{k}" for k in lags)
+    losses = " UNION ALL ".join(f"SELECT series_id, {k} AS k, count(*) AS m, sum(y * y) AS rss FROM ua{k + 2} WHERE top >= {k} GROUP BY series_id" for k in range(most + 1))
+    return f"""u0 AS (SELECT series_id, j, len AS n, v AS x, lead(v) OVER w - v AS y, least(ceil(12 * pow(len / 100.0, 0.25)), len // 2 - 2)::BIGINT AS top FROM ls WHERE len >= 20 WINDOW w AS (PARTITION BY series_id ORDER BY j)),
+u1 AS (SELECT *, 1::DOUBLE AS one, {', '.join(f'lag(y, {k}) OVER w AS l{k}' for k in lags)} FROM u0 WINDOW w AS (PARTITION BY series_id ORDER BY j)),
+u2 AS (SELECT series_id, top, one, x, y, {masked('top')} FROM u1 WHERE y IS NOT NULL AND j >= top),
+{_orthogonalised('ua', 'u2', 'series_id', ['one', 'x', *names, 'y'], ['top'])},
+u3 AS ({losses}),
+u4 AS (SELECT series_id, arg_min(k, m * ln(greatest(rss, 1e-300) / m) + 2 * (k + 2)) AS lags FROM u3 GROUP BY series_id),
+u5 AS (SELECT u1.series_id, n, lags, one, x, y, {masked('lags')} FROM u1 JOIN u4 USING (series_id) WHERE y IS NOT NULL AND j >= lags),
+{_orthogonalised('ub', 'u5', 'series_id', ['one', *names, 'x', 'y'], ['n', 'lags'])},
+ad AS (SELECT series_id, any_value(n) AS n, sum(x * y) / sum(x * x) / sqrt((sum(y * y) - pow(sum(x * y), 2) / sum(x * x)) / (count(*) - any_value(lags) - 2) / sum(x * x)) AS t FROM ub{most + 1} GROUP BY series_id)"""
+
+
+#: kp: (series_id, stat, p) of the KPSS test for a level, from c0 and the lagged sums c1 of _acf.
+_LEVEL = """k0 AS (SELECT series_id, n, sum(CASE WHEN lag = 0 THEN c / n ELSE 2 * c / n END) AS s0, sum(CASE WHEN lag > 0 THEN lag * 2 * c / n ELSE 0 END) AS s1 FROM c1 WHERE lag <= floor(pow(n, 2.0 / 9)) GROUP BY series_id, n),
+k1 AS (SELECT series_id, n, least(floor(1.1447 * pow(pow(s1 / s0, 2), 1.0 / 3) * pow(n, 1.0 / 3)), n - 1)::BIGINT AS lags FROM k0),
+k2 AS (SELECT k1.series_id, k1.n, sum(CASE WHEN lag = 0 THEN c / k1.n ELSE 2 * (1 - lag / (lags + 1.0)) * c / k1.n END) AS long_run FROM k1 JOIN c1 USING (series_id) WHERE lag <= lags GROUP BY ALL),
+k3 AS (SELECT series_id, sum(pow(e, 2)) AS ss FROM (SELECT series_id, sum(v) OVER (PARTITION BY series_id ORDER BY j) AS e FROM c0) GROUP BY series_id),
+kp AS (SELECT series_id, ss / (n::DOUBLE * n * long_run) AS stat FROM k2 JOIN k3 USING (series_id))"""
+_LEVEL_P = "CASE WHEN stat <= 0.347 THEN 0.1 WHEN stat <= 0.463 THEN 0.1 - 0.05 * (stat - 0.347) / 0.116 WHEN stat <= 0.574 THEN 0.05 - 0.025 * (stat - 0.463) / 0.111 WHEN stat <= 0.739 THEN 0.025 - 0.015 * (stat - 0.574) / 0.165 ELSE 0.01 END"
+_ROOT = "CASE WHEN t > 2.74 THEN false WHEN t < -18.83 THEN true WHEN t <= -1.61 THEN 2.1659 + 1.4412 * t + 0.038269 * t * t < -1.6448536269514722 ELSE 1.7339 + 0.93202 * t - 0.12745 * t * t - 0.010368 * t * t * t < -1.6448536269514722 END"
+
+
+def _chi2_tail(x: str, k: str) -> str:
+    """The upper tail of a chi-squared variable with an even number k of degrees of freedom."""
+    return f"exp(-({x}) / 2) * list_sum(list_transform(range(0, ({k}) // 2), lambda i: exp(i * ln(greatest({x}, 1e-300) / 2) - lgamma(i + 1.0))))"
+
+
+def _arch(most: int = 48) -> str:
+    """lm: (series_id, lag, m, rss, tss) of squares e of c0 on their own lags, for 6, 12, 24 and 48 of them."""
+    lags = range(1, most + 1)
+    masked = ", ".join(f"CASE WHEN {k} <= g THEN l{k} ELSE 0 END AS l{k}" for k in lags)
+    return f"""a0 AS (SELECT series_id, j, v * v AS y FROM c0),
+a1 AS (SELECT *, {', '.join(f'lag(y, {k}) OVER w AS l{k}' for k in lags)} FROM a0 WINDOW w AS (PARTITION BY series_id ORDER BY j)),
+a2 AS (SELECT series_id, g, 1::DOUBLE AS one, y, {masked} FROM a1, (VALUES (6), (12), (24), (48)) v(g) WHERE j >= g),
+{_orthogonalised('ar', 'a2', 'series_id, g', ['one', *(f'l{k}' for k in lags), 'y'], [])},
+aq AS (SELECT series_id, g, sum(y * y) AS tss FROM ar1 GROUP BY ALL),
+lm AS (SELECT r.series_id, r.g AS lag, count(*) AS m, sum(y * y) AS rss, any_value(tss) AS tss FROM ar{most + 1} r JOIN aq USING (series_id, g) GROUP BY r.series_id, r.g)"""
+
+
 def _refined(start: str, source: str, step: float, loss: str, rounds: int) -> str:
     """best{rounds}: (series_id, p) with the least loss, an expression of p and the columns of a table, from start{0} (series_id, p) by grids ten times as fine each round."""
     out = []
@@ -169,6 +223,8 @@ SELECT lv.series_id, k AS lag, {_R4('ac.r', 6)} AS acf, {_R4('a', 6)} AS pacf FR
     "dependence": f"WITH {_SEGMENT_SCALES}, d AS (SELECT series_id, sum(n * tau) / sum(n) AS tau, sum(n * lag1) / sum(n) AS lag1, bool_or(hit) AS hit FROM ts GROUP BY series_id) SELECT series_id, {_R4('tau', 5)} AS tau_hours, {_R4('lag1', 6)} AS lag1, hit AS hit_ceiling, greatest(1, ceil(tau))::BIGINT AS block_length, {_R4('2 * tau', 1)} AS decluster_hours FROM d",
     "harmonic_residuals": f"WITH {_GRID}, sv AS (SELECT series_id, h, value AS y FROM grid WHERE value IS NOT NULL), {_residuals('sv', 24.0, 2)}, f AS (SELECT series_id, count(*) AS fitted FROM grid GROUP BY 1) SELECT series_id, count(*) AS n, {_R4('avg(y * y)')} AS mse, any_value(fitted) AS fitted FROM ge JOIN f USING (series_id) GROUP BY series_id",
     "deseasonalised_timescales": f"WITH {_GRID}, sv AS (SELECT series_id, h, value AS y FROM grid WHERE value IS NOT NULL), {_residuals('sv', 24.0, 3)}, src AS (SELECT series_id || '|' || k AS series_id, row_number() OVER (PARTITION BY series_id, k ORDER BY h) - 1 AS j, count(*) OVER (PARTITION BY series_id, k) AS n, v FROM (SELECT series_id, 'raw' AS k, h, y AS v FROM sv UNION ALL SELECT series_id, 'clean', h, y FROM ge)), {_acf('src', 'series_id', 'least(n // 3, 2000)')}, {_timescales('series_id')} SELECT split_part(series_id, '|', 1) AS series_id, {_R4('''max(CASE WHEN split_part(series_id, '|', 2) = 'raw' THEN tau END)''', 5)} AS raw_tau, {_R4('''max(CASE WHEN split_part(series_id, '|', 2) = 'clean' THEN tau END)''', 5)} AS tau_hours FROM ts GROUP BY 1",
+    "stationarity": f"WITH {SEGMENTS}, {_unit_root()}, src AS (SELECT series_id, j, len AS n, v FROM ls), {_acf('src', 'series_id', 'least(n - 1, 200)')}, {_LEVEL}, b AS (SELECT series_id, n, t, stat, {_LEVEL_P} AS p, {_ROOT} AS root FROM ad JOIN kp USING (series_id)) SELECT series_id, n, {_R4('t')} AS adf, {_R4('stat')} AS kpss, {_R4('p')} AS kpss_p, CASE WHEN root AND p >= 0.05 THEN 'stationary' WHEN root THEN 'difference_stationary' WHEN p >= 0.05 THEN 'trend_stationary' ELSE 'non_stationary' END AS verdict FROM b",
+    "whiteness": f"WITH {_GRID}, sv AS (SELECT series_id, h, value AS y FROM grid WHERE value IS NOT NULL), {_residuals('sv', 24.0, 2)}, src AS (SELECT series_id, row_number() OVER (PARTITION BY series_id ORDER BY h) - 1 AS j, count(*) OVER (PARTITION BY series_id) AS n, y AS v FROM ge), {_acf('src', 'series_id', '48')}, {_arch()}, q AS (SELECT lm.*, (SELECT any_value(n) * (any_value(n) + 2) * sum(r * r / (n - ac.lag)) FROM ac WHERE ac.series_id = lm.series_id AND ac.lag BETWEEN 1 AND lm.lag) AS q, m * (1 - rss / tss) AS l FROM lm) SELECT series_id, lag::BIGINT AS lag, {_R4('q')} AS lb_q, {_R4(_chi2_tail('q', 'lag'), 6)} AS lb_p, {_R4('l')} AS lm, {_R4(_chi2_tail('l', 'lag'), 6)} AS lm_p, {_R4('(tss - rss) / lag / (rss / (m - lag - 1))', 5)} AS f FROM q",
     "power_transform": f"WITH {_BOXCOX} SELECT series_id, count(*) AS n, {_R4('any_value(p)', 3)} AS lambda, {_R4(f'avg({_BOX})', 2)} AS mean, {_R4(f'stddev_pop({_BOX})', 2)} AS deviation FROM best6 JOIN ex USING (series_id) GROUP BY series_id",
     "storm_peaks": f"WITH RECURSIVE {peaks(0.9, 5)} SELECT series_id, us, value AS peak FROM pk",
     "extreme_fits": f"WITH RECURSIVE {peaks(0.9, 5)}, {tails()}, fx AS (SELECT gp.series_id, n_, row_number() OVER (PARTITION BY gp.series_id ORDER BY y) AS i, CASE WHEN abs(xi) < 1e-8 THEN 1 - exp(-y * scale / sigma) ELSE 1 - pow(greatest(1 + xi * y * scale / sigma, 0), -1 / xi) END AS f FROM (SELECT *, n AS n_ FROM gx) g JOIN gp USING (series_id)), ks AS (SELECT series_id, max(greatest(i::DOUBLE / n_ - f, f - (i - 1)::DOUBLE / n_)) AS ks FROM fx GROUP BY 1) SELECT series_id, n AS n_peaks, {_R4('xi', 3)} AS xi, {_R4('sigma', 2)} AS sigma, {_R4('ks')} AS ks, n < 10 AS few FROM gp JOIN ks USING (series_id)",

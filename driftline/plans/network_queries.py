@@ -8,7 +8,7 @@ from ..operators import segments
 from ..operators.ordered import Ordered, with_micros
 from ..sources.tables import table
 from . import stages
-from .series_queries import _GRID, _R4, Query, events, hourly, mean_of_cents, off_ties
+from .series_queries import _GRID, _R4, WEEK_US, Query, events, hourly, mean_of_cents, off_ties
 from .stat_queries import _PAIRS, pairwise_correlation
 
 
@@ -84,9 +84,9 @@ def json_facts(spark, d):
 
 
 def label_distance(spark, d):
-    """Steps from each view to the next purchase, an order-based lookup without a whole-series window."""
+    """Time from each view to the next purchase, an order-based lookup in chunks of a week."""
     e = with_micros(events(spark, d)).withColumn("k", F.lit(1))
-    rows = Ordered(e, ["k"]).next_valid(["us"], F.col("series_id") == "purchase", "next_").done()
+    rows = Ordered(e, ["k"], chunk_us=WEEK_US).next_valid(["us"], F.col("series_id") == "purchase", "next_").done()
     return rows.where("series_id = 'view'").select(F.col("pos").alias("event_id"), (F.col("next_.us") - F.col("us")).alias("wait_us"))
 
 

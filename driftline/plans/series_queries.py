@@ -17,6 +17,8 @@ from ..operators.ordered import Ordered, first_in_order, with_micros
 from ..sources.tables import capabilities, long_form, multi_variable, point_series, table
 
 HOUR_US = 3_600_000_000
+#: Chunks of order lookups over all series together.
+WEEK_US = 7 * 24 * HOUR_US
 Query = Callable[[SparkSession, str], DataFrame]
 
 
@@ -188,14 +190,14 @@ def asof_nearest(spark, d):
     e = events(spark, d)
     left = e.where("series_id = 'purchase'").select(F.lit(1).alias("k"), "ts", F.col("pos").alias("event_id"))
     right = e.where("series_id = 'view'").select(F.lit(1).alias("k"), "ts", F.col("value").alias("near"))
-    return joins.asof_nearest(left, right, ["k"], "near", 600_000_000).select("event_id", "near")
+    return joins.asof_nearest(left, right, ["k"], "near", 600_000_000, chunk_us=WEEK_US).select("event_id", "near")
 
 
 def asof_interpolated(spark, d):
     e = events(spark, d)
     left = e.where("series_id = 'purchase'").select(F.lit(1).alias("k"), "ts", F.col("pos").alias("event_id"))
     right = e.where("series_id = 'view'").select(F.lit(1).alias("k"), "ts", F.col("value").alias("v"))
-    return joins.asof_interpolate(left, right, ["k"], "v").select("event_id", off_ties("v").alias("v"))
+    return joins.asof_interpolate(left, right, ["k"], "v", chunk_us=WEEK_US).select("event_id", off_ties("v").alias("v"))
 
 
 def events_in_eras(spark, d):

@@ -13,7 +13,7 @@ from ..operators import segments, stats, windows
 from ..operators.ordered import Ordered, with_micros
 from ..sources.tables import table
 from .estimator_sql import ESTIMATOR_SQL, MONTHS
-from .series_queries import _GRID, _R4, HOUR_US, Query, _indexed, events, hourly, mean_of_cents, off_ties
+from .series_queries import _GRID, _R4, HOUR_US, WEEK_US, Query, _indexed, events, hourly, mean_of_cents, off_ties
 
 
 def tumbling_three_hours(spark, d):
@@ -102,7 +102,7 @@ def correlation_intervals(spark, d):
 def _wide(spark, d):
     g = hourly(spark, d).where("series_id in ('view', 'click')")
     w = g.groupBy("us").pivot("series_id", ["view", "click"]).agg(F.first("value"))
-    return Ordered(w.withColumn("series_id", F.lit("all")), ["series_id"]).index("idx").done()
+    return Ordered(w.withColumn("series_id", F.lit("all")), ["series_id"], chunk_us=WEEK_US).index("idx").done()
 
 
 def lagged_correlation(spark, d):
@@ -310,11 +310,19 @@ def dependence(spark, d):
 
 
 def stationarity(spark, d):
-    return E.stationarity(_longest(spark, d), ["series_id"])
+    out = E.stationarity(_longest(spark, d), ["series_id"])
+    return out.select("series_id", "n", off_ties("adf").alias("adf"), off_ties("kpss").alias("kpss"), off_ties("kpss_p").alias("kpss_p"), "verdict")
+
+
+def _residuals(spark, d):
+    """What two daily harmonics leave of the hourly grids."""
+    out = stats.harmonic_regression(hourly(spark, d).select("series_id", "ts", "value"), [(24.0, 2)])
+    return out.where("residual is not null").select("series_id", "ts", F.col("residual").alias("value"))
 
 
 def whiteness(spark, d):
-    return E.whiteness(events(spark, d), ["series_id"])
+    out = E.whiteness(_residuals(spark, d), ["series_id"])
+    return out.select("series_id", F.col("lag").cast("long").alias("lag"), off_ties("lb_q").alias("lb_q"), off_ties("lb_p", 6).alias("lb_p"), off_ties("lm").alias("lm"), off_ties("lm_p", 6).alias("lm_p"), off_ties("f", 5).alias("f"))
 
 
 def change_points(spark, d):
@@ -350,7 +358,7 @@ def extreme_intervals(spark, d):
 
 
 def resampled_intervals(spark, d):
-    return E.weibull_bootstrap(events(spark, d), ["series_id"], 24, 1000)
+    return E.weibull_bootstrap(events(spark, d), ["series_id"], 24)
 
 
 def largest_left_out(spark, d):
@@ -396,9 +404,7 @@ def exceedance_forecast(spark, d):
     rows = _indexed(spark, d)
     u = rows.groupBy("series_id").agg(F.percentile("value", 0.9).alias("threshold"))
     f = windows.exceedance_label(windows.exceedance_features(rows.join(u, "series_id")), 6).where("value is not null")
-    cols = ["level", "trend", "volatility"]
-    got = ML.exceedance_model(f.where("idx < 400").select("series_id", "idx", *cols, "label"), f.where("idx >= 400 and label is not null").select("series_id", "idx", *cols, "label"), cols)
-    return FC.brier(got, ["series_id"])
+    return FC.brier(ML.exceedance_model(f, ["level", "trend", "volatility"]), ["series_id"])
 
 
 def order_search(spark, d):
@@ -470,8 +476,8 @@ STATS: dict[str, tuple[Query, str | None]] = {
     "ranking_quality": (ranking_quality, f"WITH {_SCORED}, r AS (SELECT series_id, label, {_RANK('series_id', 'p')} AS rk FROM sc) SELECT series_id, {_R4('(sum(CASE WHEN label = 1 THEN rk END) - sum(label) * (sum(label) + 1) / 2.0) / (sum(label) * sum(1 - label))', 8)} AS auc FROM r GROUP BY 1"),
     "regime_moves": (regime_moves, "WITH l AS (SELECT event_type AS series_id, ts, CASE WHEN value > 60 THEN 2 WHEN value > 20 THEN 1 ELSE 0 END::BIGINT AS r FROM events), m AS (SELECT r AS after, lag(r) OVER (PARTITION BY series_id ORDER BY ts) AS before FROM l), c AS (SELECT before, after, count(*) AS n FROM m WHERE before IS NOT NULL GROUP BY ALL) SELECT before, after, n, " + _R4("n::DOUBLE / sum(n) OVER (PARTITION BY before)", 8) + " AS share FROM c"),
     **{f.__name__: (f, ESTIMATOR_SQL[f.__name__]) for f in (
-        harmonic_residuals, spectra, spectral_ratios, dominant_period, power_transform, partial_autocorrelation, timescales, dependence, change_points, storm_peaks, extreme_fits, largest_left_out)},
+        harmonic_residuals, spectra, spectral_ratios, dominant_period, power_transform, partial_autocorrelation, timescales, dependence, stationarity, whiteness, change_points, storm_peaks, extreme_fits, largest_left_out)},
     **{f.__name__: (f, None) for f in (
-        singular_spectrum, seasonal_decomposition, seasonal_shares, stationarity, whiteness, distribution_fits, quantile_pairs, extreme_intervals, resampled_intervals, regimes, regime_shares, hidden_regimes, components, fingerprints,
+        singular_spectrum, seasonal_decomposition, seasonal_shares, distribution_fits, quantile_pairs, extreme_intervals, resampled_intervals, regimes, regime_shares, hidden_regimes, components, fingerprints,
         station_clusters, exceedance_forecast, order_search, arma_backtest, garch_backtest, interval_quality, driven_backtest)},
 }

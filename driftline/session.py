@@ -50,9 +50,16 @@ def ship(spark: SparkSession) -> None:
     _shipped.add(context.applicationId)
 
 
+def new_path(spark: SparkSession, name: str) -> str:
+    """A new folder under spark.checkpoint.dir, which all executors share; where that is unset, one of our own if all runs on this machine."""
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared and not spark.sparkContext.master.startswith("local["):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    return f"{(shared or '/tmp/driftline').rstrip('/')}/driftline/{name}-{uuid.uuid4().hex}"
+
+
 def materialized(df: DataFrame, name: str = "step") -> DataFrame:
-    """df written to the folder that all executors share (spark.checkpoint.dir, or one of our own where that is unset) and read again."""
-    spark = df.sparkSession
-    path = f"{(spark.conf.get('spark.checkpoint.dir', None) or '/tmp/driftline').rstrip('/')}/driftline/{name}-{uuid.uuid4().hex}"
+    """df written to the shared folder and read again."""
+    path = new_path(df.sparkSession, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

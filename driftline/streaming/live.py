@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from ..session import new_path
+
 
 def read_samples(spark: SparkSession, folder: str, schema: str, glob: str | None = None) -> DataFrame:
     reader = spark.readStream.schema(schema)
@@ -50,10 +52,13 @@ def last_values(samples: DataFrame) -> DataFrame:
 
 
 def drained(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
-    """The rows that a stream of finished files gives, by an in-memory sink; for tests and small queries."""
-    query = stream.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start()
+    """The rows that a stream of finished files gives. Each batch is a table of its own in the shared folder, written anew if the batch runs again."""
+    spark = stream.sparkSession
+    path = new_path(spark, name)
+    query = stream.writeStream.foreachBatch(lambda rows, batch: rows.write.mode("overwrite").parquet(f"{path}/batch={batch}"))
+    query = query.option("checkpointLocation", f"{path}-state").outputMode(mode).trigger(availableNow=True).start()
     try:
         query.awaitTermination()
     finally:
         query.stop()
-    return stream.sparkSession.table(name)
+    return spark.read.schema(stream.schema).parquet(f"{path}/batch=*") if query.lastProgress else spark.createDataFrame([], stream.schema)

@@ -42,6 +42,7 @@ def test_searches_and_resamples_run_at_their_defaults(spark, data, monkeypatch):
     noted(Q.ML, "regimes")
     for name in ("extreme_intervals", "resampled_intervals", "regime_shares", "regimes", "order_search"):
         queries.QUERIES[name](spark, data)
-    assert [asked[n]["replicates"] for n in ("gpd_bootstrap", "weibull_bootstrap", "share_bootstrap")] == [200, 1000, 200]
+    assert [asked[n]["replicates"] for n in ("gpd_bootstrap", "weibull_bootstrap", "share_bootstrap")] == [200, None, 200]
+    assert [Q.E.N.replicates_for(n) for n in (100, 50_000, 500_000)] == [1000, 500, 200]
     assert asked["regimes"]["starts"] == 5
     assert asked["order_search"]["most"] == 3
