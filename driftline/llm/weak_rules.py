@@ -35,17 +35,19 @@ class Rule:
     bad: str
 
 
+#: Each rule looks at something of its own, as the model takes votes for independent given the class: symbols in any place are one rule, repetition in any form is one.
 RULES = (
     Rule("word_length", "word_chars between 3 * n_words and 9 * n_words", "word_chars < 2 * n_words or word_chars > 12 * n_words"),
-    Rule("symbols", "n_symbols * 50 <= n_words", "n_symbols * 10 > n_words"),
+    Rule("symbols", "n_symbols * 50 <= n_words and n_symbol_ends * 50 <= n_words", "n_symbols * 10 > n_words or n_symbol_ends * 10 > n_words"),
     Rule("letters", "n_other * 12 <= word_chars", "n_other * 10 > word_chars"),
-    Rule("symbol_words", "n_symbol_ends * 50 <= n_words", "n_symbol_ends * 10 > n_words"),
-    Rule("duplicate_lines", "n_dup_lines * 10 <= n_lines", "n_dup_lines * 10 > 3 * n_lines"),
-    Rule("repeated_words", "n_repeat_words * 10 <= n_words", "n_repeat_words * 10 > 3 * n_words"),
+    Rule(
+        "repetition",
+        "n_dup_lines * 10 <= n_lines and n_repeat_words * 10 <= n_words and (n_distinct * 2 >= n_words or n_distinct > 300)",
+        "n_dup_lines * 10 > 3 * n_lines or n_repeat_words * 10 > 3 * n_words or (n_distinct * 10 < 2 * n_words and n_distinct < 100)",
+    ),
     Rule("capitals", "n_upper * 10 <= word_chars", "n_upper * 10 > 3 * word_chars"),
     Rule("exclamations", "n_exclaims * 50 <= n_words", "n_exclaims * 10 > n_words"),
     Rule("sentence_ends", "n_stops * 60 >= n_words", "n_stops * 400 < n_words"),
-    Rule("distinct_words", "n_distinct * 2 >= n_words or n_distinct > 300", "n_distinct * 10 < 2 * n_words and n_distinct < 100"),
 )
 
 
@@ -96,16 +98,15 @@ class LabelModel:
         return np.log(self.chance[1]) - np.log(self.chance[0])
 
 
-#: What is assumed of a rule before any data: how often it votes bad on good and on bad documents, and the weight of that against all rows.
-BAD_ON_GOOD, BAD_ON_BAD, PRIOR_WEIGHT = 0.02, 0.4, 1.0
+#: What is assumed of a rule before any data: how often it votes bad on good and on bad documents, and how many rows of each class that is worth.
+BAD_ON_GOOD, BAD_ON_BAD, PRIOR_ROWS = 0.02, 0.4, 100.0
 
 
-def fit(patterns: np.ndarray, counts: np.ndarray, rounds: int = 200) -> LabelModel:
+def fit(patterns: np.ndarray, counts: np.ndarray, rounds: int = 500) -> LabelModel:
     """EM over vote patterns (rows of votes 0, 1, 2) and how often each occurs.
 
-    The assumptions above are the start, and a prior of PRIOR_WEIGHT rows for
-    each row of the class; else a bad document, which fails a few rules and
-    passes most, would count as good.
+    The assumptions above are the start, and count as PRIOR_ROWS rows of each
+    class however many rows there are.
     """
     one_hot = np.stack([patterns == v for v in range(3)], axis=2).astype(float)
     total = max(counts.sum(), 1.0)
@@ -116,7 +117,7 @@ def fit(patterns: np.ndarray, counts: np.ndarray, rounds: int = 200) -> LabelMod
         logs = np.einsum("prv,crv->pc", one_hot, np.log(chance)) + np.log([1 - prior, prior])
         post = 1.0 / (1.0 + np.exp(np.clip(logs[:, 0] - logs[:, 1], -700, 700)))
         weight = np.stack([(1 - post) * counts, post * counts])
-        new = np.einsum("cp,prv->crv", weight, one_hot) + start * (1.0 + PRIOR_WEIGHT * weight.sum(axis=1))[:, None, None]
+        new = np.einsum("cp,prv->crv", weight, one_hot) + start * PRIOR_ROWS
         new /= new.sum(axis=2, keepdims=True)
         new_prior = float(np.clip(weight[1].sum() / total, 0.02, 0.98))
         done = abs(new_prior - prior) < 1e-9 and np.abs(new - chance).max() < 1e-9
