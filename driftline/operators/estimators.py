@@ -274,9 +274,10 @@ def gpd(peaks: DataFrame, threshold: DataFrame) -> DataFrame:
     return per_group(excess, keys, "n_peaks long, xi double, sigma double, ks double, p double, few boolean", rows)
 
 
-def weibull_bootstrap(df: DataFrame, keys: list[str], block: int, replicates: int | None = None, parts: int = 8, seed: int = 0) -> DataFrame:
+def weibull_bootstrap(df: DataFrame, keys: list[str], block: int | None = None, replicates: int | None = None, parts: int = 8, seed: int = 0) -> DataFrame:
     """(keys, statistic, low, high): percentile intervals of mean, p50, p90, p95 and Weibull parameters over moving-block resamples.
 
+    block: length of a block, or without it df's column of that name.
     replicates: by default as many as the number of values asks for. They are
     spread over parts of each series. A statistic that half of the resamples
     or more do not give has no row.
@@ -288,10 +289,11 @@ def weibull_bootstrap(df: DataFrame, keys: list[str], block: int, replicates: in
         if len(x) < 10:
             return []
         part = int(pdf["part"].iloc[0])
+        length = block if block is not None else int(pdf["block"].iloc[0])
         rng = np.random.default_rng([seed, part])
         out = []
         for _ in range(part, replicates or N.replicates_for(len(x)), parts):
-            y = N.block_resample(x, block, rng)
+            y = N.block_resample(x, length, rng)
             try:
                 fit = N.weibull_moments(y)
             except ValueError:

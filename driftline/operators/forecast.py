@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Sequence
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .ordered import Ordered
+from .ordered import with_halo
 from .stats import average_ranks
+from .windows import trailing_rows
 
 
 def persistence(indexed: DataFrame, horizons: list[int], step: int, min_history: int, max_lookback: int, keys: list[str] | None = None) -> DataFrame:
@@ -17,14 +22,44 @@ def persistence(indexed: DataFrame, horizons: list[int], step: int, min_history:
     max_lookback rows back. Targets that are missing or past the end are left out.
     """
     keys = keys or ["series_id"]
-    rows = Ordered(indexed, keys).last_valid(["idx", "value"], F.col("value").isNotNull(), "held").done()
-    origins = rows.where((F.col("idx") >= min_history) & ((F.col("idx") - min_history) % step == 0) & (F.col("idx") - F.col("held.idx") <= max_lookback))
+    held = indexed.withColumn("__h", F.when(F.col("value").isNotNull(), F.struct("idx", "value")))
+    rows = trailing_rows(held, max_lookback + 1, {"held": F.last("__h", ignorenulls=True)}, keys)
+    origins = rows.where((F.col("idx") >= min_history) & ((F.col("idx") - min_history) % step == 0) & F.col("held").isNotNull())
     asks = origins.select(*keys, F.col("idx").alias("origin_idx"), F.col("held.value").alias("predicted"), F.explode(F.array(*(F.lit(h) for h in horizons))).alias("horizon_samples"))
+    return _with_actual(asks, indexed, keys)
+
+
+def _with_actual(asks: DataFrame, indexed: DataFrame, keys: list[str]) -> DataFrame:
     asks = asks.withColumn("at", F.col("origin_idx") + F.col("horizon_samples"))
     actual = indexed.where("value is not null").select(*keys, F.col("idx").alias("at"), F.col("value").alias("actual"))
     return asks.join(actual, [*keys, "at"]).select(*keys, "origin_idx", "horizon_samples", "actual", "predicted", (F.col("actual") - F.col("predicted")).alias("error"))
 
 
+def rolling_origin(indexed: DataFrame, forecast_fn: Callable[[np.ndarray, list[int]], Sequence[float | None]], horizons: list[int], step: int, min_history: int, history: int, keys: list[str] | None = None) -> DataFrame:
+    """(keys, origin_idx, horizon_samples, actual, predicted, error) of any forecast function over rolling origins.
+
+    forecast_fn(values, horizons) gets the last `history` values up to and with
+    the origin, missing ones as NaN, and gives a value for each horizon; None
+    or NaN gives no row. Series are cut into chunks with as much history, so a
+    long one spreads over tasks.
+    """
+    keys = keys or ["series_id"]
+    types = dict(indexed.dtypes)
+    rows = with_halo(indexed.select(*keys, F.col("idx").cast("long").alias("idx"), F.col("value").cast("double").alias("value")), "idx", max(4096, history), back=history - 1)
+    shape = ", ".join([*(f"{k} {types[k]}" for k in keys), "origin_idx long, horizon_samples int, predicted double"])
+
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("idx")
+        at, x, own = pdf["idx"].to_numpy(), pdf["value"].to_numpy(), pdf["__own"].to_numpy()
+        out = []
+        for i in np.flatnonzero(own & (at >= min_history) & ((at - min_history) % step == 0)):
+            got = forecast_fn(x[max(0, i + 1 - history) : i + 1], horizons)
+            out += [(*key[:-1], int(at[i]), h, float(v)) for h, v in zip(horizons, got) if v is not None and v == v]
+        return pd.DataFrame(out, columns=[*keys, "origin_idx", "horizon_samples", "predicted"])
+
+    return _with_actual(rows.groupBy(*keys, "__chunk").applyInPandas(run, shape), indexed, keys)
+
+
 def summarize(backtest: DataFrame, dt_hours: float, keys: list[str] | None = None) -> DataFrame:
     """(keys, horizon_samples, horizon_hours, n, rmse, mae, mse)."""
     keys = keys or ["series_id"]

@@ -30,12 +30,13 @@ def regimes(samples: DataFrame, columns: list[str], k: int = 4, starts: int = 5,
     Rows with a null in columns are left out, and so are series of under 10 * k rows.
     """
     types = dict(samples.dtypes)
-    shape = ", ".join([*(f"{c} {types[c]}" for c in samples.columns), "regime int, regime_name string"])
+    kept = samples.columns
+    shape = ", ".join([*(f"{c} {types[c]}" for c in kept), "regime int, regime_name string"])
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.dropna(subset=columns)
         if len(pdf) < 10 * k:
-            return pd.DataFrame(columns=[*samples.columns, "regime", "regime_name"])
+            return pd.DataFrame(columns=[*kept, "regime", "regime_name"])
         x = pdf[columns].to_numpy(dtype=float)
         sd = x.std(axis=0)
         regime, _ = N.gaussian_mixture((x - x.mean(axis=0)) / np.where(sd > 0, sd, 1.0), k, starts, seed=seed)

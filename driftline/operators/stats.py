@@ -67,12 +67,14 @@ def lag_sums(indexed: DataFrame, lags: list[int], x: str, y: str, keys: list[str
         b[at - first] = rows.column("__y").to_numpy(zero_copy_only=False)
         out = []
         for k in lags:
+            if abs(k) >= len(a):
+                continue
             u, v = (a[: len(a) - k], b[k:]) if k >= 0 else (a[-k:], b[:k])
-            ok = ~(np.isnan(u) | np.isnan(v)) if len(u) else np.zeros(0, dtype=bool)
+            ok = ~(np.isnan(u) | np.isnan(v))
             if ok.any():
                 u, v = u[ok], v[ok]
                 out.append((k, len(u), u.sum(), v.sum(), u @ u, v @ v, u @ v))
-        columns = [np.array(c) for c in zip(*out)] if out else [np.zeros(0)] * 7
+        columns = [np.array(c) for c in zip(*out)] if out else [np.zeros(0, dtype=int)] * 7
         head = {k: pa.array([v.as_py()] * len(out), rows.schema.field(k).type) for k, v in zip(keys, key)}
         return pa.table(head | {"lag": pa.array(columns[0], pa.int32()), "n": pa.array(columns[1], pa.int64())} | {c: pa.array(v, pa.float64()) for c, v in zip(("sx", "sy", "sxx", "syy", "sxy"), columns[2:])})
 

@@ -43,6 +43,20 @@ def test_netcdf_source(spark, tmp_path):
     assert {(r.kind, r.name) for r in head} >= {("attribute", "title"), ("dimension", "TIME"), ("variable", "VHM0")}
 
 
+def test_netcdf_through_spark(spark, tmp_path):
+    """Packed values and times: scale, offset, units; read by Spark's own reader."""
+    from driftline.sources.netcdf3 import Header, read_netcdf
+
+    netcdf(tmp_path / "one.nc", [0.0, 0.5, 1.0], [15.0, -999.0, 25.0])
+    head = Header((tmp_path / "one.nc").read_bytes())
+    head.vars["VHM0"]["attrs"] |= {"scale_factor": [0.1], "add_offset": [2.0]}
+    assert [round(v, 6) if v == v else None for v in head.values("VHM0")] == [3.5, None, 4.5]
+    head.vars["TIME"]["attrs"]["units"] = "days since 1950-01-01T00:00:00Z"
+    assert head.times("TIME")[1] == (dt.datetime(1950, 1, 1, 12) - dt.datetime(1970, 1, 1)).total_seconds() * 1e6
+    rows = read_netcdf(spark, str(tmp_path), ["vhm0"]).orderBy("pos").collect()
+    assert [(r.var, r.ts, r.value) for r in rows] == [("VHM0", None, 15.0), ("VHM0", None, None), ("VHM0", None, 25.0)]
+
+
 def test_names_and_scans(spark):
     assert tables.resolve_column(["Latitude", "x"], "latitude") == "Latitude"
     assert tables.resolve_column(["valid_time"], "time", {"time": ("valid_time",)}) == "valid_time"
