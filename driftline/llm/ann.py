@@ -37,10 +37,10 @@ from pyspark.sql import functions as F
 from . import common
 
 SAMPLE_QUERIES = 128
-CELL_WIDTH = 1.25
+CELL_WIDTH = 0.9
 BLOCK_ROWS = 4096
 BLOCK_QUERIES = 1024
-CELLS_EACH_SIDE = 4
+CELLS_EACH_SIDE = 6
 #: Visiting a bucket costs about as much as scoring so many rows.
 PROBE_ROWS = 50
 TABLES = (2, 3, 4)
