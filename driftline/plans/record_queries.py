@@ -6,13 +6,16 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import scalars as S
+from ..operators import estimators as E
 from ..operators import forecast as FC
 from ..operators import joins, regularize, stats, windows
 from ..operators.ordered import Ordered, with_micros
 from ..sources import tables
+from ..session import materialized
 from ..sources.tables import table
+from .estimator_sql import _SPECTRA
 from .series_queries import _R4, HOUR_US, Query, _indexed, events, mean_of_cents, off_ties
-from .stat_queries import _BT
+from .stat_queries import _BT, _spectra
 
 BOUNDS, ERA_SAMPLES = (0.0, 120.0), 12
 DAY_US = 24 * HOUR_US
@@ -134,6 +137,37 @@ def wind_coupling(spark, d):
     )
 
 
+#: Bands of a spectrum: name, period and half width of the peak, periods of the floor, what is left out of it.
+BANDS = (("diurnal", 24.0, 1.0, (6.0, 48.0), ((24.0, 1.0),)), ("M2", 12.4206, 0.3, (8.0, 18.0), ((12.4206, 0.3), (12.0, 0.2))), ("S2", 12.0, 0.2, (8.0, 18.0), ((12.4206, 0.3), (12.0, 0.2))))
+
+
+def band_ratios(spark, d):
+    """Peak over floor of three bands of each longest stretch's spectrum."""
+    spectrum = materialized(_spectra(spark, d), "spectra")
+    out = None
+    for name, centre, width, base, excluded in BANDS:
+        one = E.peak_over_baseline(spectrum, ["series_id"], centre, width, base, list(excluded)).select("series_id", F.lit(name).alias("band"), off_ties("ratio", 6).alias("ratio"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def high_trend(spark, d):
+    """Trend of the yearly 95th percentile of orders, for records of five years and more."""
+    o = table(spark, d, "orders")
+    by = o.groupBy(F.col("o_orderpriority").alias("series_id"), F.year("o_orderdate").cast("long").alias("t")).agg(off_ties(F.percentile("o_totalprice", 0.95), 4).alias("value"))
+    long = by.groupBy("series_id").agg((F.max("t") - F.min("t") + 1).alias("years")).where("years >= 5").select("series_id")
+    out = stats.kendall_s(by.join(long, "series_id", "left_semi"))
+    return out.select("series_id", "n", "s", off_ties("z", 6).alias("z"), off_ties("sen_slope", 3).alias("sen_slope"))
+
+
+def covariance_matrix(spark, d):
+    """Sample covariances of all pairs of four variables, from one aggregation."""
+    names = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
+    row = table(spark, d, "lineitem").agg(*(F.covar_samp(a, b).alias(f"{a}|{b}") for a in names for b in names))
+    pairs = F.explode(F.array(*(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(f"`{a}|{b}`").alias("cov")) for a in names for b in names))).alias("p")
+    return row.select(pairs).select("p.a", "p.b", off_ties("p.cov", 3).alias("cov"))
+
+
 _TWO = f"""cut AS (SELECT (min(epoch_us(ts)) + max(epoch_us(ts))) // 2 // {DAY_US} * {DAY_US} AS c FROM events),
 sm AS (SELECT event_type AS series_id, CASE WHEN epoch_us(ts) < c THEN epoch_us(ts) // {HOUR_US} * {HOUR_US} ELSE epoch_us(ts) // {3 * HOUR_US} * {3 * HOUR_US} END AS us, sum(CAST(round(value * 100) AS BIGINT))::DOUBLE / (100 * count(*)) AS value FROM events, cut GROUP BY ALL),
 ix AS (SELECT *, row_number() OVER (PARTITION BY series_id ORDER BY us) - 1 AS i, (us - lag(us) OVER (PARTITION BY series_id ORDER BY us)) // 60000000 AS minutes FROM sm),
@@ -166,10 +200,20 @@ ra AS (SELECT v.us, (v.m - 50) AS u, (c.m - 50) AS w FROM tb v JOIN tb c ON v.us
 wd AS (SELECT sd.series_id, ra.us, u * (1 + lat / 100) AS u10, w * (1 + lon / 100) AS v10 FROM ra, sd),
 wm AS (SELECT wd.series_id, wd.us, value, n, sqrt(u10 * u10 + v10 * v10) AS speed, degrees(atan2(u10, v10)) + 180 AS a FROM wd JOIN tb ON tb.event_type = wd.series_id AND tb.us = wd.us)"""
 
+_BAND_SQL = " UNION ALL ".join(
+    f"SELECT series_id, '{n}' AS band, " + _R4(f"max(CASE WHEN abs(period_hours - {c}) < {w} THEN power END) / median(CASE WHEN period_hours > {lo} AND period_hours < {hi} " + " ".join(f"AND NOT abs(period_hours - {x}) < {y}" for x, y in out) + " THEN power END)", 6) + " AS ratio FROM sp GROUP BY series_id"
+    for n, c, w, (lo, hi), out in BANDS
+)
+_FOUR = ("l_quantity", "l_extendedprice", "l_discount", "l_tax")
+_COV_SQL = " UNION ALL ".join(f"SELECT '{a}' AS a, '{b}' AS b, " + _R4(f"covar_samp({a}, {b})", 3) + " AS cov FROM lineitem" for a in _FOUR for b in _FOUR)
+
 RECORDS: dict[str, tuple[Query, str | None]] = {
     "regularized": (regularized, f"WITH {_TWO} SELECT series_id, era_id::BIGINT AS era_id, us, {_R4('value', 6)} AS value, is_interpolated, is_marker FROM rg"),
     "era_report": (era_report, f"WITH {_TWO} SELECT series_id, era_id::BIGINT AS era_id, freq AS freq_us, start_us, end_us, n_samples_regularized, n_snap_collisions, n_missing_before_clean, n_sanity_flagged_bad, n_short_gap_interpolated, n_long_gap_left, longest_gap_samples, {_HOURS_} AS longest_gap_hours FROM rp"),
     "record_summary": (record_summary, f"WITH {_TWO}, ea AS (SELECT series_id, first(freq ORDER BY n_samples_regularized DESC, era_id) AS freq, count(*) AS n_eras, sum(n_snap_collisions)::BIGINT AS n_snap_collisions, sum(n_missing_before_clean)::BIGINT AS n_missing_before_clean, sum(n_sanity_flagged_bad)::BIGINT AS n_sanity_flagged_bad, sum(n_short_gap_interpolated)::BIGINT AS n_short_gap_interpolated, sum(n_long_gap_left)::BIGINT AS n_long_gap_left, max(longest_gap_samples) AS longest_gap_samples, max({_HOURS_}) AS longest_gap_hours FROM rp GROUP BY 1), wh AS (SELECT series_id, count(*) AS n_samples_regularized, sum(is_marker::INT)::BIGINT AS marks, {_R4('100 * avg((value IS NULL)::INT)', 6)} AS pct_missing_after_clean, {_R4('(max(us) - min(us)) / 31557600000000.0', 8)} AS record_years FROM rg GROUP BY 1) SELECT series_id, n_eras, n_snap_collisions, n_missing_before_clean, n_sanity_flagged_bad, n_short_gap_interpolated, n_long_gap_left + marks AS n_long_gap_left, longest_gap_samples, longest_gap_hours, n_samples_regularized, marks AS n_era_boundary_markers, pct_missing_after_clean, record_years, n_eras > 1 AS multi_era_detected, {_R4('freq / 3600000000.0')} AS sampling_interval_hours FROM ea JOIN wh USING (series_id)"),
+    "band_ratios": (band_ratios, f"WITH {_SPECTRA} {_BAND_SQL}"),
+    "high_trend": (high_trend, f"WITH tp AS (SELECT o_orderpriority AS series_id, year(o_orderdate) AS t, {_R4('quantile_cont(o_totalprice, 0.95)')} AS v FROM orders GROUP BY ALL), ok AS (SELECT series_id FROM tp GROUP BY 1 HAVING max(t) - min(t) + 1 >= 5), p AS (SELECT a.series_id, sign(b.v - a.v) AS sg, (b.v - a.v) / (b.t - a.t) AS sl FROM tp a JOIN tp b ON a.series_id = b.series_id AND a.t < b.t), s AS (SELECT series_id, sum(sg)::BIGINT AS s, median(sl) AS sen FROM p GROUP BY 1), n AS (SELECT series_id, count(*) AS n FROM tp GROUP BY 1) SELECT series_id, n, s, {_R4('(s - sign(s)) / sqrt(n * (n - 1) * (2 * n + 5) / 18.0)', 6)} AS z, {_R4('sen', 3)} AS sen_slope FROM s JOIN n USING (series_id) WHERE series_id IN (SELECT series_id FROM ok)"),
+    "covariance_matrix": (covariance_matrix, _COV_SQL),
     "file_catalog": (file_catalog, "SELECT '/data/' || n_name || '_S' || n_nationkey || '.nc' AS path, n_nationkey * 3.0::DOUBLE - 30 AS lat, n_nationkey * 7.0::DOUBLE - 80 AS lon, 'S' || n_nationkey AS series_id FROM nation WHERE n_nationkey * 3.0 - 30 BETWEEN -20 AND 25 AND n_nationkey * 7.0 - 80 BETWEEN -60 AND 60"),
     "shifted_values": (shifted_values, f"WITH c AS (SELECT c_custkey, c_acctbal AS x, min(c_acctbal) OVER (PARTITION BY c_nationkey) AS lo FROM customer) SELECT c_custkey, {_R4('CASE WHEN lo <= 0 THEN x - lo + 1e-6 ELSE x END', 6)} AS shifted, {_R4('x + greatest(0, -lo) + 1e-6', 6)} AS \"always\" FROM c"),
     "interval_hits": (interval_hits, f"WITH {_BT}, sd AS (SELECT series_id, 1.96 * stddev_pop(value) AS w FROM idx GROUP BY 1) SELECT bt.series_id, horizon, {_R4('avg((abs(error) <= w)::INT)', 8)} AS coverage, {_R4('avg(2 * w)', 5)} AS mean_width FROM bt JOIN sd ON sd.series_id = bt.series_id GROUP BY bt.series_id, horizon"),
