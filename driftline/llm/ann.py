@@ -37,12 +37,12 @@ from pyspark.sql import functions as F
 from . import common
 
 SAMPLE_QUERIES = 128
-CELL_WIDTH = 0.9
+CELL_WIDTH = 1.1
 BLOCK_ROWS = 4096
 BLOCK_QUERIES = 1024
-CELLS_EACH_SIDE = 6
+CELLS_EACH_SIDE = 5
 #: Visiting a bucket costs about as much as scoring so many rows.
-PROBE_ROWS = 50
+PROBE_ROWS = 150
 TABLES = (2, 3, 4)
 MAX_DIRECTIONS = 10
 #: Scores nearer than this are taken for ties until they are computed exactly.
