@@ -42,7 +42,7 @@ BLOCK_ROWS = 4096
 BLOCK_QUERIES = 1024
 CELLS_EACH_SIDE = 5
 #: Visiting a bucket costs about as much as scoring so many rows.
-PROBE_ROWS = 150
+PROBE_ROWS = 60
 TABLES = (2, 3, 4)
 MAX_DIRECTIONS = 10
 #: Scores nearer than this are taken for ties until they are computed exactly.
