@@ -53,7 +53,7 @@ def ship(spark: SparkSession) -> None:
 def new_path(spark: SparkSession, name: str) -> str:
     """A new folder under spark.checkpoint.dir, which all executors share; where that is unset, one of our own if all runs on this machine."""
     shared = spark.conf.get("spark.checkpoint.dir", None)
-    if not shared and not spark.sparkContext.master.startswith("local["):
+    if not shared and spark.sparkContext.master.split("[")[0] != "local":
         raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     return f"{(shared or '/tmp/driftline').rstrip('/')}/driftline/{name}-{uuid.uuid4().hex}"
 
