@@ -24,7 +24,7 @@ _written: list[DataFrame] = []
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share, from spark.checkpoint.dir; where it is unset, a folder of our own if all runs on this machine."""
     named = spark.conf.get("spark.checkpoint.dir", None)
-    if not named and not spark.sparkContext.master.startswith("local["):
+    if not named and spark.sparkContext.master.split("[")[0] != "local":
         raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     return (named or _LOCAL_FOLDER).rstrip("/")
 
