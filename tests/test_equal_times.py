@@ -31,3 +31,8 @@ TIED = [("view", minutes(5), 1.0), ("view", minutes(5), 2.0), ("view", minutes(5
 def test_dominant_interval(spark, tmp_path):
     got, want = both(spark, tmp_path, "dominant_interval", TIED)
     assert got == want == [("view", 1_200_000_000, 3)]
+
+
+def test_events_in_eras(spark, tmp_path):
+    got, want = both(spark, tmp_path, "events_in_eras", TIED)
+    assert got == want == [("view", 1, 3, 7.0 / 3), ("view", 2, 2, 12.0)]
