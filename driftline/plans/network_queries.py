@@ -84,9 +84,9 @@ def json_facts(spark, d):
 
 
 def label_distance(spark, d):
-    """Time from each view to the next purchase, an order-based lookup in chunks of a week."""
+    """Time from each view to the next purchase, an order-based lookup in chunks of a week; of rows of one time the smaller id comes first."""
     e = with_micros(events(spark, d)).withColumn("k", F.lit(1))
-    rows = Ordered(e, ["k"], chunk_us=WEEK_US).next_valid(["us"], F.col("series_id") == "purchase", "next_").done()
+    rows = Ordered(e, ["k"], tie=["pos"], chunk_us=WEEK_US).next_valid(["us"], F.col("series_id") == "purchase", "next_").done()
     return rows.where("series_id = 'view'").select(F.col("pos").alias("event_id"), (F.col("next_.us") - F.col("us")).alias("wait_us"))
 
 

@@ -48,3 +48,13 @@ def test_gap_sessions_in_eras(spark, tmp_path):
         assert sorted(map(tuple, queries.QUERIES["gap_sessions_in_eras"](spark, str(tmp_path)).select("series_id", "era_id", "segments", "longest").collect())) == want
     finally:
         spark.conf.unset("driftline.chunk_us")
+
+
+def test_label_distance(spark, tmp_path):
+    """A purchase of a view's time counts if its id is larger, as in the order of the file."""
+    week = 7 * 1440
+    kinds = ["view", "purchase", "view", "view", "purchase", "view", "click"]
+    rows = [(kind, minutes(m), 1.0) for m in (0, 10, week, 3 * week) for kind in kinds]
+    got, want = both(spark, tmp_path, "label_distance", rows)
+    assert got == want
+    assert [w for _, w in got[:4]] == [0, 0, 0, 600_000_000] and got[-1][1] is None
