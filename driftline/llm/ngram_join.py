@@ -17,7 +17,8 @@ Plan, for any number of rows:
    only pairs with one hub for each n-gram, so that a group of G near copies
    gives about G pairs and not G * G; then, for n-grams whose holders are still
    in different components, further hubs; last every remaining pair of
-   different components. A pair passes the length filter, the positional filter
+   different components. A hub has met all holders of its n-gram, so it leaves
+   the n-gram after its round; one with two holders is done after the first. A pair passes the length filter, the positional filter
    at its first common n-gram and the suffix filter on histograms before it is
    verified once, on the sets of its words. Pairs inside a component need no
    check, so components lose no link.
@@ -332,10 +333,10 @@ def _shared_postings(reps: DataFrame, percent: int) -> DataFrame:
 
 
 def _crossing(postings: DataFrame, links: DataFrame, seed: int) -> DataFrame:
-    """Postings of the n-grams whose holders lie in different components, with `comp` and a hub chosen by seed, and the hub's hcomp."""
+    """Postings of the n-grams whose holders, without the hubs of rounds before, lie in different components, with `comp` and a hub chosen by seed, and the hub's hcomp."""
     comp = common.components(links)
     rows = postings.rows
-    postings = common.stored(postings.select("token", "rep", "n", "pos").join(comp, postings.rep == comp.node, "left").select("token", "rep", "n", "pos", F.coalesce("component", "rep").alias("comp")).transform(common.narrowed, rows), "postings")
+    postings = common.stored(postings.where("rep <> hub").select("token", "rep", "n", "pos").join(comp, postings.rep == comp.node, "left").select("token", "rep", "n", "pos", F.coalesce("component", "rep").alias("comp")).transform(common.narrowed, rows), "postings")
     ranked = postings.withColumn("rank", F.xxhash64("rep", F.lit(seed)))
     mixed = ranked.groupBy(F.col("token").alias("at")).agg(
         F.min("comp").alias("lo"), F.max("comp").alias("hi"), *(F.min_by(c, "rank").alias(name) for c, name in (("rep", "hub"), ("n", "hn"), ("pos", "hp"), ("comp", "hcomp")))

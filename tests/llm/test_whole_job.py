@@ -47,3 +47,26 @@ def test_random_windows_reach_the_threshold_of_their_class(spark):
     made = [("+" + "".join(rng.choice(letters, 18)) + "7",) for _ in range(1000)]
     found = scan(spark.createDataFrame(made, "text string")).where("size(filter(secrets, s -> s.kind = 'entropy')) > 0").count()
     assert found >= 970
+
+
+def test_hubs_that_met_all_holders_are_not_listed_again(spark, monkeypatch):
+    """Pairs that share rare n-grams and do not link are done after the first hubs; links among the other holders are found later."""
+    from driftline.llm import ngram_join
+
+    ends = [" ".join(f"end{k}{j}" for j in range(22)) for k in range(2)]
+    own = [" ".join(f"own{i}x{j}" for j in range(40)) for i in range(40)]
+    texts = [f"{text} {end}" for text in own for end in ends]  # half of its n-grams in common, the rarest
+    listed, real = [], ngram_join._all_pairs
+    monkeypatch.setattr(ngram_join, "_all_pairs", lambda postings, percent: (listed.append(postings.rows), real(postings, percent))[1])
+
+    def components(texts):
+        rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+        return {r.doc_id: r.component_id for r in ngram_join.similarity_classes(rows, n=3, percent=80).collect()}
+
+    assert components(texts) == {k: k for k in range(len(texts))} and not listed
+    near = [f"{text} seam{i} {ends[1]}" for i, text in enumerate(own)]  # linked with the second text of each pair, not with the hub
+    sets = [ngram_join.word_sets(t.encode().split(), 3) for t in (*texts[:2], near[0])]
+    alike = lambda x, y: 100 * len(x & y) >= 80 * len(x | y)
+    assert alike(sets[1], sets[2]) and not alike(sets[0], sets[1]) and not alike(sets[0], sets[2])
+    assert components([*texts, *near]) == {k: k for k in range(80)} | {80 + i: 2 * i + 1 for i in range(40)}
+    assert len(listed) == 1
